@@ -23,30 +23,40 @@ def running_before(
     order_by: Sequence[str],
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows ahead of each row.
+    """Add ``name``: the sum of the whole number ``value`` over the rows ahead of each row.
 
     Rows are ordered by ``block`` and then ``order_by`` inside each ``within`` group. ``block``
     must grow with the order, and one block must fit a task; a group may span any number of them.
     """
-    keys = [*within, block]
-    ahead = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    blocks_ahead = Window.partitionBy(*within).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
+    local, ahead = _two_phase(df, value.cast("long"), F.sum, block, order_by, within)
+    return _joined(local, ahead, block, within, name, F.coalesce("_local", zero) + F.coalesce("_ahead", zero))
 
-    local = df.withColumn("_v", value.cast("long"))
-    offsets = (
-        local.groupBy(*keys)
-        .agg(F.sum("_v").alias("_total"))
-        .select(*keys, F.coalesce(F.sum("_total").over(blocks_ahead), zero).alias("_offset"))
-    )
+
+def running_min_before(
+    df: DataFrame, name: str, value: Column, block: str, order_by: Sequence[str], within: Sequence[str] = ()
+) -> DataFrame:
+    """As ``running_before``, with the least ``value`` ahead of each row; null on the first."""
+    local, ahead = _two_phase(df, value, F.min, block, order_by, within)
+    return _joined(local, ahead, block, within, name, F.least("_local", "_ahead"))
+
+
+def _two_phase(df, value, combine, block, order_by, within):
+    keys = [*within, block]
+    rows_ahead = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks_ahead = Window.partitionBy(*within).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    valued = df.withColumn("_v", value)
+    totals = valued.groupBy(*keys).agg(combine("_v").alias("_total"))
     return (
-        local.withColumn("_local", F.coalesce(F.sum("_v").over(ahead), zero))
-        .join(offsets, keys)
-        .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_v", "_local", "_offset")
+        valued.withColumn("_local", combine("_v").over(rows_ahead)),
+        totals.select(*keys, combine("_total").over(blocks_ahead).alias("_ahead")),
     )
 
 
+def _joined(local, ahead, block, within, name, result):
+    return local.join(ahead, [*within, block]).withColumn(name, result).drop("_v", "_local", "_ahead")
+
+
 def range_block(df: DataFrame, key: str, rows_per_block: int = 500_000, min_blocks: int | None = None) -> tuple[Column, int]:
     """A column that cuts the integer ``key`` into blocks of about equal row count, in key order.
 
