@@ -8,7 +8,7 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from tokenloom.functions.tables import BYTE_BASE, MAX_PIECE_CHARS
+from tokenloom.functions.tables import BYTE_BASE
 
 _MEMO_LIMIT = 400_000
 _UNKNOWN_PENALTY = 10.0
@@ -64,6 +64,11 @@ def best_path(unit: str, score: dict[str, float], longest: int, without: str | N
     return cut[::-1], best[len(unit)]
 
 
+def _log_add(a: float, b: float) -> float:
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def expected_pieces(unit: str, score: dict[str, float], longest: int) -> dict[str, float]:
     """How often each piece is expected over all cuts of the unit, weighted by their likelihood."""
     size = len(unit)
@@ -75,12 +80,12 @@ def expected_pieces(unit: str, score: dict[str, float], longest: int) -> dict[st
     ]
     forward = [0.0] + [-math.inf] * size
     for at, end, value in spans:
-        forward[end] = np.logaddexp(forward[end], forward[at] + value)
+        forward[end] = _log_add(forward[end], forward[at] + value)
     if forward[size] == -math.inf:
         return {}
     backward = [-math.inf] * size + [0.0]
     for at, end, value in sorted(spans, key=lambda s: -s[0]):
-        backward[at] = np.logaddexp(backward[at], backward[end] + value)
+        backward[at] = _log_add(backward[at], backward[end] + value)
     expected: dict[str, float] = {}
     for at, end, value in spans:
         weight = math.exp(forward[at] + value + backward[end] - forward[size])
@@ -134,7 +139,3 @@ class UnitEncoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_row)])]
         mask = units.is_null() if units.null_count else None
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[takes], pa.int32()), mask=mask)
-
-
-def longest_piece(score: dict[str, float]) -> int:
-    return min(max(map(len, score), default=1), MAX_PIECE_CHARS)

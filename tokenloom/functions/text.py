@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.functions.tables import USER_SYMBOLS
 
@@ -40,7 +41,7 @@ def is_blank(line: Column) -> Column:
     return strip(line) == ""
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _compatibility_form(texts: pa.Array) -> pa.Array:
     folded = [None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()) for t in texts.to_pylist()]
     return pa.array(folded, pa.string())

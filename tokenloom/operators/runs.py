@@ -63,6 +63,8 @@ def early_stopping(evals: DataFrame, patience: int = 10, min_delta: float = 0.00
     parallel; what is left is folded in step order as a stream of sorted rows, holding one small
     state and never a whole run.
     """
+    if patience < 1:
+        raise ValueError("patience must be at least 1")
     blocked = evals.select("run", "step", "val_loss").withColumn("block", _step_block())
     numbered = running_before(blocked, "at", F.lit(1), "block", ["step"], within=["run"])
     lows = running_min_before(numbered, "lowest", F.col("val_loss"), "block", ["step"], within=["run"])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The columns of a metrics log and how each is written.
@@ -11,11 +12,11 @@ METRICS_SCHEMA = (
     "learning_rate double, tokens_per_sec double, grad_norm double"
 )
 METRICS_FORMATS = {
-    "train_loss": "%.6f",
-    "val_loss": "%.6f",
-    "learning_rate": "%.2e",
-    "tokens_per_sec": "%.1f",
-    "grad_norm": "%.4f",
+    "train_loss": ".6f",
+    "val_loss": ".6f",
+    "learning_rate": ".2e",
+    "tokens_per_sec": ".1f",
+    "grad_norm": ".4f",
 }
 
 # The fields of a checkpoint's model settings; others are dropped on reading.
@@ -37,6 +38,16 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(folder != "", folder).otherwise(name).alias("run"), "*")
 
 
+def _written(name: str) -> Column:
+    """A number as text, rounded from its exact binary value; empty where it is missing."""
+    spec = METRICS_FORMATS[name]
+
+    def texts(values: pa.Array) -> pa.Array:
+        return pa.array(["" if v is None else format(v, spec) for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(texts, "string")(F.col(name).cast("double")).alias(name)
+
+
 def format_metrics(metrics: DataFrame) -> DataFrame:
     """Log columns as they are written; missing values are empty."""
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -44,10 +55,7 @@ def format_metrics(metrics: DataFrame) -> DataFrame:
         "run",
         F.col("step").cast("string").alias("step"),
         stamp.alias("timestamp"),
-        *[
-            F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f, F.coalesce(c, F.lit(0.0)))), F.lit("")).alias(c)
-            for c, f in METRICS_FORMATS.items()
-        ],
+        *[_written(name) for name in METRICS_FORMATS],
     )
 
 
@@ -67,8 +75,8 @@ def estimated_params(norms: bool = True):
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """Manifests of the ``step_*`` folders of each run below ``path`` (or directly in it): ``run``,
-    ``step``, ``val_loss``, ``model``, ``training``, ``estimated_params``."""
+    """Manifests in the ``step_*`` folders below ``path``: ``run`` (the folder that holds them),
+    ``step``, ``val_loss``, ``model``, ``training`` and the parameter estimates."""
     rows = (
         spark.read.schema(MANIFEST_SCHEMA)
         .option("recursiveFileLookup", True)
@@ -77,7 +85,7 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
         .json(path)
     )
     file = F.col("_metadata.file_path")
-    place = r"([^/]+)/step_\d+/[^/]*$"
+    place = r"([^/=]+)/(?:[^/=]+=)?step_\d+/[^/]*$"
     return rows.where(file.rlike(place)).select(
         F.regexp_extract(file, place, 1).alias("run"),
         "step",

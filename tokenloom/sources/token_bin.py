@@ -90,8 +90,6 @@ class TokenReader(DataSourceReader):
         return ranges
 
     def read(self, part: TokenRange) -> Iterator[pa.RecordBatch]:
-        if part is None:
-            return
         system, _ = _open(self.path)
         with system.open_input_file(part.file) as f:
             f.seek(part.offset)
@@ -112,19 +110,22 @@ class Shard(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Each task writes a temporary shard with its header patched at the end; the commit names the
-    shards in stream order and lists them in the manifest."""
+    """Each task spools its ids and then writes them behind a header that knows their count; the
+    commit renames the shards in stream order and lists them in the manifest. Files of lost tasks
+    are in no manifest and so are never read."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.header = _flag(options, "header", "true")
         system, root = _open(self.path)
+        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
+            raise ValueError(f"a token store already exists at {root}")
         system.create_dir(root, recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Shard:
         system, root = _open(self.path)
         temporary = f"{root}/_{uuid.uuid4().hex}.tmp"
-        spool, first, count = [], None, 0
+        first, count = None, 0
         body = f"{temporary}.body"
         out = None
         for batch in batches:
@@ -141,7 +142,6 @@ class TokenWriter(DataSourceArrowWriter):
                     raise ValueError(f"stream has a gap or overlap at position {pos}")
                 out.write(ids.astype("<u2").tobytes())
                 count += len(ids)
-        del spool
         if out is None:
             return Shard(None, 0, 0)
         out.close()

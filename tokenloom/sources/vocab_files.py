@@ -12,7 +12,7 @@ from tokenloom.operators.vocab import piece_kind
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """``id``, ``piece``, ``score``, ``kind``. The file has at most 65,536 short lines, so it is read
     as one value and the id is the line's place in it; quotes mean nothing."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("id", "row"))
     piece = F.regexp_extract("row", "^(.*)\t([^\t]*)$", 1)
     score = F.regexp_extract("row", "^(.*)\t([^\t]*)$", 2).cast("double")
