@@ -63,7 +63,7 @@ reserved AS (
 ),
 vocab AS (
   SELECT id, piece, score, kind FROM reserved
-  UNION ALL SELECT (rank + 263)::INT, piece, -rank::DOUBLE, 'piece' FROM words
+  UNION ALL SELECT (rank + 263)::INT, piece, (0 - rank)::DOUBLE, 'piece' FROM words
 )"""
 
 
@@ -302,7 +302,7 @@ laid AS (
     UNION ALL SELECT char, 1, rank FROM alphabet)
 )
 SELECT id, piece, score, kind FROM reserved
-UNION ALL SELECT (ord + 263)::INT, piece, -ord::DOUBLE, 'piece' FROM laid WHERE ord < 1024 - 263""",
+UNION ALL SELECT (ord + 263)::INT, piece, (0 - ord)::DOUBLE, 'piece' FROM laid WHERE ord < 1024 - 263""",
     "B7_encode": _WORDS
     + _encoded("enc", "documents", "doc_id", "text", " || [3]")
     + f"\nSELECT doc_id, {_csv('[2] || ids')} AS ids FROM enc",

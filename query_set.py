@@ -402,8 +402,8 @@ def c11_get_batch(spark, sf):
 
 
 def c12_loaders(spark, sf):
-    parts = stream.split(token_rows(spark, sf), 0.05)
-    out = packing.loaders(stream.split_part(parts, "train"), stream.split_part(parts, "val"), CONTEXT, BATCH)
+    train, val = (stream.split_part(token_rows(spark, sf), 0.05, name) for name in ("train", "val"))
+    out = packing.loaders(train, val, CONTEXT, BATCH)
     return out.select(
         "split", "batch_no", "slot", "seq_idx", csv("input_ids").alias("input_ids"), csv("target_ids").alias("target_ids")
     )

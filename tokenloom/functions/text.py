@@ -22,13 +22,14 @@ SPACE_MARK = "▁"
 _DIGITS = "0-9０-９"
 _MARKED = "|".join(s.replace("|", r"\|") for s in USER_SYMBOLS)
 
-# A unit is a chat marker, a run of letters, one digit, a run of other characters, a lone space
+# A unit is a run of letters, one digit, a chat marker, a run of other characters, a lone space
 # mark, or a newline. Pieces never cross units, so units can be counted and encoded on their own.
+# The repeats are possessive: no unit needs backtracking, and runs of any length match without it.
 UNIT = (
-    rf"{_MARKED}"
-    rf"|{SPACE_MARK}?[\p{{L}}\p{{M}}]+"
+    rf"{SPACE_MARK}?[\p{{L}}\p{{M}}]++"
     rf"|[{_DIGITS}]"
-    rf"|{SPACE_MARK}?(?:(?!{_MARKED})[^\p{{L}}\p{{M}}{_DIGITS}{SPACE_MARK}\n])+"
+    rf"|{_MARKED}"
+    rf"|{SPACE_MARK}?(?:[^\p{{L}}\p{{M}}{_DIGITS}{SPACE_MARK}\n<]++|(?!{_MARKED})<)++"
     rf"|{SPACE_MARK}|\n"
 )
 

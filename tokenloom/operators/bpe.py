@@ -11,6 +11,7 @@ two equal symbols overlaps with itself, so it ends a run.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,54 +22,58 @@ from tokenloom.functions.text import characters
 from tokenloom.operators.words import alphabet as corpus_alphabet
 from tokenloom.session import materialize
 
-# Two code points reserved for private use inside programs wrap each symbol of a unit.
-_OPEN, _SHUT = "﷐", "﷑"
+# While training, a unit is a string with one character per symbol: corpus characters stand for
+# themselves and merged symbols for characters of the supplementary private-use planes. Corpus
+# characters from there are left out of training and are encoded as bytes.
+_FIRST_CODE = 0xF0000
+_PRIVATE = f"[{chr(0xF0000)}-{chr(0x10FFFF)}]"
 _ROUND_CANDIDATES = 256
 _PENDING_LIMIT = 24
 
 
-def _wrapped(left: str, right: str) -> str:
-    return f"{_OPEN}{left}{_SHUT}{_OPEN}{right}{_SHUT}"
-
-
 def _segments(words: DataFrame, letters: DataFrame) -> DataFrame:
-    """Units cut at characters outside the alphabet, symbols wrapped: ``s``, ``n``."""
-    known = letters.agg(F.collect_set("char")).scalar()
+    """Units cut at characters outside the alphabet: ``s``, ``n``."""
+    known = letters.where(~F.col("char").rlike(_PRIVATE)).agg(F.collect_set("char")).scalar()
+    gap = F.lit(chr(_FIRST_CODE))
     spaced = F.transform(
-        characters(F.col("word")), lambda c: F.when(F.array_contains(F.col("_known"), c), c).otherwise(F.lit(_SHUT))
+        characters(F.col("word")), lambda c: F.when(F.array_contains(F.col("_known"), c), c).otherwise(gap)
     )
-    parts = F.filter(F.split(F.array_join(spaced, ""), _SHUT), lambda p: F.length(p) > 1)
+    parts = F.filter(F.split(F.array_join(spaced, ""), gap), lambda p: F.length(p) > 1)
     return (
-        words.where(~F.col("word").rlike(f"[{_OPEN}{_SHUT}]"))
-        .withColumn("_known", known)
-        .select(F.explode(parts).alias("part"), "n")
-        .groupBy("part")
+        words.withColumn("_known", known)
+        .select(F.explode(parts).alias("s"), "n")
+        .groupBy("s")
         .agg(F.sum("n").alias("n"))
-        .select(
-            F.concat(F.lit(_OPEN), F.array_join(characters(F.col("part")), _SHUT + _OPEN), F.lit(_SHUT)).alias("s"), "n"
-        )
     )
 
 
 def _apply(symbols: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    for left, right in merges:
-        symbols = F.replace(symbols, F.lit(_wrapped(left, right)), F.lit(f"{_OPEN}{left}{right}{_SHUT}"))
+    for pair, merged in merges:
+        symbols = F.replace(symbols, F.lit(pair), F.lit(merged))
     return symbols
 
 
 def pair_counts(state: DataFrame) -> DataFrame:
-    """Occurrences of each neighbouring pair: ``l``, ``r``, ``c``. In ``aaa`` the pair counts twice."""
-    symbols = F.regexp_extract_all("s", F.lit(f"{_OPEN}([^{_SHUT}]+){_SHUT}"), F.lit(1))
-    neighbours = F.arrays_zip(
-        F.slice("items", 1, F.size("items") - 1).alias("l"), F.slice("items", 2, F.size("items") - 1).alias("r")
-    )
+    """Occurrences of each pair of neighbours: ``pair``, ``c``. In ``aaa`` the pair counts twice."""
+    pairs = F.regexp_extract_all("s", F.lit("(?s)(?=(..))."), F.lit(1))
+    return state.select(F.explode(pairs).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("c"))
+
+
+def _top_pairs(state: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """The best pairs with the texts of their symbols, by count, then length and text."""
+    table = F.from_json(F.lit(json.dumps(list(texts))), "array<string>")
+
+    def text(symbol: Column) -> Column:
+        code = F.ascii(symbol) - _FIRST_CODE
+        return F.when(code >= 0, F.get(table, code)).otherwise(symbol)
+
+    left, right = F.substring("pair", 1, 1), F.substring("pair", 2, 1)
+    both = F.concat("left", "right")
     return (
-        state.withColumn("items", symbols)
-        .where(F.size("items") > 1)
-        .select("n", F.inline(neighbours))
-        .where(F.length("l") + F.length("r") <= MAX_PIECE_CHARS)
-        .groupBy("l", "r")
-        .agg(F.sum("n").alias("c"))
+        pair_counts(state)
+        .select("pair", "c", text(left).alias("left"), text(right).alias("right"))
+        .where(F.length(both) <= MAX_PIECE_CHARS)
+        .orderBy(F.desc("c"), F.length(both), both, "left")
     )
 
 
@@ -78,43 +83,38 @@ def train_merges(words: DataFrame, letters: DataFrame, n_pieces: int) -> list[tu
     tasks = words.sparkSession.sparkContext.defaultParallelism
     state = materialize(_segments(words, letters).repartition(tasks), "bpe")
     merges: list[tuple[str, str]] = []
+    texts: list[str] = []
     pending: list[tuple[str, str]] = []
-    made: set[str] = set()
-    refused: set[tuple[str, str]] = set()
-    merged_text = F.concat("l", "r")
+    refused: set[str] = set()
     while len(merges) < n_pieces:
-        top = (
-            pair_counts(state.withColumn("s", _apply(F.col("s"), pending)))
-            .orderBy(F.desc("c"), F.length(merged_text), merged_text, "l")
-            .limit(_ROUND_CANDIDATES + len(refused))
-            .collect()
-        )
-        batch: list[tuple[str, str]] = []
+        current = state.withColumn("s", _apply(F.col("s"), pending))
+        top = _top_pairs(current, texts).limit(_ROUND_CANDIDATES + len(refused)).collect()
+        batch = 0
         lefts: set[str] = set()
         rights: set[str] = set()
+        made = set(texts)
         for row in top:
-            pair = (row.l, row.r)
-            if pair in refused:
+            if row.pair in refused:
                 continue
-            if row.l + row.r in made:
-                refused.add(pair)
+            if row.left + row.right in made:
+                refused.add(row.pair)
                 continue
-            if row.l in rights or row.r in lefts or len(merges) + len(batch) == n_pieces:
-                break
-            batch.append(pair)
-            lefts.add(row.l)
-            rights.add(row.r)
-            made.add(row.l + row.r)
-            if row.l == row.r:
+            first, second = row.pair
+            if first in rights or second in lefts or len(merges) == n_pieces:
                 break
-        if not batch:
-            if len(top) < _ROUND_CANDIDATES:
+            pending.append((row.pair, chr(_FIRST_CODE + len(texts))))
+            merges.append((row.left, row.right))
+            texts.append(row.left + row.right)
+            made.add(texts[-1])
+            lefts.add(first)
+            rights.add(second)
+            batch += 1
+            if first == second:
                 break
-            continue
-        merges += batch
-        pending += batch
+        if not batch and len(top) < _ROUND_CANDIDATES:
+            break
         if len(pending) >= _PENDING_LIMIT:
-            state = materialize(state.withColumn("s", _apply(F.col("s"), pending)), "bpe")
+            state = materialize(current.withColumn("s", _apply(F.col("s"), pending[-batch:])), "bpe")
             pending = []
     return merges
 

@@ -202,37 +202,52 @@ def _joined(parts: DataFrame) -> DataFrame:
     return parts.groupBy("request_id").agg(F.flatten(F.transform(ordered, lambda p: p["part"])).alias("run"))
 
 
+def _train_size(total: Column, val_ratio: float) -> Column:
+    return total - (total * F.lit(float(val_ratio))).cast("long")
+
+
 def split(stream: DataFrame, val_ratio: float = 0.05) -> DataFrame:
     """Train and validation streams: the last ``trunc(total * val_ratio)`` tokens are validation.
 
     Adds ``split`` and counts ``start_pos`` from the start of each part. A document on the cut
     becomes two rows. One pass over the stream, no shuffle.
     """
-    train_size = F.col("_total") - (F.col("_total") * F.lit(float(val_ratio))).cast("long")
-    cut = F.least(F.greatest(F.col("_train") - F.col("start_pos"), F.lit(0)), F.col("n_tokens")).cast("int")
+    train, cut, n = F.col("_train"), F.col("_cut"), F.col("n_tokens")
     parts = F.array(
-        F.struct(
-            F.lit("train").alias("split"),
-            F.col("start_pos").alias("start_pos"),
-            F.slice("ids", F.lit(1), F.col("_cut")).alias("ids"),
-        ),
-        F.struct(
-            F.lit("val").alias("split"),
-            (F.col("start_pos") + F.col("_cut") - F.col("_train")).alias("start_pos"),
-            F.slice("ids", F.col("_cut") + 1, F.size("ids") - F.col("_cut")).alias("ids"),
-        ),
+        F.struct(F.lit("train").alias("split"), F.col("start_pos").alias("start_pos"), F.lit(0).alias("from"), cut.alias("n")),
+        F.struct(F.lit("val").alias("split"), (F.col("start_pos") + cut - train).alias("start_pos"), cut.alias("from"), (n - cut).alias("n")),
+    )
+    return (
+        _with_cut(stream, val_ratio)
+        .withColumn("p", F.explode(F.filter(parts, lambda p: p["n"] > 0)))
+        .select("p.split", "doc_id", _part_ids(F.col("p.from"), F.col("p.n")).alias("ids"), F.col("p.n").alias("n_tokens"), "p.start_pos")
     )
+
+
+def split_part(stream: DataFrame, val_ratio: float, name: str) -> DataFrame:
+    """One part of ``split`` as a stream of its own."""
+    if name not in ("train", "val"):
+        raise ValueError("a part is 'train' or 'val'")
+    train, cut, n = F.col("_train"), F.col("_cut"), F.col("n_tokens")
+    is_train = name == "train"
+    skip, size = (F.lit(0), cut) if is_train else (cut, n - cut)
+    start = F.col("start_pos") if is_train else F.col("start_pos") + cut - train
     return (
-        stream.withColumn("_total", total_tokens(stream))
-        .withColumn("_train", train_size)
-        .withColumn("_cut", cut)
-        .select("doc_id", F.explode(F.filter(parts, lambda p: F.size(p["ids"]) > 0)).alias("p"))
-        .select("p.split", "doc_id", "p.ids", F.size("p.ids").cast("long").alias("n_tokens"), "p.start_pos")
+        _with_cut(stream, val_ratio)
+        .where(size > 0)
+        .select("doc_id", _part_ids(skip, size).alias("ids"), size.alias("n_tokens"), start.alias("start_pos"))
     )
 
 
-def split_part(parts: DataFrame, name: str) -> DataFrame:
-    return parts.where(F.col("split") == name).drop("split")
+def _with_cut(stream: DataFrame, val_ratio: float) -> DataFrame:
+    """Add ``_train``, the size of the train part, and ``_cut``, how many ids of a document are in it."""
+    inside = F.least(F.greatest(F.col("_train") - F.col("start_pos"), F.lit(0)), F.col("n_tokens"))
+    return stream.withColumn("_train", _train_size(total_tokens(stream), val_ratio)).withColumn("_cut", inside)
+
+
+def _part_ids(skip: Column, size: Column) -> Column:
+    whole = (skip == 0) & (size == F.col("n_tokens"))
+    return F.when(whole, F.col("ids")).otherwise(F.slice("ids", (skip + 1).cast("int"), size.cast("int")))
 
 
 def dataset_stats(stream: DataFrame, context_length: int, header: bool = True) -> DataFrame:

@@ -57,7 +57,7 @@ def assemble_vocab(pieces: DataFrame, alphabet: DataFrame | None = None, vocab_s
     rows = laid.select(
         (F.col("at") + PIECE_BASE).cast("int").alias("id"),
         "piece",
-        F.coalesce("score", -F.col("at").cast("double")).alias("score"),
+        F.coalesce("score", (F.lit(0) - F.col("at")).cast("double")).alias("score"),
         F.lit("piece").alias("kind"),
     )
     return reserved_rows(spark).unionByName(rows)

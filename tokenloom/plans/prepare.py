@@ -83,9 +83,9 @@ def prepare_all(
     path = work_path(spark, "stream")
     write_stream(written, encoder(vocab, model), path, add_eos=by_document)
     stream = read_stream(spark, path)
-    parts = split(stream, (0.05 if by_document else 0.01) if val_ratio is None else val_ratio)
+    ratio = (0.05 if by_document else 0.01) if val_ratio is None else val_ratio
     stats = [
-        dataset_stats(split_part(parts, name), context_length, header=by_document).withColumn("split", F.lit(name))
+        dataset_stats(split_part(stream, ratio, name), context_length, header=by_document).withColumn("split", F.lit(name))
         for name in ("train", "val")
     ]
-    return Prepared(vocab, stream, parts, stats[0].unionByName(stats[1]))
+    return Prepared(vocab, stream, split(stream, ratio), stats[0].unionByName(stats[1]))
