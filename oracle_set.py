@@ -362,19 +362,15 @@ placed AS (
       ELSE least(greatest(CASE WHEN e < 0 THEN e + n ELSE e END, -1), n - 1) END AS e
   FROM asked
 ),
-hits AS (
-  SELECT request_id, list(id ORDER BY pos * sign(st)) AS ids FROM placed p
-  JOIN toks t ON t.pos BETWEEN least(b, e + 1) AND greatest(b, e - 1)
-  WHERE CASE WHEN st > 0 THEN t.pos >= b AND t.pos < e AND (t.pos - b) % st = 0
-    ELSE t.pos <= b AND t.pos > e AND (b - t.pos) % (-st) = 0 END
-  GROUP BY request_id
-)
+places AS (SELECT request_id, st, unnest(range(b, e, st)) AS pos FROM placed),
+hits AS (SELECT request_id, list(id ORDER BY pos * sign(st)) AS ids FROM places JOIN toks USING (pos) GROUP BY request_id)
 SELECT request_id, coalesce({_csv('ids')}, '') AS ids FROM placed LEFT JOIN hits USING (request_id)""",
     "C4_get_chunk": _STREAM
     + f""",
 asked AS (SELECT doc_id AS request_id, {_START} AS s, 50 + n_chars % 300 AS l FROM documents),
 checked AS (SELECT *, s >= 0 AND s + l <= (SELECT n FROM total) AS ok FROM asked),
-hits AS (SELECT request_id, list(id ORDER BY pos) AS ids FROM checked JOIN toks t ON t.pos >= s AND t.pos < s + l WHERE ok GROUP BY 1)
+places AS (SELECT request_id, unnest(range(s, s + l)) AS pos FROM checked WHERE ok),
+hits AS (SELECT request_id, list(id ORDER BY pos) AS ids FROM places JOIN toks USING (pos) GROUP BY 1)
 SELECT request_id, {_csv('ids')} AS ids, CASE WHEN NOT ok THEN 'out of range' END AS error FROM checked LEFT JOIN hits USING (request_id)""",
     "C5_split": _STREAM
     + f""",

@@ -99,17 +99,22 @@ def bpe_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_shared
+def stream_path(spark: SparkSession, sf: str) -> str:
+    path = work_path(spark, "stream")
+    stream.write_stream(docs(spark, sf).select("doc_id", "text"), word_encoder(spark, sf), path)
+    return path
+
+
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return stream.token_stream(docs(spark, sf).select("doc_id", "text"), word_encoder(spark, sf))
+    return stream.read_stream(spark, stream_path(spark, sf))
 
 
-@_shared
 def token_count(spark: SparkSession, sf: str) -> int:
-    return token_rows(spark, sf).agg(F.sum("n_tokens").alias("n")).first().n
+    return stream.stream_total(spark, stream_path(spark, sf))
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_disjoint(token_rows(spark, sf), CONTEXT)
+    return packing.pack_disjoint(token_rows(spark, sf), CONTEXT, token_count(spark, sf))
 
 
 def sequence_total(spark: SparkSession, sf: str) -> int:
@@ -335,7 +340,7 @@ def c2_check_ids(spark, sf):
 def c3_token_at(spark, sf):
     pos = F.pmod(F.col("doc_id") * 7919 * F.col("n_chars"), F.lit(3_000_000)) - 1_000_000
     requests = docs(spark, sf).select(F.col("doc_id").alias("request_id"), pos.alias("pos"))
-    return stream.token_at(token_rows(spark, sf), requests)
+    return stream.token_at(token_rows(spark, sf), requests, token_count(spark, sf))
 
 
 def slice_requests(documents_table: DataFrame) -> DataFrame:
@@ -350,7 +355,7 @@ def slice_requests(documents_table: DataFrame) -> DataFrame:
 
 
 def c4_token_slices(spark, sf):
-    out = stream.token_slices(token_rows(spark, sf), slice_requests(docs(spark, sf)))
+    out = stream.token_slices(token_rows(spark, sf), slice_requests(docs(spark, sf)), token_count(spark, sf))
     return out.select("request_id", csv("ids").alias("ids"))
 
 
@@ -359,12 +364,12 @@ def c4_get_chunk(spark, sf):
     requests = docs(spark, sf).select(
         F.col("doc_id").alias("request_id"), start.alias("start"), (50 + F.col("n_chars") % 300).alias("length")
     )
-    out = stream.get_chunk(token_rows(spark, sf), requests)
+    out = stream.get_chunk(token_rows(spark, sf), requests, token_count(spark, sf))
     return out.select("request_id", csv("ids").alias("ids"), "error")
 
 
 def c5_split(spark, sf):
-    out = stream.split(token_rows(spark, sf), 0.05)
+    out = stream.split(token_rows(spark, sf), 0.05, token_count(spark, sf))
     return out.select("split", "doc_id", "start_pos", "n_tokens", csv("ids").alias("ids"))
 
 
@@ -373,7 +378,7 @@ def c6_pack_disjoint(spark, sf):
 
 
 def c7_pack_overlap(spark, sf):
-    out = packing.pack_overlap(token_rows(spark, sf), CONTEXT)
+    out = packing.pack_overlap(token_rows(spark, sf), CONTEXT, token_count(spark, sf))
     return out.select("seq_idx", csv("tokens").alias("tokens"))
 
 
@@ -397,12 +402,15 @@ def c10_batches(spark, sf):
 
 
 def c11_get_batch(spark, sf):
-    out = packing.get_batch(sequences(spark, sf), 3, BATCH)
+    lo, hi = packing.batch_positions(3, BATCH, CONTEXT)
+    rows = stream.read_stream(spark, stream_path(spark, sf), lo, hi)
+    out = packing.get_batch(packing.pack_disjoint(rows, CONTEXT, token_count(spark, sf)), 3, BATCH)
     return out.select("slot", "seq_idx", csv("input_ids").alias("input_ids"), csv("target_ids").alias("target_ids"))
 
 
 def c12_loaders(spark, sf):
-    train, val = (stream.split_part(token_rows(spark, sf), 0.05, name) for name in ("train", "val"))
+    rows, total = token_rows(spark, sf), token_count(spark, sf)
+    train, val = (stream.split_part(rows, 0.05, name, total) for name in ("train", "val"))
     out = packing.loaders(train, val, CONTEXT, BATCH)
     return out.select(
         "split", "batch_no", "slot", "seq_idx", csv("input_ids").alias("input_ids"), csv("target_ids").alias("target_ids")

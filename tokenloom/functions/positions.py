@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,27 +58,27 @@ def _joined(local, ahead, block, within, name, result):
     return local.join(ahead, [*within, block]).withColumn(name, result).drop("_v", "_local", "_ahead")
 
 
-def range_block(df: DataFrame, key: str, rows_per_block: int = 500_000, min_blocks: int | None = None) -> tuple[Column, int]:
+MAX_BLOCKS = 1 << 20  # keeps the block tables small enough to broadcast
+_SAMPLES_PER_BLOCK = 8
+
+
+def range_block(df: DataFrame, key: str, rows_per_block: int = 200_000, min_blocks: int | None = None) -> tuple[Column, int]:
     """A column that cuts the integer ``key`` into blocks of about equal row count, in key order.
 
-    Only the key column is read. The block bounds come from Spark's own range partitioner and are
-    fixed as a literal, so every later evaluation puts a row in the same block; the bounds are one
-    number per block. Returns the column and the number of blocks.
+    Only the key column is read. The bounds are taken from a sample of the keys and fixed as a
+    literal, so every later evaluation puts a row in the same block; any bounds give the same
+    result, and a few numbers per block reach the driver. Returns the column and the block count.
     """
-    spark = df.sparkSession
     keys = df.select(F.col(key).cast("long").alias("k"))
     rows = keys.count()
-    floor = min_blocks if min_blocks is not None else 4 * spark.sparkContext.defaultParallelism
-    blocks = max(math.ceil(rows / rows_per_block), min(floor, rows), 1)
+    floor = min_blocks if min_blocks is not None else 4 * df.sparkSession.sparkContext.defaultParallelism
+    blocks = min(max(math.ceil(rows / rows_per_block), min(floor, rows), 1), MAX_BLOCKS)
     if blocks == 1:
         return F.lit(0).cast("int"), 1
-    lows = (
-        keys.repartitionByRange(blocks, "k")
-        .groupBy(F.spark_partition_id().alias("p"))
-        .agg(F.min("k").alias("low"))
-        .select("low")
-    )
-    bounds = sorted(r.low for r in lows.collect())[1:]
+    share = min(1.0, _SAMPLES_PER_BLOCK * blocks / rows)
+    sample = np.sort(keys.sample(share, seed=1).toArrow().column("k").to_numpy())
+    cuts = np.linspace(0, len(sample), blocks, endpoint=False)[1:].astype(int)
+    bounds = np.unique(sample[cuts]).tolist() if len(sample) else []
     return sorted_position(bounds, F.col(key).cast("long")), len(bounds) + 1
 
 

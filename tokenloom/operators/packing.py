@@ -44,16 +44,16 @@ def sequence_count(tokens: Column, context_length: int, overlap: bool = False) -
     return F.floor(tokens / (context_length + 1))
 
 
-def pack_disjoint(stream: DataFrame, context_length: int) -> DataFrame:
+def pack_disjoint(stream: DataFrame, context_length: int, total: int | None = None) -> DataFrame:
     """``seq_idx``, ``tokens``: sequences of ``context_length + 1`` that do not share tokens; the
     rest of the stream is left out."""
     width = context_length + 1
-    return _pack(stream, width, width, sequence_count(total_tokens(stream), context_length))
+    return _pack(stream, width, width, sequence_count(total_tokens(stream, total), context_length))
 
 
-def pack_overlap(stream: DataFrame, context_length: int) -> DataFrame:
+def pack_overlap(stream: DataFrame, context_length: int, total: int | None = None) -> DataFrame:
     """As ``pack_disjoint``, but each sequence starts with the last token of the one before."""
-    count = sequence_count(total_tokens(stream), context_length, overlap=True)
+    count = sequence_count(total_tokens(stream, total), context_length, overlap=True)
     return _pack(stream, context_length, context_length + 1, count)
 
 
@@ -112,10 +112,17 @@ def batches(ranked: DataFrame, batch_size: int, num_sequences: int | Column, dro
     return out.drop("rank")
 
 
+def batch_positions(batch_idx: int, batch_size: int, context_length: int) -> tuple[int, int]:
+    """The stream positions a disjoint batch covers."""
+    span = batch_size * (context_length + 1)
+    return batch_idx * span, (batch_idx + 1) * span
+
+
 def get_batch(sequences: DataFrame, batch_idx: int, batch_size: int) -> DataFrame:
     """One batch of the unshuffled order, as ``slot``, ``seq_idx``, ``input_ids``, ``target_ids``.
 
-    Applied to a stream-backed table the range filter reaches the cuts before they are shuffled.
+    The range filter is applied before the sequences are put together; over a stream read for
+    ``batch_positions`` only the blocks that hold the batch are read.
     """
     first = batch_idx * batch_size
     chosen = sequences.where((F.col("seq_idx") >= first) & (F.col("seq_idx") < first + batch_size))

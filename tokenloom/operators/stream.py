@@ -1,9 +1,13 @@
 """One addressable stream of token ids over all documents.
 
 The stream is a table: one row per document with its ids and its interval of positions. It is
-written block by block (``write_stream``) and read with the global start of each document
-(``read_stream``), so no step numbers rows in a single task. The written table is what a token
-file is elsewhere; slices, splits and packing all read it.
+written block by block (``write_stream``) next to a small table of the blocks, and read with the
+global start of each document (``read_stream``), so no step numbers rows in a single task. The
+written table is what a token file is elsewhere; slices, splits and packing all read it, and a
+range of positions reads only the blocks that hold it.
+
+Operators that need the length of the stream take it as ``total`` (see ``stream_total``); without
+it they add up ``n_tokens``, which reads that column.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.positions import range_block
+from tokenloom.functions.positions import MAX_BLOCKS, range_block
 from tokenloom.operators.encode import encode
 from tokenloom.session import work_path
 
@@ -27,42 +31,65 @@ def write_stream(
     key: str = "doc_id",
     text: str = "text",
     add_eos: bool = True,
-    rows_per_block: int = 500_000,
+    rows_per_block: int = 200_000,
 ) -> None:
     """Encode documents in ``key`` order and write them with their start inside their block.
 
     One shuffle brings the texts of a block together; encoding and the running sum follow in the
-    same stage.
+    same stage. ``path`` gets the folders ``rows`` and ``blocks``.
     """
+    spark = docs.sparkSession
     block, n_blocks = range_block(docs, key, rows_per_block)
     tasks = max(1, n_blocks // 2)
     ahead = Window.partitionBy("block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.select(F.col(key).cast("long").alias(key), text).withColumn("block", block).repartition(tasks, "block")
     (
         encode(placed, ids_of, text, add_eos=add_eos)
-        .select("block", F.col(key).alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_tokens"))
+        .select("block", key, "ids", F.size("ids").cast("long").alias("n_tokens"))
         .withColumn("local_start", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
-        .write.parquet(path)
+        .withColumnRenamed(key, "doc_id")
+        .write.parquet(f"{path}/rows")
+    )
+    blocks_ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    (
+        spark.read.parquet(f"{path}/rows")
+        .groupBy("block")
+        .agg(F.sum("n_tokens").alias("n_tokens"))
+        .withColumn("block_start", F.coalesce(F.sum("n_tokens").over(blocks_ahead), F.lit(0)))
+        .write.parquet(f"{path}/blocks")
     )
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """``doc_id``, ``ids``, ``n_tokens``, ``start_pos`` of a written stream.
 
-    The offsets are one row per block, from a scan of two narrow columns.
+    With ``lo`` and ``hi`` only documents that overlap these positions are read: the block numbers
+    in question become a filter on the files. The block table has at most ``MAX_BLOCKS`` rows of
+    three numbers, so it is broadcast.
     """
-    rows = spark.read.parquet(path)
-    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("block")
-        .agg(F.sum("n_tokens").alias("total"))
-        .select("block", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("block_start"))
-    )
-    return rows.join(offsets, "block").select(
-        "doc_id", "ids", "n_tokens", (F.col("block_start") + F.col("local_start")).alias("start_pos")
+    rows, blocks = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/blocks")
+    start, end = F.col("start_pos"), F.col("start_pos") + F.col("n_tokens")
+    wanted = F.lit(True)
+    if lo is not None or hi is not None:
+        lo, hi = lo or 0, (1 << 62) if hi is None else hi
+        held = (F.col("block_start") < hi) & (F.col("block_start") + F.col("n_tokens") > lo)
+        edge = blocks.where(held).agg(F.min("block").alias("first"), F.max("block").alias("last")).first()
+        first, last = (edge.first, edge.last) if edge.first is not None else (1, 0)
+        rows = rows.where(F.col("block").between(first, last))
+        wanted = (start < hi) & (end > lo)
+    offsets = blocks.limit(MAX_BLOCKS).select("block", "block_start")
+    return (
+        rows.join(F.broadcast(offsets), "block")
+        .select("doc_id", "ids", "n_tokens", (F.col("block_start") + F.col("local_start")).alias("start_pos"))
+        .where(wanted)
     )
 
 
+def stream_total(spark: SparkSession, path: str) -> int:
+    """The number of tokens of a written stream, from its block table."""
+    return spark.read.parquet(f"{path}/blocks").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+
+
 def token_stream(docs: DataFrame, ids_of: Callable[[Column], Column], **options) -> DataFrame:
     """Write a stream to the shared working folder and read it."""
     spark = docs.sparkSession
@@ -71,7 +98,9 @@ def token_stream(docs: DataFrame, ids_of: Callable[[Column], Column], **options)
     return read_stream(spark, path)
 
 
-def total_tokens(stream: DataFrame) -> Column:
+def total_tokens(stream: DataFrame, total: int | None = None) -> Column:
+    if total is not None:
+        return F.lit(total).cast("long")
     return F.coalesce(stream.agg(F.sum("n_tokens")).scalar(), F.lit(0))
 
 
@@ -128,21 +157,20 @@ def _clipped(requests: DataFrame, stream: DataFrame) -> DataFrame:
     )
 
 
-def token_at(stream: DataFrame, requests: DataFrame) -> DataFrame:
+def token_at(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
     """The id at each ``pos`` of (``request_id``, ``pos``); a negative one counts from the end, one
     outside the stream gives an ``error`` and no id."""
-    total = F.col("_total")
-    placed = requests.withColumn("_total", total_tokens(stream)).withColumn(
-        "lo", F.when(F.col("pos") < 0, F.col("pos") + total).otherwise(F.col("pos"))
+    placed = requests.withColumn("_total", total_tokens(stream, total)).withColumn(
+        "lo", F.when(F.col("pos") < 0, F.col("pos") + F.col("_total")).otherwise(F.col("pos"))
     )
-    inside = (F.col("lo") >= 0) & (F.col("lo") < total)
+    inside = (F.col("lo") >= 0) & (F.col("lo") < F.col("_total"))
     checked = placed.withColumn("error", F.when(~inside, F.lit("out of range")))
     wanted = checked.where("error is null").select("request_id", "lo", (F.col("lo") + 1).alias("hi"))
     found = _clipped(wanted, stream).select("request_id", F.get("part", F.lit(0)).alias("token_id"))
     return checked.select("request_id", "pos", "error").join(found, "request_id", "left")
 
 
-def token_slices(stream: DataFrame, requests: DataFrame) -> DataFrame:
+def token_slices(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
     """Slices of (``request_id``, ``start``, ``stop``, ``step``): bounds count from the end when
     negative and are clamped to the stream; a null bound means the end the step walks from or to.
     A negative step walks backwards."""
@@ -156,7 +184,7 @@ def token_slices(stream: DataFrame, requests: DataFrame) -> DataFrame:
         return F.coalesce(F.least(F.greatest(raw, low), high), when_null)
 
     sized = (
-        requests.withColumn("_total", total_tokens(stream))
+        requests.withColumn("_total", total_tokens(stream, total))
         .withColumn("step", step)
         .withColumn("first", bound("start", F.when(down, n - 1).otherwise(F.lit(0))))
         .withColumn("last", bound("stop", F.when(down, F.lit(-1)).otherwise(n)))
@@ -180,9 +208,9 @@ def token_slices(stream: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def get_chunk(stream: DataFrame, requests: DataFrame) -> DataFrame:
+def get_chunk(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
     """Runs of (``request_id``, ``start``, ``length``); one that leaves the stream gives an ``error``."""
-    sized = requests.withColumn("_total", total_tokens(stream))
+    sized = requests.withColumn("_total", total_tokens(stream, total))
     inside = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("_total"))
     checked = sized.withColumn("error", F.when(~inside, F.lit("out of range")))
     wanted = checked.where("error is null").select(
@@ -206,7 +234,7 @@ def _train_size(total: Column, val_ratio: float) -> Column:
     return total - (total * F.lit(float(val_ratio))).cast("long")
 
 
-def split(stream: DataFrame, val_ratio: float = 0.05) -> DataFrame:
+def split(stream: DataFrame, val_ratio: float = 0.05, total: int | None = None) -> DataFrame:
     """Train and validation streams: the last ``trunc(total * val_ratio)`` tokens are validation.
 
     Adds ``split`` and counts ``start_pos`` from the start of each part. A document on the cut
@@ -218,13 +246,13 @@ def split(stream: DataFrame, val_ratio: float = 0.05) -> DataFrame:
         F.struct(F.lit("val").alias("split"), (F.col("start_pos") + cut - train).alias("start_pos"), cut.alias("from"), (n - cut).alias("n")),
     )
     return (
-        _with_cut(stream, val_ratio)
+        _with_cut(stream, val_ratio, total)
         .withColumn("p", F.explode(F.filter(parts, lambda p: p["n"] > 0)))
         .select("p.split", "doc_id", _part_ids(F.col("p.from"), F.col("p.n")).alias("ids"), F.col("p.n").alias("n_tokens"), "p.start_pos")
     )
 
 
-def split_part(stream: DataFrame, val_ratio: float, name: str) -> DataFrame:
+def split_part(stream: DataFrame, val_ratio: float, name: str, total: int | None = None) -> DataFrame:
     """One part of ``split`` as a stream of its own."""
     if name not in ("train", "val"):
         raise ValueError("a part is 'train' or 'val'")
@@ -233,16 +261,16 @@ def split_part(stream: DataFrame, val_ratio: float, name: str) -> DataFrame:
     skip, size = (F.lit(0), cut) if is_train else (cut, n - cut)
     start = F.col("start_pos") if is_train else F.col("start_pos") + cut - train
     return (
-        _with_cut(stream, val_ratio)
+        _with_cut(stream, val_ratio, total)
         .where(size > 0)
         .select("doc_id", _part_ids(skip, size).alias("ids"), size.alias("n_tokens"), start.alias("start_pos"))
     )
 
 
-def _with_cut(stream: DataFrame, val_ratio: float) -> DataFrame:
+def _with_cut(stream: DataFrame, val_ratio: float, total: int | None) -> DataFrame:
     """Add ``_train``, the size of the train part, and ``_cut``, how many ids of a document are in it."""
     inside = F.least(F.greatest(F.col("_train") - F.col("start_pos"), F.lit(0)), F.col("n_tokens"))
-    return stream.withColumn("_train", _train_size(total_tokens(stream), val_ratio)).withColumn("_cut", inside)
+    return stream.withColumn("_train", _train_size(total_tokens(stream, total), val_ratio)).withColumn("_cut", inside)
 
 
 def _part_ids(skip: Column, size: Column) -> Column:

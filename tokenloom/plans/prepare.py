@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.operators.bpe import train_bpe
 from tokenloom.operators.documents import documents, line_chunks, training_lines, with_doc_ids
 from tokenloom.operators.encode import encoder
-from tokenloom.operators.stream import dataset_stats, read_stream, split, split_part, write_stream
+from tokenloom.operators.stream import dataset_stats, read_stream, split, split_part, stream_total, write_stream
 from tokenloom.operators.unigram import train_unigram
 from tokenloom.operators.vocab import assemble_vocab
 from tokenloom.operators.words import alphabet, train_char, train_word, word_counts
@@ -82,10 +82,10 @@ def prepare_all(
     written = materialize(texts.select("doc_id", "text"), "texts")
     path = work_path(spark, "stream")
     write_stream(written, encoder(vocab, model), path, add_eos=by_document)
-    stream = read_stream(spark, path)
+    stream, total = read_stream(spark, path), stream_total(spark, path)
     ratio = (0.05 if by_document else 0.01) if val_ratio is None else val_ratio
     stats = [
-        dataset_stats(split_part(stream, ratio, name), context_length, header=by_document).withColumn("split", F.lit(name))
+        dataset_stats(split_part(stream, ratio, name, total), context_length, header=by_document).withColumn("split", F.lit(name))
         for name in ("train", "val")
     ]
-    return Prepared(vocab, stream, split(stream, ratio), stats[0].unionByName(stats[1]))
+    return Prepared(vocab, stream, split(stream, ratio, total), stats[0].unionByName(stats[1]))

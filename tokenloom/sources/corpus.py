@@ -68,12 +68,11 @@ def export_corpus(
     partition_by: str | None = None,
 ) -> None:
     """Write each text followed by a blank line, in document order over the part files. ``limit``
-    keeps the first documents; ``partition_by`` makes one folder per value."""
-    chosen = docs.orderBy(order_by)
-    if limit is not None:
-        chosen = chosen.limit(limit)
-    columns = [text] if partition_by is None else [text, partition_by]
-    writer = chosen.select(*columns).write.option("lineSep", "\n\n")
+    keeps the first documents; ``partition_by`` makes one folder per value, of as many files as its
+    share of the rows asks for."""
+    folder = [] if partition_by is None else [partition_by]
+    chosen = docs if limit is None else docs.orderBy(order_by).limit(limit)
+    writer = chosen.orderBy(*folder, order_by).select(text, *folder).write.option("lineSep", "\n\n")
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
     writer.text(path)
