@@ -215,7 +215,7 @@ def metrics(events: DataFrame) -> DataFrame:
 
 def a12_read_metrics(spark, sf):
     path = work_path(spark, "metrics")
-    run_logs.append_metrics(metrics(table(spark, sf, "events")).repartition("run"), path)
+    run_logs.append_metrics(metrics(table(spark, sf, "events")), path)
     return run_logs.read_metrics(spark, path)
 
 
@@ -514,17 +514,19 @@ def d10_extract_response(spark, sf):
 # --- runs
 
 
+@_shared
 def steps_of(spark, sf):
     """The events as training steps: a run per user, numbered by time."""
     events = table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", "ts"))
     numbered = running_before(events, "step", F.lit(1), "hour", ["ts", "event_id"], within=["user_id"])
-    return numbered.select(
+    steps_table = numbered.select(
         F.col("user_id").alias("run"),
         "step",
         (100 + F.col("event_id") % 50).alias("tokens"),
         (F.col("value") / 100).alias("seconds"),
         F.col("value").alias("val_loss"),
     )
+    return materialize(steps_table, "steps")
 
 
 def e1_throughput(spark, sf):

@@ -31,8 +31,7 @@ def number_ids(text):
     return F.transform(F.split(text, " "), lambda x: x.cast("int"))
 
 
-@pytest.mark.parametrize("per_block", [3, 50, 100_000])
-@pytest.mark.parametrize("n", [1, 8, 31])
+@pytest.mark.parametrize("per_block, n", [(3, 8), (50, 1), (50, 31), (100_000, 8)])
 def test_positions_do_not_depend_on_partitions(spark, partitions, n, per_block):
     partitions(n)
     rng = np.random.default_rng(1)
@@ -81,7 +80,7 @@ def test_pack(spark, twenty):
 
 
 @pytest.mark.parametrize("sizes", [[1] * 40, [40], [5, 0, 0, 5, 13, 2], [3], [0], [100, 1, 1, 250]])
-@pytest.mark.parametrize("context", [1, 4, 9])
+@pytest.mark.parametrize("context", [1, 4])
 def test_pack_any_documents(spark, sizes, context):
     n, width = sum(sizes), context + 1
     rows = make(spark, sizes)
@@ -96,7 +95,7 @@ def test_shift(spark, twenty):
     assert (row.input_ids, row.target_ids) == ([0, 1, 2, 3], [1, 2, 3, 4])
 
 
-@pytest.mark.parametrize("ratio", [0.0, 0.05, 0.3, 0.65, 1.0])
+@pytest.mark.parametrize("ratio", [0.0, 0.3, 1.0])
 def test_split(spark, twenty, ratio):
     val = int(20 * ratio)
     parts = stream.split(twenty, ratio)

@@ -58,8 +58,11 @@ def normalize(text: Column, form: str = "identity") -> Column:
         raise ValueError(f"unknown normalisation form: {form}")
     if form == "nfkc":
         text = _compatibility_form(text)
-    body = F.regexp_replace(F.btrim(text, F.lit(" ")), " +", SPACE_MARK)
-    return F.when(body == "", "").otherwise(F.concat(F.lit(SPACE_MARK), body))
+    body = F.btrim(text, F.lit(" "))
+    marked = F.when(F.contains(body, F.lit("  ")), F.regexp_replace(body, " +", SPACE_MARK)).otherwise(
+        F.replace(body, F.lit(" "), F.lit(SPACE_MARK))
+    )
+    return F.when(body == "", "").otherwise(F.concat(F.lit(SPACE_MARK), marked))
 
 
 def units(text: Column, form: str = "identity") -> Column:

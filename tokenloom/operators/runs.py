@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.positions import running_before, running_min_before
+from tokenloom.session import materialize, ship_package
 
 STEPS_PER_BLOCK = 100_000
 
@@ -61,12 +62,13 @@ def early_stopping(evals: DataFrame, patience: int = 10, min_delta: float = 0.00
 
     Only an evaluation below all before it can be accepted, so the others are filtered out in
     parallel; what is left is folded in step order as a stream of sorted rows, holding one small
-    state and never a whole run.
+    state and never a whole run. The numbered evaluations are read three times and so are written
+    once.
     """
     if patience < 1:
         raise ValueError("patience must be at least 1")
     blocked = evals.select("run", "step", "val_loss").withColumn("block", _step_block())
-    numbered = running_before(blocked, "at", F.lit(1), "block", ["step"], within=["run"])
+    numbered = materialize(running_before(blocked, "at", F.lit(1), "block", ["step"], within=["run"]), "evals")
     lows = running_min_before(numbered, "lowest", F.col("val_loss"), "block", ["step"], within=["run"])
     records = lows.where(F.col("lowest").isNull() | (F.col("val_loss") < F.col("lowest")))
 
@@ -80,6 +82,7 @@ def early_stopping(evals: DataFrame, patience: int = 10, min_delta: float = 0.00
                 keep.append(state.accepts(at, value, patience, min_delta))
             yield frame[keep]
 
+    ship_package(evals.sparkSession)
     ordered = records.select("run", "at", "step", "val_loss").repartition("run").sortWithinPartitions("run", "at")
     accepted = (
         ordered.mapInPandas(fold, ordered.schema)

@@ -181,7 +181,7 @@ def token_slices(stream: DataFrame, requests: DataFrame, total: int | None = Non
         raw = F.when(F.col(name) < 0, F.col(name) + n).otherwise(F.col(name))
         low = F.when(down, F.lit(-1)).otherwise(F.lit(0))
         high = F.when(down, n - 1).otherwise(n)
-        return F.coalesce(F.least(F.greatest(raw, low), high), when_null)
+        return F.when(F.col(name).isNull(), when_null).otherwise(F.least(F.greatest(raw, low), high))
 
     sized = (
         requests.withColumn("_total", total_tokens(stream, total))

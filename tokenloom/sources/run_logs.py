@@ -19,6 +19,8 @@ METRICS_FORMATS = {
     "grad_norm": ".4f",
 }
 
+_STEPS_PER_FILE = 1_000_000
+
 # The fields of a checkpoint's model settings; others are dropped on reading.
 MANIFEST_SCHEMA = (
     "model struct<vocab_size: long, embedding_dim: long, num_layers: long, num_heads: long, ff_dim: long, "
@@ -60,9 +62,10 @@ def format_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append log rows below ``path``, one folder per run."""
-    writer = format_metrics(metrics).write.mode("append").partitionBy("run")
-    writer.csv(path, header=True, emptyValue="")
+    """Append log rows below ``path``, one folder per run, in a file per ``_STEPS_PER_FILE`` steps,
+    so a run of any length is written by many tasks."""
+    rows = metrics.repartition("run", F.floor(F.col("step") / _STEPS_PER_FILE)).sortWithinPartitions("run", "step")
+    format_metrics(rows).write.mode("append").partitionBy("run").csv(path, header=True, emptyValue="")
 
 
 def estimated_params(norms: bool = True):

@@ -89,7 +89,9 @@ class TokenReader(DataSourceReader):
             pos += length
         return ranges
 
-    def read(self, part: TokenRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: TokenRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a store without tokens has no ranges
+            return
         system, _ = _open(self.path)
         with system.open_input_file(part.file) as f:
             f.seek(part.offset)
