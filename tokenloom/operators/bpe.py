@@ -48,9 +48,11 @@ def _segments(words: DataFrame, letters: DataFrame) -> DataFrame:
 
 
 def _apply(symbols: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    for pair, merged in merges:
-        symbols = F.replace(symbols, F.lit(pair), F.lit(merged))
-    return symbols
+    """Replace pairs by their merged symbol, in order. The merges are data to one expression, so
+    Spark compiles it once for all rounds."""
+    rows = json.dumps([{"pair": pair, "merged": merged} for pair, merged in merges])
+    table = F.from_json(F.lit(rows), "array<struct<pair: string, merged: string>>")
+    return F.aggregate(table, symbols, lambda s, m: F.replace(s, m["pair"], m["merged"]))
 
 
 def pair_counts(state: DataFrame) -> DataFrame:

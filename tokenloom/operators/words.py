@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.tables import PIECE_BASE, USER_SYMBOLS
 from tokenloom.functions.text import SPACE_MARK, characters, strip, units
+from tokenloom.session import ship_package
 
 
 def word_counts(
@@ -17,6 +18,8 @@ def word_counts(
     Texts are taken line by line; lines longer than ``max_sentence_length`` bytes are left out, as
     are chat markers. The count is combined map-side, so a frequent unit is one row per task.
     """
+    if form != "identity":
+        ship_package(texts.sparkSession)
     lines = texts.select(F.explode(F.split(text, "\n")).alias("line"))
     kept = lines.where(
         (F.octet_length("line") <= max_sentence_length) & (strip(F.col("line")) != "")
