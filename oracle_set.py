@@ -229,6 +229,9 @@ FROM written w JOIN logged l ON l.step = w.step::BIGINT"""
 # A document read back from a text file ends with a newline, which encodes as one more byte.
 _FILE_DOCS = _WORDS + _encoded("enc", "(SELECT *, text || chr(10) AS body FROM documents)", "doc_id", "body", " || [3]")
 
+# Encoding drops spaces at the ends and counts a run of them as one; decoding gives that text back.
+_DECODED = "SELECT doc_id, regexp_replace(trim(text, ' '), ' +', ' ', 'g') AS text FROM documents"
+
 
 def _batch_rows(source: str, count: str) -> str:
     return f"""SELECT rank // {BATCH} AS batch_no, (rank % {BATCH})::INT AS slot, seq_idx, tokens
@@ -265,7 +268,7 @@ SELECT file, trim(line, '{_SPACES}') AS line FROM lines WHERE trim(line, '{_SPAC
 numbered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id, line_no) - 1 AS ord FROM lines)
 SELECT file, ord // {CHUNK} AS chunk_no, string_agg(line, chr(10) ORDER BY ord) || chr(10) AS text, count(*)::BIGINT AS n_lines
 FROM numbered GROUP BY 1, 2""",
-    "A5_export_corpus": "SELECT text FROM documents ORDER BY doc_id LIMIT 100000",
+    "A5_export_corpus": "SELECT text FROM documents",
     "A6_scan_prompts": f"""
 SELECT prompt FROM (SELECT trim(unnest(string_split(text, chr(10))), '{_SPACES}') AS prompt FROM benchmark) WHERE prompt <> ''""",
     "A7_write_results": "SELECT text AS result FROM benchmark",
@@ -286,6 +289,12 @@ SELECT user_id::VARCHAR AS run, step::BIGINT AS step, val_loss, w AS embedding_d
 FROM saves""",
     "B1_word_counts": _WORDS + "\nSELECT word, n FROM counts",
     "B2_alphabet": _WORDS + "\nSELECT char, n, rank FROM alphabet",
+    "B3_pair_counts": _WORDS
+    + """,
+spread AS (SELECT n, cs, unnest(range(1, len(cs))) AS i FROM (SELECT n, regexp_extract_all(word, '(?s).') AS cs FROM counts)),
+pairs AS (SELECT cs[i] AS l, cs[i + 1] AS r, n FROM spread)
+SELECT l || r AS pair, sum(n)::BIGINT AS c FROM pairs
+WHERE l IN (SELECT char FROM alphabet) AND r IN (SELECT char FROM alphabet) GROUP BY 1""",
     "B5_train_word": _WORDS + "\nSELECT piece, n, rank FROM words",
     "B5_train_char": _WORDS
     + f"""
@@ -306,8 +315,9 @@ UNION ALL SELECT (ord + 263)::INT, piece, (0 - ord)::DOUBLE, 'piece' FROM laid W
     "B7_encode": _WORDS
     + _encoded("enc", "documents", "doc_id", "text", " || [3]")
     + f"\nSELECT doc_id, {_csv('[2] || ids')} AS ids FROM enc",
-    "B8_decode": f"""
-SELECT doc_id, regexp_replace(trim(text, ' '), ' +', ' ', 'g') AS text FROM documents""",
+    "B8_decode": _DECODED,
+    "B8_decode_bpe": _DECODED,
+    "B8_decode_unigram": _DECODED,
     "B9_encode_chat": _WORDS
     + _encoded("enc", "(SELECT *, conv_id * 100000 + turn AS k FROM conversations)", "k", "text")
     + f"""

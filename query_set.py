@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.positions import running_before
 from tokenloom.operators import chat, documents, encode, packing, runs, scoring, stream, vocab, words
-from tokenloom.operators.bpe import train_bpe
+from tokenloom.operators.bpe import pair_counts, segments, train_bpe
 from tokenloom.operators.unigram import train_unigram
 from tokenloom.plans import prepare, steps
 from tokenloom.session import materialize, work_path
@@ -47,12 +47,18 @@ def _shared(make: Query) -> Query:
     return get
 
 
+@functools.cache
+def input_bytes(path: str, app: str) -> int:
+    files = SparkSession.active().read.format("binaryFile").load(path)
+    return files.agg(F.sum("length").alias("n")).first().n
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table, spread over the cores if its files give fewer splits than that."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores) if size < cores * (64 << 20) else df
+    """A table, spread over the cores if its files are too small to give each core a split."""
+    path = f"{sf}/{name}.parquet"
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    small = input_bytes(path, spark.sparkContext.applicationId) < cores * (64 << 20)
+    return df.repartition(2 * cores) if small else df
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,6 +99,16 @@ def merges(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(train_bpe(counted(spark, sf), BPE_VOCAB, letters(spark, sf)), "merges")
 
 
+@_shared
+def unigram_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(train_unigram(counted(spark, sf), UNIGRAM_VOCAB, UNIGRAM_SEEDS), "pieces")
+
+
+@_shared
+def unigram_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(vocab.assemble_vocab(unigram_pieces(spark, sf), None, UNIGRAM_VOCAB), "vocab")
+
+
 @_shared
 def bpe_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(vocab.assemble_vocab(merges(spark, sf), letters(spark, sf), BPE_VOCAB), "vocab")
@@ -154,7 +170,7 @@ def a4_line_chunks(spark, sf):
 
 def a5_export_corpus(spark, sf):
     path = work_path(spark, "export")
-    corpus.export_corpus(docs(spark, sf), path, limit=100_000)
+    corpus.export_corpus(docs(spark, sf), path)
     return spark.read.option("lineSep", "\n\n").text(path).withColumnRenamed("value", "text")
 
 
@@ -269,8 +285,12 @@ def b3_train_bpe(spark, sf):
     return merges(spark, sf)
 
 
+def b3_pair_counts(spark, sf):
+    return pair_counts(segments(counted(spark, sf), letters(spark, sf)))
+
+
 def b4_train_unigram(spark, sf):
-    return train_unigram(counted(spark, sf), UNIGRAM_VOCAB, UNIGRAM_SEEDS)
+    return unigram_pieces(spark, sf)
 
 
 def b5_train_word(spark, sf):
@@ -301,6 +321,19 @@ def b8_decode(spark, sf):
     return encode.decode(ids, word_vocab(spark, sf)).select("doc_id", "text")
 
 
+def round_trip(spark, sf, vocabulary: DataFrame, model: str) -> DataFrame:
+    encoded = encode.encode(docs(spark, sf), encode.encoder(vocabulary, model), add_bos=True, add_eos=True)
+    return encode.decode(encoded.select("doc_id", "ids"), vocabulary).select("doc_id", "text")
+
+
+def b8_decode_bpe(spark, sf):
+    return round_trip(spark, sf, bpe_vocab(spark, sf), "bpe")
+
+
+def b8_decode_unigram(spark, sf):
+    return round_trip(spark, sf, unigram_vocab(spark, sf), "unigram")
+
+
 def b9_encode_chat(spark, sf):
     out = chat.encode_chat(table(spark, sf, "conversations"), word_encoder(spark, sf))
     return out.select("conv_id", csv("ids").alias("ids"))
@@ -411,7 +444,8 @@ def c11_get_batch(spark, sf):
 def c12_loaders(spark, sf):
     rows, total = token_rows(spark, sf), token_count(spark, sf)
     train, val = (stream.split_part(rows, 0.05, name, total) for name in ("train", "val"))
-    out = packing.loaders(train, val, CONTEXT, BATCH)
+    held_out = int(total * 0.05)
+    out = packing.loaders(train, val, CONTEXT, BATCH, totals=(total - held_out, held_out))
     return out.select(
         "split", "batch_no", "slot", "seq_idx", csv("input_ids").alias("input_ids"), csv("target_ids").alias("target_ids")
     )
@@ -634,6 +668,7 @@ QUERIES: dict[str, Query] = {
     "B1_word_counts": b1_word_counts,
     "B2_alphabet": b2_alphabet,
     "B3_train_bpe": b3_train_bpe,
+    "B3_pair_counts": b3_pair_counts,
     "B4_train_unigram": b4_train_unigram,
     "B5_train_word": b5_train_word,
     "B5_train_char": b5_train_char,
@@ -641,6 +676,8 @@ QUERIES: dict[str, Query] = {
     "B7_encode": b7_encode,
     "B7_encode_bpe": b7_encode_bpe,
     "B8_decode": b8_decode,
+    "B8_decode_bpe": b8_decode_bpe,
+    "B8_decode_unigram": b8_decode_unigram,
     "B9_encode_chat": b9_encode_chat,
     "B10_render_chat": b10_render_chat,
     "B11_lookup": b11_lookup,

@@ -31,17 +31,21 @@ _ROUND_CANDIDATES = 256
 _PENDING_LIMIT = 24
 
 
-def _segments(words: DataFrame, letters: DataFrame) -> DataFrame:
-    """Units cut at characters outside the alphabet: ``s``, ``n``."""
-    known = letters.where(~F.col("char").rlike(_PRIVATE)).agg(F.collect_set("char")).scalar()
+def segments(words: DataFrame, letters: DataFrame) -> DataFrame:
+    """Units cut at characters outside the alphabet: ``s``, ``n``.
+
+    The alphabet is a constant string (Unicode bounds it), which makes the check one hash lookup per
+    character; few units hold a character outside it.
+    """
+    known = "".join(r.char for r in letters.where(~F.col("char").rlike(_PRIVATE)).select("char").collect())
     gap = F.lit(chr(_FIRST_CODE))
-    spaced = F.transform(
-        characters(F.col("word")), lambda c: F.when(F.array_contains(F.col("_known"), c), c).otherwise(gap)
-    )
-    parts = F.filter(F.split(F.array_join(spaced, ""), gap), lambda p: F.length(p) > 1)
+    foreign = F.translate("word", known, "")
+    parted = F.call_function("translate", F.col("word"), F.col("foreign"), F.repeat(gap, F.length("foreign")))
+    parts = F.when(F.col("foreign") == "", F.array("word")).otherwise(F.split(parted, gap))
     return (
-        words.withColumn("_known", known)
+        words.withColumn("foreign", foreign)
         .select(F.explode(parts).alias("s"), "n")
+        .where(F.length("s") > 1)
         .groupBy("s")
         .agg(F.sum("n").alias("n"))
     )
@@ -83,7 +87,7 @@ def train_merges(words: DataFrame, letters: DataFrame, n_pieces: int) -> list[tu
     """The merges that give ``n_pieces`` new pieces, in order. A pair whose text is already a piece
     is left alone."""
     tasks = words.sparkSession.sparkContext.defaultParallelism
-    state = materialize(_segments(words, letters).repartition(tasks), "bpe")
+    state = materialize(segments(words, letters).repartition(tasks), "bpe")
     merges: list[tuple[str, str]] = []
     texts: list[str] = []
     pending: list[tuple[str, str]] = []

@@ -130,15 +130,25 @@ def get_batch(sequences: DataFrame, batch_idx: int, batch_size: int) -> DataFram
 
 
 def loaders(
-    train: DataFrame, val: DataFrame, context_length: int, batch_size: int, seed: int = 42, overlap: bool = False
+    train: DataFrame,
+    val: DataFrame,
+    context_length: int,
+    batch_size: int,
+    seed: int = 42,
+    overlap: bool = False,
+    totals: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Batches of both splits with a ``split`` column: train shuffled, validation in order."""
+    """Batches of both splits with a ``split`` column: train shuffled, validation in order.
+
+    ``totals`` are the token counts of the two streams, which are added up if not given.
+    """
     pack = pack_overlap if overlap else pack_disjoint
+    if totals is None:
+        totals = tuple(s.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n for s in (train, val))
     out = []
-    for name, stream in (("train", train), ("val", val)):
-        tokens = stream.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"))
-        count = tokens.select(sequence_count(F.col("n"), context_length, overlap).alias("n")).first().n
-        packed = pack(stream, context_length)
+    for name, stream, total in (("train", train, totals[0]), ("val", val, totals[1])):
+        count = max((total - 1) // context_length, 0) if overlap else total // (context_length + 1)
+        packed = pack(stream, context_length, total)
         ranked = shuffle(packed, seed, num_sequences=count) if name == "train" else in_order(packed)
         out.append(shift_targets(batches(ranked, batch_size, count)).withColumn("split", F.lit(name)))
     return out[0].unionByName(out[1])

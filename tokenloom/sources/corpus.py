@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,8 @@ from tokenloom.functions.text import strip
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.exists(where) and system.getFileStatus(where).isFile()
+    found = [r.path for r in spark.read.format("binaryFile").load(path).select("path").head(2)]
+    return len(found) == 1 and unquote(urlparse(found[0]).path) == urlparse(path).path.rstrip("/")
 
 
 def scan_corpus(
