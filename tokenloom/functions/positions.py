@@ -62,7 +62,7 @@ MAX_BLOCKS = 1 << 20  # keeps the block tables small enough to broadcast
 _SAMPLES_PER_BLOCK = 8
 
 
-def range_block(df: DataFrame, key: str, rows_per_block: int = 200_000, min_blocks: int | None = None) -> tuple[Column, int]:
+def range_block(df: DataFrame, key: str, rows_per_block: int = 1_000_000, min_blocks: int | None = None) -> tuple[Column, int]:
     """A column that cuts the integer ``key`` into blocks of about equal row count, in key order.
 
     Only the key column is read. The bounds are taken from a sample of the keys and fixed as a

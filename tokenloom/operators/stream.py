@@ -31,18 +31,19 @@ def write_stream(
     key: str = "doc_id",
     text: str = "text",
     add_eos: bool = True,
-    rows_per_block: int = 200_000,
+    rows_per_block: int = 1_000_000,
 ) -> None:
     """Encode documents in ``key`` order and write them with their start inside their block.
 
-    One shuffle brings the texts of a block together; encoding and the running sum follow in the
-    same stage. ``path`` gets the folders ``rows`` and ``blocks``.
+    One shuffle gives every block a task of its own; encoding and the running sum follow in the same
+    stage, and each file of the table holds one block. ``path`` gets the folders ``rows`` and
+    ``blocks``.
     """
     spark = docs.sparkSession
     block, n_blocks = range_block(docs, key, rows_per_block)
-    tasks = max(1, n_blocks // 2)
     ahead = Window.partitionBy("block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.select(F.col(key).cast("long").alias(key), text).withColumn("block", block).repartition(tasks, "block")
+    placed = docs.select(F.col(key).cast("long").alias(key), text).withColumn("block", block)
+    placed = placed.repartitionById(n_blocks, F.col("block"))
     (
         encode(placed, ids_of, text, add_eos=add_eos)
         .select("block", key, "ids", F.size("ids").cast("long").alias("n_tokens"))
