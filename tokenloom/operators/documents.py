@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.positions import running_before
+from tokenloom.functions.positions import MAX_BLOCKS, running_before
 from tokenloom.functions.text import is_blank, strip
+from tokenloom.session import materialize
 
 _BLOCK = ["file", "block_start"]
 
@@ -33,33 +34,27 @@ def table_lines(
 def documents(lines: DataFrame, keep_newline: bool = True) -> DataFrame:
     """Runs of non-blank lines within a file: ``file``, ``doc_no`` (from 0), ``text``.
 
-    ``keep_newline`` ends the text with a newline, as every line of the run has one.
+    ``keep_newline`` ends the text with a newline, as every line of the run has one. The runs of
+    each block are written once; the block edges come from their narrow columns.
     """
-    by_block = Window.partitionBy(*_BLOCK)
-    in_order = by_block.orderBy("row_key")
-    flagged = lines.withColumn("blank", is_blank(F.col("line")))
-    starts = ~F.col("blank") & F.coalesce(F.lag("blank").over(in_order), F.lit(True))
-    runs = (
-        flagged.withColumn("starts", starts)
-        .withColumn("run", F.sum(F.col("starts").cast("long")).over(in_order))
-        .withColumn("text_line", F.when(~F.col("blank"), F.struct("row_key", "line")))
-        .groupBy(*_BLOCK, "run")
-        .agg(F.array_sort(F.collect_list("text_line")).alias("rows"))
-        .withColumn("last_run", F.max("run").over(by_block))
-    )
-    # run 0 holds only the blank lines ahead of the first run of a block.
-    placed = runs.where("run > 0").join(_block_edges(lines), _BLOCK)
-    pieces = placed.select(
-        "file",
-        (F.col("doc_base") + F.col("run") - 1 - F.col("continues").cast("long")).alias("doc_no"),
-        "block_start",
-        F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"),
-        ((F.col("run") == 1) & F.col("continues")).alias("from_before"),
-        ((F.col("run") == F.col("last_run")) & F.col("continued")).alias("goes_on"),
+    runs = materialize(_block_runs(lines), "runs")
+    edges = materialize(_block_edges(runs), "edges")
+    if edges.count() <= MAX_BLOCKS:
+        edges = F.broadcast(edges)
+    pieces = (
+        runs.where("run > 0")
+        .join(edges, _BLOCK)
+        .select(
+            "file",
+            (F.col("doc_base") + F.col("run") - 1 - F.col("continues").cast("long")).alias("doc_no"),
+            "block_start",
+            "text",
+            ((F.col("opens") & F.col("continues")) | (F.col("closes") & F.col("continued"))).alias("cut"),
+        )
     )
-    closed = pieces.where("not from_before and not goes_on").select("file", "doc_no", "text")
+    closed = pieces.where("not cut").select("file", "doc_no", "text")
     joined = (
-        pieces.where("from_before or goes_on")
+        pieces.where("cut")
         .groupBy("file", "doc_no")
         .agg(F.array_sort(F.collect_list(F.struct("block_start", "text"))).alias("parts"))
         .select("file", "doc_no", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
@@ -68,27 +63,37 @@ def documents(lines: DataFrame, keep_newline: bool = True) -> DataFrame:
     return result.withColumn("text", F.concat("text", F.lit("\n"))) if keep_newline else result
 
 
-def _block_edges(lines: DataFrame) -> DataFrame:
-    """Per block: whether a document runs in from the block before or on into the next one, and
-    how many documents start ahead of it in the file. One narrow row per block."""
+def _block_runs(lines: DataFrame) -> DataFrame:
+    """The runs of non-blank lines inside each block, numbered from 1, and whether a run opens or
+    closes its block. Run 0 stands for blank lines that open one."""
     in_order = Window.partitionBy(*_BLOCK).orderBy("row_key")
-    by_file = Window.partitionBy("file").orderBy("block_start")
-    blank = lines.select(*_BLOCK, "row_key", is_blank(F.col("line")).alias("blank"))
-    starts = ~F.col("blank") & F.coalesce(F.lag("blank").over(in_order), F.lit(True))
-    blocks = (
-        blank.withColumn("starts", starts.cast("long"))
-        .groupBy(*_BLOCK)
+    blank, before = F.col("blank"), F.col("before")
+    return (
+        lines.withColumn("blank", is_blank(F.col("line")))
+        .withColumn("before", F.lag("blank").over(in_order))
+        .withColumn("is_last", F.lead("blank").over(in_order).isNull())
+        .withColumn("run", F.sum((~blank & F.coalesce(before, F.lit(True))).cast("long")).over(in_order))
+        .withColumn("kept", F.when(~blank, F.struct("row_key", "line")))
+        .groupBy(*_BLOCK, "run")
         .agg(
-            F.sum("starts").alias("starts"),
-            F.min_by("blank", "row_key").alias("first_blank"),
-            F.max_by("blank", "row_key").alias("last_blank"),
+            F.array_sort(F.collect_list("kept")).alias("rows"),
+            F.bool_or(before.isNull() & ~blank).alias("opens"),
+            F.bool_or(F.col("is_last") & ~blank).alias("closes"),
         )
+        .select(*_BLOCK, "run", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"), "opens", "closes")
+    )
+
+
+def _block_edges(runs: DataFrame) -> DataFrame:
+    """Per block: whether its first document began in the block before, whether its last goes on in
+    the next one, and how many documents of the file begin ahead of it."""
+    by_file = Window.partitionBy("file").orderBy("block_start")
+    blocks = runs.groupBy(*_BLOCK).agg(
+        F.max("run").alias("starts"), F.bool_or("opens").alias("opens"), F.bool_or("closes").alias("closes")
     )
     return (
-        blocks.withColumn(
-            "continues", ~F.col("first_blank") & ~F.coalesce(F.lag("last_blank").over(by_file), F.lit(True))
-        )
-        .withColumn("continued", ~F.col("last_blank") & F.coalesce(F.lead("continues").over(by_file), F.lit(False)))
+        blocks.withColumn("continues", F.col("opens") & F.coalesce(F.lag("closes").over(by_file), F.lit(False)))
+        .withColumn("continued", F.coalesce(F.lead("continues").over(by_file), F.lit(False)))
         .withColumn("new", F.col("starts") - F.col("continues").cast("long"))
         .withColumn("doc_base", F.sum("new").over(by_file) - F.col("new"))
         .select(*_BLOCK, "continues", "continued", "doc_base")
@@ -102,9 +107,10 @@ def training_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def line_chunks(lines: DataFrame, chunk_size: int = 10_000) -> DataFrame:
     """``chunk_size`` consecutive lines of a file per row, newlines kept: ``file``, ``chunk_no``,
-    ``text``, ``n_lines``. The last chunk of a file holds what is left."""
+    ``text``, ``n_lines``. The last chunk of a file holds what is left. The chunks and parts of chunks
+    of each block are written once."""
     numbered = running_before(lines, "line_no", F.lit(1), "block_start", ["row_key"], within=["file"])
-    parts = (
+    fragments = (
         numbered.withColumn("chunk_no", F.floor(F.col("line_no") / chunk_size))
         .groupBy(*_BLOCK, "chunk_no")
         .agg(
@@ -120,6 +126,7 @@ def line_chunks(lines: DataFrame, chunk_size: int = 10_000) -> DataFrame:
             F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"),
         )
     )
+    parts = materialize(fragments, "chunks")
     whole = parts.where(F.col("n_lines") == chunk_size).select("file", "chunk_no", "text", "n_lines")
     rest = (
         parts.where(F.col("n_lines") < chunk_size)
