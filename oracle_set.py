@@ -276,7 +276,8 @@ SELECT prompt FROM (SELECT trim(unnest(string_split(text, chr(10))), '{_SPACES}'
     + "\nSELECT count(*)::BIGINT AS n_tokens, sum((pos % 10007) * id)::BIGINT AS checksum FROM toks",
     "A9_write_tokens": _STREAM + _packed(1024) + f"\nSELECT seq_idx, {_csv('tokens')} AS tokens FROM packed",
     "A10_read_vocab": _WORDS + "\nSELECT id, piece, score, kind FROM vocab",
-    "A11_write_vocab": _WORDS + "\nSELECT piece || chr(9) || score::BIGINT AS row FROM vocab",
+    "A11_write_vocab": _WORDS + """
+SELECT piece || chr(9) || CASE WHEN kind = 'piece' AND score = 0 THEN '-0' ELSE score::BIGINT::VARCHAR END AS row FROM vocab""",
     "A12_read_metrics": _READ_LOG,
     "A13_append_metrics": _LOGGED + "\nSELECT * FROM written",
     "A14_read_checkpoints": """

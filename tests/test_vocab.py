@@ -181,6 +181,8 @@ def test_vocab_file_round_trip(spark, tmp_path):
     back = vocab_files.read_vocab(spark, str(tmp_path / "v"))
     assert vocab.collect_vocab(back) == vocab.collect_vocab(made)
     rows = vocab.collect_vocab(back)
+    written = "".join(f.read_text() for f in (tmp_path / "v").glob("part*"))
+    assert '\n▁"\t-0\n"\t-1\n' in written
     assert [r.piece for r in rows[263:]] == ['▁"', '"', "▁the", "\\", "#"]
     assert (rows[7].piece, rows[262].piece, rows[1].kind) == ("<0x00>", "<0xFF>", "unknown")
 
@@ -198,6 +200,7 @@ def test_lookups_and_info(spark):
     assert {r.piece: r.id for r in vocab.lookup_id(asked, made).collect()} == {"▁the": 263, "zzz": 1, "<|user|>": 4}
     ids = spark.createDataFrame([(263,), (9999,)], "id int")
     assert {r.id: r.piece for r in vocab.lookup_piece(ids, made).collect()} == {263: "▁the", 9999: None}
+    assert vocab.ids_of_pieces(made, ["<|user|>", "<|end|>", "▁the"]) == [4, 1, 263]
     info = vocab.vocab_info(made.where("piece <> '<|system|>'")).first()
     assert (info.vocab_size, info.user_id, info.system_id) == (263, 4, 1)
 

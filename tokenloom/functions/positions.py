@@ -28,6 +28,7 @@ def running_before(
 
     Rows are ordered by ``block`` and then ``order_by`` inside each ``within`` group. ``block``
     must grow with the order, and one block must fit a task; a group may span any number of them.
+    Neither ``block`` nor ``within`` may hold nulls.
     """
     zero = F.lit(0).cast("long")
     local, ahead = _two_phase(df, value.cast("long"), F.sum, block, order_by, within)

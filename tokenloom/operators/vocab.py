@@ -89,6 +89,12 @@ def lookup_id(pieces: DataFrame, vocab: DataFrame, piece_col: str = "piece") ->
     return joined.withColumn("id", F.coalesce("id", F.lit(SPECIAL_IDS["unk"])))
 
 
+def ids_of_pieces(vocab: DataFrame, pieces: list[str]) -> list[int]:
+    """Ids of a few given pieces, such as stop tokens; unknown ones become the unknown id."""
+    known = {r.piece: r.id for r in vocab.where(F.col("piece").isin(pieces)).select("piece", "id").collect()}
+    return [known.get(p, SPECIAL_IDS["unk"]) for p in pieces]
+
+
 def vocab_info(vocab: DataFrame) -> DataFrame:
     """One row: the size and the id of each special token (the unknown id where one is missing)."""
     unk = F.lit(SPECIAL_IDS["unk"])

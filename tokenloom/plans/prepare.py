@@ -51,6 +51,11 @@ def train_vocab(
     return materialize(vocab, "vocab")
 
 
+def train_from_text(spark: SparkSession, text: str, vocab_size: int = 32000, **options) -> DataFrame:
+    """A vocabulary table from one text in hand."""
+    return train_vocab(spark.createDataFrame([(text,)], "text string"), vocab_size, **options)
+
+
 def prepare_all(
     spark: SparkSession,
     raw_path: str,

@@ -15,14 +15,18 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("id", "row"))
     piece = F.regexp_extract("row", "^(.*)\t([^\t]*)$", 1)
-    score = F.regexp_extract("row", "^(.*)\t([^\t]*)$", 2).cast("double")
+    score = F.regexp_extract("row", "^(.*)\t([^\t]*)$", 2).cast("double") + F.lit(0.0)
     return lines.select("id", piece.alias("piece"), score.alias("score"), piece_kind(piece).alias("kind"))
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    """One ordered file in the folder ``path``; scores as SentencePiece writes them, whole where they can be."""
-    score = F.when(F.col("score") == F.floor("score"), F.col("score").cast("long").cast("string")).otherwise(
-        F.col("score").cast("string")
+    """One ordered file in the folder ``path``. Whole scores have no decimals, and the first trained
+    piece scores ``-0``."""
+    whole = F.col("score").cast("long").cast("string")
+    score = (
+        F.when((F.col("kind") == "piece") & (F.col("score") == 0), "-0")
+        .when(F.col("score") == F.floor("score"), whole)
+        .otherwise(F.col("score").cast("string"))
     )
     rows = vocab.limit(MAX_VOCAB).coalesce(1).sortWithinPartitions("id")
     rows.select(F.concat_ws("\t", "piece", score).alias("row")).write.text(path)
