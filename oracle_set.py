@@ -154,7 +154,7 @@ WITH losses AS (
 _STEPS = """
 WITH RECURSIVE steps AS (
   SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
-    100 + event_id % 50 AS tokens, value / 100 AS seconds, value AS val_loss
+    100 + event_id % 50 AS tokens, round(value * 100) AS seconds, value AS val_loss
   FROM events
 )"""
 
@@ -486,8 +486,8 @@ SELECT doc_id, {_csv(f"ids[1:coalesce(least(nullif(list_position(ids, 3), 0), nu
     "D10_extract_response": "SELECT conv_id, turn, text AS response FROM conversations",
     "E1_throughput": _STEPS
     + """
-SELECT run, (step // 10 + 1) * 10 AS step, sum(tokens)::BIGINT AS tokens, round(sum(seconds), 6) AS seconds,
-  round(sum(tokens) / greatest(sum(seconds), 1e-6), 6) AS tokens_per_sec
+SELECT run, (step // 10 + 1) * 10 AS step, sum(tokens)::BIGINT AS tokens, sum(seconds) AS seconds,
+  sum(tokens)::DOUBLE / greatest(sum(seconds), 1e-6::DOUBLE) AS tokens_per_sec
 FROM steps GROUP BY run, step // 10 HAVING count(*) = 10""",
     "E2_early_stopping": _STOPPING,
     "E3_best_checkpoints": _BEST + "\nSELECT run, step, val_loss, is_best FROM flagged",
@@ -496,17 +496,13 @@ FROM steps GROUP BY run, step // 10 HAVING count(*) = 10""",
 aged AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS age,
   max(CASE WHEN is_best THEN step END) OVER (PARTITION BY run) AS best FROM flagged)
 SELECT run, step, val_loss, is_best, age <= 3 OR step = best AS kept, NOT (age <= 3 OR step = best) AS removed FROM aged""",
-    "E5_step_time_report": _REPORT
-    + """
-SELECT run, round(avg_step_time, 6) AS avg_step_time, round(min_step_time, 6) AS min_step_time,
-  round(max_step_time, 6) AS max_step_time, round(avg_tokens_per_sec, 6) AS avg_tokens_per_sec, total_tokens,
-  round(est_seconds, 6) AS est_seconds, round(est_hours, 6) AS est_hours, round(est_days, 6) AS est_days FROM report""",
+    "E5_step_time_report": _REPORT + "\nSELECT * FROM report",
     "E6_cloud_cost": _REPORT
     + """,
 offers(offer, speedup, price) AS (VALUES ('RTX 4090 (Vast.ai)', 15::DOUBLE, 0.40::DOUBLE),
   ('A100 40GB (Lambda)', 25::DOUBLE, 1.10::DOUBLE), ('A100 80GB (RunPod)', 35::DOUBLE, 1.60::DOUBLE), ('H100 (GCP)', 50::DOUBLE, 3.50::DOUBLE))
-SELECT run, round(est_hours, 6) AS est_hours, offer, speedup, price, round(est_hours / speedup, 6) AS cloud_hours,
-  round(est_hours / speedup * price, 6) AS cloud_cost FROM report CROSS JOIN offers""",
+SELECT run, est_hours, offer, speedup, price, est_hours / speedup AS cloud_hours,
+  est_hours / speedup * price AS cloud_cost FROM report CROSS JOIN offers""",
     "F1_stream_prepare": _FILE_DOCS
     + """
 SELECT source, count(*)::BIGINT AS n_docs, sum(len(ids))::BIGINT AS n_tokens, sum(list_sum(ids))::BIGINT AS id_sum

@@ -550,21 +550,22 @@ def d10_extract_response(spark, sf):
 
 @_shared
 def steps_of(spark, sf):
-    """The events as training steps: a run per user, numbered by time."""
+    """The events as training steps: a run per user, numbered by time. Whole seconds keep sums exact,
+    so results that follow from them compare without rounding."""
     events = table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", "ts"))
     numbered = running_before(events, "step", F.lit(1), "hour", ["ts", "event_id"], within=["user_id"])
     steps_table = numbered.select(
         F.col("user_id").alias("run"),
         "step",
         (100 + F.col("event_id") % 50).alias("tokens"),
-        (F.col("value") / 100).alias("seconds"),
+        F.round(F.col("value") * 100).alias("seconds"),
         F.col("value").alias("val_loss"),
     )
     return materialize(steps_table, "steps")
 
 
 def e1_throughput(spark, sf):
-    return rounded(runs.throughput(steps_of(spark, sf), 10), "seconds", "tokens_per_sec")
+    return runs.throughput(steps_of(spark, sf), 10)
 
 
 def e2_early_stopping(spark, sf):
@@ -579,17 +580,12 @@ def e4_retention(spark, sf):
     return runs.retention(steps_of(spark, sf).select("run", "step", "val_loss"), 3)
 
 
-def report(spark, sf):
-    return runs.step_time_report(steps_of(spark, sf), total_steps=100_000, tokens_per_step=8192)
-
-
 def e5_step_time_report(spark, sf):
-    out = report(spark, sf)
-    return rounded(out, *[c for c in out.columns if c not in ("run", "total_tokens")])
+    return runs.step_time_report(steps_of(spark, sf), total_steps=100_000, tokens_per_step=8192)
 
 
 def e6_cloud_cost(spark, sf):
-    return rounded(runs.cloud_cost(report(spark, sf)), "est_hours", "cloud_hours", "cloud_cost")
+    return runs.cloud_cost(e5_step_time_report(spark, sf))
 
 
 # --- streaming

@@ -61,10 +61,15 @@ def format_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
+def place_metrics(metrics: DataFrame) -> DataFrame:
+    """Bring the rows of a run together by ranges of steps, so that few files are written and yet a
+    run of any length is written by many tasks."""
+    return metrics.repartition("run", F.floor(F.col("step") / _STEPS_PER_FILE))
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append log rows below ``path``, one folder per run, in a file per ``_STEPS_PER_FILE`` steps,
-    so a run of any length is written by many tasks."""
-    rows = metrics.repartition("run", F.floor(F.col("step") / _STEPS_PER_FILE)).sortWithinPartitions("run", "step")
+    """Append log rows below ``path``, one folder per run."""
+    rows = place_metrics(metrics).sortWithinPartitions("run", "step")
     format_metrics(rows).write.mode("append").partitionBy("run").csv(path, header=True, emptyValue="")
 
 

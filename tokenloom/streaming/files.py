@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tokenloom.operators.documents import documents
 from tokenloom.operators.encode import encode
-from tokenloom.sources.run_logs import format_metrics
+from tokenloom.sources.run_logs import format_metrics, place_metrics
 
 
 def stream_prepare(
@@ -55,7 +55,7 @@ def stream_metrics_sink(
     """Append formatted log rows of a streaming table as CSV, one folder per run; one flush per
     trigger (``every``, or all that is there)."""
     writer = (
-        format_metrics(metrics)
+        format_metrics(place_metrics(metrics))
         .writeStream.format("csv")
         .option("header", True)
         .option("emptyValue", "")
