@@ -13,21 +13,41 @@ from pyspark.sql import functions as F
 from tokenloom.session import materialize
 
 
+ROWS_PER_FILE = 1 << 19
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node``, ``component`` (the smallest node reachable) for every node that has an edge.
+    """``node``, ``component`` for every node that has an edge; ``component`` is a node, the same for
+    all that reach each other. Of whole-number nodes it is the smallest.
 
-    Nodes may be of any type that has an order. Edges with a null end and self loops are left out,
-    repeated edges count once, and an empty table gives an empty result.
+    Nodes may be of any type. Edges with a null end and self loops are left out, repeated edges
+    count once, and an empty table gives an empty result.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a), F.col(b))
-    pairs = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).select("u", "v")
-    stars, seen = materialize(pairs.distinct(), "edges"), None
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    if pairs.schema["a"].dataType.typeName() in ("long", "integer"):
+        return _components(pairs)
+    # other nodes are numbered, as numbers are summed in place; the numbers are written with them
+    pairs = materialize(pairs.distinct(), "edges")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = materialize(nodes.withColumn("no", F.monotonically_increasing_id()), "nodes")
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("no").alias("x")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("no").alias("y")), "b")
+    found = _components(both.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = found.join(nodes.select(F.col("no").alias("node"), F.col("node").alias("name")), "node")
+    roots = nodes.select(F.col("no").alias("component"), F.col("node").alias("root"))
+    return named.join(roots, "component").select(F.col("name").alias("node"), F.col("root").alias("component"))
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    stars = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    seen = None
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == seen:
             break
         seen = now
-        stars = materialize(_small_star(_large_star(stars)), "edges")
+        files = max(1, -(-now[0] // ROWS_PER_FILE))
+        stars = materialize(_small_star(_large_star(stars)).coalesce(files), "edges")
     roots = stars.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
