@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from query_set import BATCH, CHUNK, CONTEXT, NEWLINE_ID, WORD_VOCAB
+from query_set import BATCH, BPE_VOCAB, CHUNK, CONTEXT, EXPORT_LIMIT, NEWLINE_ID, WORD_VOCAB
 
 WIDTH = CONTEXT + 1
 
@@ -105,6 +105,72 @@ def _csv(x: str) -> str:
     return f"array_to_string({x}, ',')"
 
 
+# One merge a step: units as strings with one character per symbol, and one row with the merges so far.
+_MERGES = (
+    _WORDS.replace("WITH lines", "WITH RECURSIVE lines", 1)
+    + f""",
+known AS (SELECT string_agg(char, '') AS cs FROM alphabet WHERE unicode(char) < 983040),
+cut AS (
+  SELECT n, unnest(string_split(array_to_string(list_transform(regexp_extract_all(word, '(?s).'),
+    lambda c: CASE WHEN contains(cs, c) THEN c ELSE chr(983040) END), ''), chr(983040))) AS s
+  FROM counts, known
+),
+units AS (SELECT s, sum(n)::BIGINT AS n FROM cut WHERE length(s) > 1 GROUP BY s),
+size AS (SELECT {BPE_VOCAB} - 263 - count(*) AS wanted FROM alphabet),
+steps AS (
+  SELECT 0 AS k, s, n, NULL::STRUCT(l VARCHAR, r VARCHAR)[] AS merges FROM units
+  UNION ALL SELECT 0, NULL, NULL, []
+  UNION ALL
+  SELECT k + 1, replace(s, pair, chr((983040 + k)::INT)), n, CASE WHEN s IS NULL THEN list_append(merges, {{'l': l, 'r': r}}) END
+  FROM steps, size, (
+    SELECT pair, l, r FROM (
+      SELECT pair, c, made, CASE WHEN x > 0 THEN made[x].l || made[x].r ELSE pair[1] END AS l,
+        CASE WHEN y > 0 THEN made[y].l || made[y].r ELSE pair[2] END AS r
+      FROM (
+        SELECT pair, sum(n) AS c, unicode(pair[1]) - 983039 AS x, unicode(pair[2]) - 983039 AS y
+        FROM (SELECT substr(s, i::INT, 2) AS pair, n
+          FROM (SELECT s, n, unnest(range(1, length(s))) AS i FROM steps WHERE s IS NOT NULL))
+        GROUP BY pair), (SELECT merges AS made FROM steps WHERE s IS NULL))
+    WHERE length(l) + length(r) <= 16 AND NOT list_contains(list_transform(made, lambda m: m.l || m.r), l || r)
+    ORDER BY c DESC, length(l || r), l || r, l LIMIT 1)
+  WHERE k < wanted
+),
+merged AS (
+  SELECT (i - 1)::BIGINT AS rank, merges[i].l AS "left", merges[i].r AS "right", merges[i].l || merges[i].r AS piece
+  FROM (SELECT merges, unnest(range(1, len(merges) + 1)) AS i
+    FROM (SELECT merges FROM steps WHERE s IS NULL ORDER BY k DESC LIMIT 1))
+)"""
+)
+
+# Units of documents cut by joining the best neighbouring pair, the first of equals, until none is a piece.
+_BPE_DOCS = (
+    _MERGES
+    + f""",
+pieces AS (
+  SELECT piece, rank, (263 + rank)::INT AS id FROM merged
+  UNION ALL SELECT char, NULL, (263 + rank + (SELECT count(*) FROM merged))::INT FROM alphabet
+),
+placed AS (SELECT doc_id, generate_subscripts(u, 1) AS ord, unnest(u) AS unit
+  FROM (SELECT doc_id, {_units('text')} AS u FROM documents)),
+parted AS (
+  SELECT 0 AS k, unit, regexp_extract_all(unit, '(?s).') AS syms FROM (SELECT DISTINCT unit FROM placed)
+  UNION ALL
+  SELECT k + 1, unit, list_slice(syms, 1, spot - 1) || [syms[spot] || syms[spot + 1]] || list_slice(syms, spot + 2, len(syms))
+  FROM (
+    SELECT k, unit, any_value(syms) AS syms, arg_min(i, rank * 1000000 + i) AS spot
+    FROM (SELECT k, unit, syms, unnest(range(1, len(syms))) AS i FROM parted) p
+      JOIN merged m ON m.piece = p.syms[p.i] || p.syms[p.i + 1]
+    GROUP BY k, unit)
+),
+final AS (SELECT unit, arg_max(syms, k) AS syms FROM parted GROUP BY unit),
+coded AS (
+  SELECT unit, flatten(list(CASE WHEN id IS NULL THEN {_byte_ids('sym')} ELSE [id] END ORDER BY i)) AS ids
+  FROM (SELECT unit, generate_subscripts(syms, 1) AS i, unnest(syms) AS sym FROM final) LEFT JOIN pieces ON piece = sym
+  GROUP BY unit
+),
+enc AS (SELECT doc_id, flatten(list(ids ORDER BY ord)) || [3] AS ids FROM placed JOIN coded USING (unit) GROUP BY doc_id)"""
+)
+
 _SEQS = _STREAM + _packed(WIDTH)
 _RANKED = """,
 ranked AS (
@@ -229,6 +295,24 @@ FROM written w JOIN logged l ON l.step = w.step::BIGINT"""
 # A document read back from a text file ends with a newline, which encodes as one more byte.
 _FILE_DOCS = _WORDS + _encoded("enc", "(SELECT *, text || chr(10) AS body FROM documents)", "doc_id", "body", " || [3]")
 
+_FILE_STREAM = (
+    _FILE_DOCS
+    + """,
+placed AS (SELECT row_number() OVER (ORDER BY source || '/', doc_id) - 1 AS doc_id, ids FROM documents JOIN enc USING (doc_id)),
+stream AS (
+  SELECT doc_id, ids, len(ids)::BIGINT AS n_tokens,
+    (coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_pos
+  FROM placed
+),
+total AS (SELECT sum(n_tokens)::BIGINT AS n FROM stream),
+cut AS (SELECT n - trunc(n * 0.05::DOUBLE)::BIGINT AS train FROM total),
+parts AS (
+  SELECT 'train' AS split, doc_id, start_pos, ids[1:greatest(least(train - start_pos, n_tokens), 0)] AS ids FROM stream, cut
+  UNION ALL
+  SELECT 'val', doc_id, greatest(start_pos - train, 0), ids[greatest(train - start_pos, 0) + 1:] FROM stream, cut
+)"""
+)
+
 # Encoding drops spaces at the ends and counts a run of them as one; decoding gives that text back.
 _DECODED = "SELECT doc_id, regexp_replace(trim(text, ' '), ' +', ' ', 'g') AS text FROM documents"
 
@@ -269,6 +353,7 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id, lin
 SELECT file, ord // {CHUNK} AS chunk_no, string_agg(line, chr(10) ORDER BY ord) || chr(10) AS text, count(*)::BIGINT AS n_lines
 FROM numbered GROUP BY 1, 2""",
     "A5_export_corpus": "SELECT text FROM documents",
+    "A5_export_limit": f"SELECT text FROM documents ORDER BY doc_id LIMIT {EXPORT_LIMIT}",
     "A6_scan_prompts": f"""
 SELECT prompt FROM (SELECT trim(unnest(string_split(text, chr(10))), '{_SPACES}') AS prompt FROM benchmark) WHERE prompt <> ''""",
     "A7_write_results": "SELECT text AS result FROM benchmark",
@@ -296,6 +381,8 @@ spread AS (SELECT n, cs, unnest(range(1, len(cs))) AS i FROM (SELECT n, regexp_e
 pairs AS (SELECT cs[i] AS l, cs[i + 1] AS r, n FROM spread)
 SELECT l || r AS pair, sum(n)::BIGINT AS c FROM pairs
 WHERE l IN (SELECT char FROM alphabet) AND r IN (SELECT char FROM alphabet) GROUP BY 1""",
+    "B3_train_bpe": _MERGES + '\nSELECT rank, "left", "right", piece FROM merged',
+    "B7_encode_bpe": _BPE_DOCS + f"\nSELECT doc_id, {_csv('ids')} AS ids FROM enc",
     "B5_train_word": _WORDS + "\nSELECT piece, n, rank FROM words",
     "B5_train_char": _WORDS
     + f"""
@@ -436,6 +523,12 @@ total AS (SELECT sum(len(ids))::BIGINT AS n FROM enc),
 cut AS (SELECT 'val' AS split, trunc(n * 0.05::DOUBLE)::BIGINT AS t FROM total
   UNION ALL SELECT 'train', n - trunc(n * 0.05::DOUBLE)::BIGINT FROM total)
 SELECT split, t AS total_tokens, t // {WIDTH} AS num_sequences, round((16 + 2 * t) / 1048576, 9) AS file_size_mb FROM cut""",
+    "C14_prepare_parts": _FILE_STREAM
+    + f"""
+SELECT split, doc_id, start_pos, len(ids)::BIGINT AS n_tokens, {_csv('ids')} AS ids FROM parts WHERE len(ids) > 0""",
+    "C14_prepare_files": _FILE_STREAM
+    + """
+SELECT split, start_pos + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token_id FROM parts WHERE len(ids) > 0""",
     "C15_step_plan": _STREAM
     + f""",
 size AS (SELECT n // {WIDTH} AS seqs, n // {WIDTH} // {BATCH} AS nb FROM total),
@@ -507,6 +600,7 @@ SELECT run, est_hours, offer, speedup, price, est_hours / speedup AS cloud_hours
     + """
 SELECT source, count(*)::BIGINT AS n_docs, sum(len(ids))::BIGINT AS n_tokens, sum(list_sum(ids))::BIGINT AS id_sum
 FROM documents JOIN enc USING (doc_id) GROUP BY source""",
+    "F1_stream_prepare_ids": _FILE_DOCS + f"\nSELECT source, {_csv('ids')} AS ids FROM documents JOIN enc USING (doc_id)",
     "F2_stream_early_stopping": _STOPPING,
     "F3_stream_metrics_sink": _READ_LOG,
 }

@@ -30,6 +30,7 @@ BPE_VOCAB = 420
 UNIGRAM_VOCAB = 1000
 UNIGRAM_SEEDS = 4000
 NEWLINE_ID = 7 + 10
+EXPORT_LIMIT = 300
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,18 +48,8 @@ def _shared(make: Query) -> Query:
     return get
 
 
-@functools.cache
-def input_bytes(path: str, app: str) -> int:
-    files = SparkSession.active().read.format("binaryFile").load(path)
-    return files.agg(F.sum("length").alias("n")).first().n
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table, spread over the cores if its files are too small to give each core a split."""
-    path = f"{sf}/{name}.parquet"
-    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    small = input_bytes(path, spark.sparkContext.applicationId) < cores * (64 << 20)
-    return df.repartition(2 * cores) if small else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,6 +165,12 @@ def a5_export_corpus(spark, sf):
     return spark.read.option("lineSep", "\n\n").text(path).withColumnRenamed("value", "text")
 
 
+def a5_export_limit(spark, sf):
+    path = work_path(spark, "export")
+    corpus.export_corpus(docs(spark, sf), path, limit=EXPORT_LIMIT)
+    return spark.read.option("lineSep", "\n\n").text(path).withColumnRenamed("value", "text")
+
+
 def a6_scan_prompts(spark, sf):
     path = work_path(spark, "prompts")
     table(spark, sf, "benchmark").select("text").write.text(path)
@@ -373,7 +370,7 @@ def c2_check_ids(spark, sf):
 def c3_token_at(spark, sf):
     pos = F.pmod(F.col("doc_id") * 7919 * F.col("n_chars"), F.lit(3_000_000)) - 1_000_000
     requests = docs(spark, sf).select(F.col("doc_id").alias("request_id"), pos.alias("pos"))
-    return stream.token_at(token_rows(spark, sf), requests, token_count(spark, sf))
+    return stream.read_token_at(spark, stream_path(spark, sf), requests)
 
 
 def slice_requests(documents_table: DataFrame) -> DataFrame:
@@ -388,7 +385,7 @@ def slice_requests(documents_table: DataFrame) -> DataFrame:
 
 
 def c4_token_slices(spark, sf):
-    out = stream.token_slices(token_rows(spark, sf), slice_requests(docs(spark, sf)), token_count(spark, sf))
+    out = stream.read_slices(spark, stream_path(spark, sf), slice_requests(docs(spark, sf)))
     return out.select("request_id", csv("ids").alias("ids"))
 
 
@@ -397,7 +394,7 @@ def c4_get_chunk(spark, sf):
     requests = docs(spark, sf).select(
         F.col("doc_id").alias("request_id"), start.alias("start"), (50 + F.col("n_chars") % 300).alias("length")
     )
-    out = stream.get_chunk(token_rows(spark, sf), requests, token_count(spark, sf))
+    out = stream.read_chunks(spark, stream_path(spark, sf), requests)
     return out.select("request_id", csv("ids").alias("ids"), "error")
 
 
@@ -442,8 +439,8 @@ def c11_get_batch(spark, sf):
 
 
 def c12_loaders(spark, sf):
-    rows, total = token_rows(spark, sf), token_count(spark, sf)
-    train, val = (stream.split_part(rows, 0.05, name, total) for name in ("train", "val"))
+    total = token_count(spark, sf)
+    train, val = (stream.read_part(spark, stream_path(spark, sf), 0.05, name) for name in ("train", "val"))
     held_out = int(total * 0.05)
     out = packing.loaders(train, val, CONTEXT, BATCH, totals=(total - held_out, held_out))
     return out.select(
@@ -456,8 +453,31 @@ def c13_dataset_stats(spark, sf):
     return out.select("total_tokens", "num_sequences", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
 
 
+@_shared
+def prepared(spark: SparkSession, sf: str) -> tuple[prepare.Prepared, str]:
+    out = work_path(spark, "prepared")
+    made = prepare.prepare_all(
+        spark, exported(spark, sf), WORD_VOCAB, model="word", context_length=CONTEXT, coverage=1.0, out=out
+    )
+    return made, out
+
+
+def c14_prepare_parts(spark, sf):
+    parts = prepared(spark, sf)[0].parts
+    return parts.select("split", "doc_id", "start_pos", "n_tokens", csv("ids").alias("ids"))
+
+
+def c14_prepare_files(spark, sf):
+    files_of = {name: token_bin.read_tokens(spark, f"{prepared(spark, sf)[1]}/{name}") for name in ("train", "val")}
+    tokens = [
+        df.select(F.lit(name).alias("split"), "start_pos", F.posexplode("ids").alias("i", "token_id"))
+        for name, df in files_of.items()
+    ]
+    return tokens[0].unionByName(tokens[1]).select("split", (F.col("start_pos") + F.col("i")).alias("pos"), "token_id")
+
+
 def c14_prepare_all(spark, sf):
-    made = prepare.prepare_all(spark, exported(spark, sf), WORD_VOCAB, model="word", context_length=CONTEXT)
+    made = prepared(spark, sf)[0]
     return made.stats.select("split", "total_tokens", "num_sequences", F.round("file_size_mb", 9).alias("file_size_mb"))
 
 
@@ -507,7 +527,7 @@ def d2_evaluate(spark, sf):
 
 
 def d3_repetition_penalty(spark, sf):
-    return rounded(scoring.repetition_penalty(cands(spark, sf), history(spark, sf), 1.3), "logit")
+    return rounded(scoring.candidates(logits(spark, sf), history=history(spark, sf), penalty=1.3), "logit")
 
 
 def d4_temperature(spark, sf):
@@ -525,7 +545,7 @@ def d6_top_p(spark, sf):
 
 
 def d7_sample(spark, sf):
-    return scoring.next_token(cands(spark, sf), history(spark, sf), 1.3, 0.8, 20, 0.9, seed=7)
+    return scoring.next_token(logits(spark, sf), history(spark, sf), 1.3, 0.8, 20, 0.9, seed=7)
 
 
 def d8_truncate_prompts(spark, sf):
@@ -592,6 +612,19 @@ def e6_cloud_cost(spark, sf):
 
 
 def f1_stream_prepare(spark, sf):
+    return streamed(spark, sf).groupBy("source").agg(
+        F.count("*").alias("n_docs"),
+        F.sum(F.size("ids")).alias("n_tokens"),
+        F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i)).alias("id_sum"),
+    )
+
+
+def f1_stream_prepare_ids(spark, sf):
+    return streamed(spark, sf).select("source", csv("ids").alias("ids"))
+
+
+@_shared
+def streamed(spark: SparkSession, sf: str) -> DataFrame:
     target, state = work_path(spark, "streamed"), work_path(spark, "streamed-state")
     query = files.stream_prepare(
         spark, exported(spark, sf), target, state, word_encoder(spark, sf), max_files_per_trigger=100
@@ -600,15 +633,7 @@ def f1_stream_prepare(spark, sf):
     if query.exception():
         raise query.exception()
     source = F.regexp_extract("file", "source=([^/]+)/", 1)
-    return (
-        spark.read.parquet(target)
-        .groupBy(source.alias("source"))
-        .agg(
-            F.count("*").alias("n_docs"),
-            F.sum(F.size("ids")).alias("n_tokens"),
-            F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i)).alias("id_sum"),
-        )
-    )
+    return spark.read.parquet(target).withColumn("source", source)
 
 
 def f2_stream_early_stopping(spark, sf):
@@ -652,6 +677,7 @@ QUERIES: dict[str, Query] = {
     "A3_training_lines": a3_training_lines,
     "A4_line_chunks": a4_line_chunks,
     "A5_export_corpus": a5_export_corpus,
+    "A5_export_limit": a5_export_limit,
     "A6_scan_prompts": a6_scan_prompts,
     "A7_write_results": a7_write_results,
     "A8_read_tokens": a8_read_tokens,
@@ -694,6 +720,8 @@ QUERIES: dict[str, Query] = {
     "C12_loaders": c12_loaders,
     "C13_dataset_stats": c13_dataset_stats,
     "C14_prepare_all": c14_prepare_all,
+    "C14_prepare_parts": c14_prepare_parts,
+    "C14_prepare_files": c14_prepare_files,
     "C15_step_plan": c15_step_plan,
     "D1_cross_entropy": d1_cross_entropy,
     "D2_evaluate": d2_evaluate,
@@ -712,6 +740,7 @@ QUERIES: dict[str, Query] = {
     "E5_step_time_report": e5_step_time_report,
     "E6_cloud_cost": e6_cloud_cost,
     "F1_stream_prepare": f1_stream_prepare,
+    "F1_stream_prepare_ids": f1_stream_prepare_ids,
     "F2_stream_early_stopping": f2_stream_early_stopping,
     "F3_stream_metrics_sink": f3_stream_metrics_sink,
 }

@@ -1,3 +1,4 @@
+import os
 import struct
 
 import numpy as np
@@ -200,7 +201,7 @@ def test_step_plan(spark):
 def test_token_store_round_trip(spark, header):
     rows = make(spark, [7, 0, 1, 12, 40])
     path = work_path(spark, "bin")
-    token_bin.write_tokens(rows, path, header=header, shards=3)
+    token_bin.write_tokens(rows, path, header=header, tokens_per_shard=25)
     blocks = token_bin.read_tokens(spark, path, header=header)
     got = sorted((r.start_pos, r.ids) for r in blocks.collect())
     assert [i for _, ids in got for i in ids] == list(range(60))
@@ -208,6 +209,28 @@ def test_token_store_round_trip(spark, header):
     assert sorted(r.tokens[0] for r in packed.collect()) == [0, 10, 20, 30, 40, 50]
     with pytest.raises(Exception):
         token_bin.write_tokens(rows, path, header=header)
+    single = work_path(spark, "bin")
+    token_bin.write_tokens(rows, single, header=header, tokens_per_shard=None)
+    files = [f for f in os.listdir(single.removeprefix("file://")) if f.endswith(".bin")]
+    assert len(files) == 1
+    whole = open(os.path.join(single.removeprefix("file://"), files[0]), "rb").read()
+    head = struct.pack("<QQ", 0x544F4B454E53, 60) if header else b""
+    assert whole == head + np.arange(60, dtype="<u2").tobytes()
+
+
+def test_token_store_refuses_gaps_and_damage(spark):
+    rows = make(spark, [7, 0, 1, 12, 40])
+    for broken in (rows.where("doc_id <> 2"), rows.unionByName(rows.where("doc_id = 3"))):
+        with pytest.raises(Exception, match="gap|cover"):
+            token_bin.write_tokens(broken, work_path(spark, "bin"), tokens_per_shard=25)
+    path = work_path(spark, "bin")
+    token_bin.write_tokens(rows, path, tokens_per_shard=25)
+    folder = path.removeprefix("file://")
+    shard = next(f for f in os.listdir(folder) if f.startswith("part-000001"))
+    with open(os.path.join(folder, shard), "r+b") as file:
+        file.truncate(30)
+    with pytest.raises(Exception, match="size"):
+        token_bin.read_tokens(spark, path).count()
 
 
 def test_single_token_files(spark, tmp_path):
@@ -221,6 +244,12 @@ def test_single_token_files(spark, tmp_path):
     assert token_bin.read_tokens(spark, str(tmp_path / "zero.bin")).count() == 0
     with pytest.raises(Exception, match="not a token file"):
         token_bin.read_tokens(spark, str(tmp_path / "bad.bin")).collect()
+    (tmp_path / "short.bin").write_bytes(struct.pack("<QQ", 0x544F4B454E53, 100) + ids)
+    (tmp_path / "odd.bin").write_bytes(ids + b"x")
+    with pytest.raises(Exception, match="says it holds"):
+        token_bin.read_tokens(spark, str(tmp_path / "short.bin")).collect()
+    with pytest.raises(Exception, match="whole ids"):
+        token_bin.read_tokens(spark, str(tmp_path / "odd.bin"), False).collect()
 
 
 def test_token_store_refuses_wide_ids(spark):

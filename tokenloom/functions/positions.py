@@ -61,28 +61,71 @@ def _joined(local, ahead, block, within, name, result):
 
 MAX_BLOCKS = 1 << 20  # keeps the block tables small enough to broadcast
 _SAMPLES_PER_BLOCK = 8
+_SAMPLED_KEYS = 20_000
 
 
-def range_block(df: DataFrame, key: str, rows_per_block: int = 1_000_000, min_blocks: int | None = None) -> tuple[Column, int]:
-    """A column that cuts the integer ``key`` into blocks of about equal row count, in key order.
-
-    Only the key column is read. The bounds are taken from a sample of the keys and fixed as a
+def range_block(
+    df: DataFrame,
+    key: str,
+    rows_per_block: int = 1_000_000,
+    min_blocks: int | None = None,
+    size: Column | None = None,
+    size_per_block: int | None = None,
+) -> tuple[Column, int]:
+    """A column that cuts the integer ``key`` into blocks of about equal row count, in key order; with
+    ``size`` of about equal size, so that few heavy rows make a block as many light ones do. One
+    row is never cut.
+
+    Only the key and size are read. The bounds are taken from a sample of the keys and fixed as a
     literal, so every later evaluation puts a row in the same block; any bounds give the same
-    result, and a few numbers per block reach the driver. Returns the column and the block count.
+    result, and a few numbers per block reach the driver. Returns the column and the block count;
+    more than ``MAX_BLOCKS`` blocks are refused, as their table could not be broadcast.
     """
-    keys = df.select(F.col(key).cast("long").alias("k"))
-    rows = keys.count()
+    weight = F.lit(1) if size is None else F.coalesce(size, F.lit(0)) + 1
+    keys = df.select(F.col(key).cast("long").alias("k"), weight.cast("long").alias("w"))
+    rows, total = keys.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     floor = min_blocks if min_blocks is not None else 4 * df.sparkSession.sparkContext.defaultParallelism
-    blocks = min(max(math.ceil(rows / rows_per_block), min(floor, rows), 1), MAX_BLOCKS)
+    blocks = max(math.ceil(rows / rows_per_block), min(floor, rows), 1)
+    if size_per_block:
+        blocks = max(blocks, min(math.ceil(total / size_per_block), rows))
+    if blocks > MAX_BLOCKS:
+        raise ValueError(f"{blocks} blocks are more than {MAX_BLOCKS}; make them larger")
     if blocks == 1:
         return F.lit(0).cast("int"), 1
-    share = min(1.0, _SAMPLES_PER_BLOCK * blocks / rows)
-    sample = np.sort(keys.sample(share, seed=1).toArrow().column("k").to_numpy())
+    # a row comes as often as its size is a multiple of a sample's, the rest by the hash of its key
+    share = _SAMPLES_PER_BLOCK * blocks / total
+    drawn = F.floor(F.col("w") * share + F.pmod(F.xxhash64("k", "w"), F.lit(1 << 30)) / float(1 << 30)).alias("n")
+    taken = keys.select("k", drawn).where("n > 0").toArrow()
+    sample = np.sort(np.repeat(taken.column("k").to_numpy(), taken.column("n").to_numpy()))
     cuts = np.linspace(0, len(sample), blocks, endpoint=False)[1:].astype(int)
     bounds = np.unique(sample[cuts]).tolist() if len(sample) else []
     return sorted_position(bounds, F.col(key).cast("long")), len(bounds) + 1
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows by the columns ``order``, which hold no nulls; all rows, if there are fewer.
+
+    A sample of the keys gives a bound that a few more than ``n`` rows pass, which is counted; only
+    these are sorted, so a task never gets ``n`` rows from every other one.
+    """
+    keys = df.select(*order)
+    total = keys.count()
+    if total <= n:
+        return df
+    share = min(1.0, _SAMPLED_KEYS / total)
+    sample = keys.sample(share, seed=1).orderBy(*order).collect()
+    want = n * share
+    at = math.ceil(want + 4 * math.sqrt(want)) + 4
+    passing = df
+    while at < len(sample):
+        bound = F.struct(*[F.lit(v).cast(keys.schema[c].dataType).alias(c) for c, v in zip(order, sample[at])])
+        passing = df.where(F.struct(*order) <= bound)
+        if passing.count() >= n:
+            break
+        passing, at = df, 2 * at
+    return passing.orderBy(*order).limit(n)
+
+
 def sorted_position(bounds: Sequence[int], value: Column) -> Column:
     """How many of the ascending ``bounds`` are at or below ``value``, by binary search."""
     if not bounds:

@@ -31,13 +31,18 @@ _ROUND_CANDIDATES = 256
 _PENDING_LIMIT = 24
 
 
-def segments(words: DataFrame, letters: DataFrame) -> DataFrame:
-    """Units cut at characters outside the alphabet: ``s``, ``n``.
+def known_letters(letters: DataFrame) -> str:
+    """The alphabet as one string; Unicode bounds it."""
+    return "".join(r.char for r in letters.where(~F.col("char").rlike(_PRIVATE)).select("char").collect())
+
+
+def segments(words: DataFrame, letters: DataFrame, least: int = 2) -> DataFrame:
+    """Units cut at characters outside the alphabet: ``s``, ``n``; those of ``least`` characters and more.
 
     The alphabet is a constant string (Unicode bounds it), which makes the check one hash lookup per
     character; few units hold a character outside it.
     """
-    known = "".join(r.char for r in letters.where(~F.col("char").rlike(_PRIVATE)).select("char").collect())
+    known = known_letters(letters)
     gap = F.lit(chr(_FIRST_CODE))
     foreign = F.translate("word", known, "")
     parted = F.call_function("translate", F.col("word"), F.col("foreign"), F.repeat(gap, F.length("foreign")))
@@ -45,7 +50,7 @@ def segments(words: DataFrame, letters: DataFrame) -> DataFrame:
     return (
         words.withColumn("foreign", foreign)
         .select(F.explode(parts).alias("s"), "n")
-        .where(F.length("s") > 1)
+        .where(F.length("s") >= least)
         .groupBy("s")
         .agg(F.sum("n").alias("n"))
     )
@@ -94,7 +99,8 @@ def train_merges(words: DataFrame, letters: DataFrame, n_pieces: int) -> list[tu
     refused: set[str] = set()
     while len(merges) < n_pieces:
         current = state.withColumn("s", _apply(F.col("s"), pending))
-        top = _top_pairs(current, texts).limit(_ROUND_CANDIDATES + len(refused)).collect()
+        limit = _ROUND_CANDIDATES + len(refused)
+        top = _top_pairs(current, texts).limit(limit).collect()
         batch = 0
         lefts: set[str] = set()
         rights: set[str] = set()
@@ -117,7 +123,7 @@ def train_merges(words: DataFrame, letters: DataFrame, n_pieces: int) -> list[tu
             batch += 1
             if first == second:
                 break
-        if not batch and len(top) < _ROUND_CANDIDATES:
+        if not batch and len(top) < limit:  # every pair there is was looked at
             break
         if len(pending) >= _PENDING_LIMIT:
             state = materialize(current.withColumn("s", _apply(F.col("s"), pending[-batch:])), "bpe")

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.positions import MAX_BLOCKS, running_before
+from tokenloom.functions.numbers import div
+from tokenloom.functions.positions import running_before
 from tokenloom.functions.text import is_blank, strip
 from tokenloom.session import materialize
 
@@ -39,8 +40,6 @@ def documents(lines: DataFrame, keep_newline: bool = True) -> DataFrame:
     """
     runs = materialize(_block_runs(lines), "runs")
     edges = materialize(_block_edges(runs), "edges")
-    if edges.count() <= MAX_BLOCKS:
-        edges = F.broadcast(edges)
     pieces = (
         runs.where("run > 0")
         .join(edges, _BLOCK)
@@ -111,7 +110,7 @@ def line_chunks(lines: DataFrame, chunk_size: int = 10_000) -> DataFrame:
     of each block are written once."""
     numbered = running_before(lines, "line_no", F.lit(1), "block_start", ["row_key"], within=["file"])
     fragments = (
-        numbered.withColumn("chunk_no", F.floor(F.col("line_no") / chunk_size))
+        numbered.withColumn("chunk_no", div(F.col("line_no"), chunk_size))
         .groupBy(*_BLOCK, "chunk_no")
         .agg(
             F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"),

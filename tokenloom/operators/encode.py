@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.pieces import UnitEncoder
-from tokenloom.functions.tables import MAX_VOCAB, SKIPPED_IDS, SPECIAL_IDS, UNKNOWN_SURFACE, USER_SYMBOLS
+from tokenloom.functions.tables import SKIPPED_IDS, SPECIAL_IDS, UNKNOWN_SURFACE, USER_SYMBOLS
 from tokenloom.functions.text import SPACE_MARK, units
-from tokenloom.operators.vocab import collect_vocab
+from tokenloom.operators.vocab import checked_vocab, collect_vocab
 from tokenloom.session import ship_package
 
 MODELS = ("bpe", "unigram", "char", "word")
@@ -60,7 +60,7 @@ def decode(
         .otherwise(F.hex(F.encode(piece, "UTF-8")))
     )
     table = (
-        vocab.limit(MAX_VOCAB)
+        checked_vocab(vocab)
         .select("id", content.alias("content"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda r: r["content"]).alias("t"))
     )

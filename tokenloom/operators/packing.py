@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions.numbers import div
 from tokenloom.functions.positions import running_before
 from tokenloom.operators.stream import total_tokens
 
@@ -17,8 +18,8 @@ _ROWS_PER_BLOCK = 50_000
 
 
 def _pack(stream: DataFrame, stride: int, width: int, count: Column) -> DataFrame:
-    first = F.greatest(F.ceil((F.col("start_pos") - width + 1) / stride), F.lit(0))
-    last = F.least(F.floor((F.col("end_pos") - 1) / stride), F.col("_count") - 1)
+    first = F.greatest(div(F.col("start_pos") - width + stride, stride), F.lit(0))
+    last = F.least(div(F.col("end_pos") - 1, stride), F.col("_count") - 1)
     lo = F.greatest(F.col("start_pos"), F.col("seq_idx") * stride)
     hi = F.least(F.col("end_pos"), F.col("seq_idx") * stride + width)
     cuts = (
@@ -40,8 +41,8 @@ def _pack(stream: DataFrame, stride: int, width: int, count: Column) -> DataFram
 
 def sequence_count(tokens: Column, context_length: int, overlap: bool = False) -> Column:
     if overlap:
-        return F.greatest(F.floor((tokens - 1) / context_length), F.lit(0))
-    return F.floor(tokens / (context_length + 1))
+        return F.greatest(div(tokens - 1, context_length), F.lit(0))
+    return div(tokens, context_length + 1)
 
 
 def pack_disjoint(stream: DataFrame, context_length: int, total: int | None = None) -> DataFrame:
@@ -103,12 +104,12 @@ def in_order(sequences: DataFrame) -> DataFrame:
 
 def batches(ranked: DataFrame, batch_size: int, num_sequences: int | Column, drop_last: bool = True) -> DataFrame:
     """Replace ``rank`` by ``batch_no`` and ``slot``. ``drop_last`` leaves out an incomplete batch."""
-    out = ranked.withColumn("batch_no", F.floor(F.col("rank") / batch_size)).withColumn(
+    out = ranked.withColumn("batch_no", div(F.col("rank"), batch_size)).withColumn(
         "slot", (F.col("rank") % batch_size).cast("int")
     )
     if drop_last:
         count = num_sequences if isinstance(num_sequences, Column) else F.lit(num_sequences)
-        out = out.withColumn("_whole", F.floor(count / batch_size)).where("batch_no < _whole").drop("_whole")
+        out = out.withColumn("_whole", div(count, batch_size)).where("batch_no < _whole").drop("_whole")
     return out.drop("rank")
 
 

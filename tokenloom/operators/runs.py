@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions.numbers import div
 from tokenloom.functions.positions import running_before, running_min_before
 from tokenloom.session import materialize, ship_package
 
@@ -23,7 +24,7 @@ def throughput(steps: DataFrame, log_every: int = 10) -> DataFrame:
     """Tokens per second of each finished log interval: ``run``, ``step``, ``tokens``, ``seconds``,
     ``tokens_per_sec``. ``steps`` has ``run``, ``step`` (from 0), ``tokens``, ``seconds``."""
     return (
-        steps.groupBy("run", ((F.floor(F.col("step") / log_every) + 1) * log_every).alias("step_end"))
+        steps.groupBy("run", ((div(F.col("step"), log_every) + 1) * log_every).alias("step_end"))
         .agg(F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"), F.max("step").alias("last"))
         .where(F.col("last") + 1 == F.col("step_end"))
         .select(
@@ -37,7 +38,7 @@ def throughput(steps: DataFrame, log_every: int = 10) -> DataFrame:
 
 
 def _step_block() -> Column:
-    return F.floor(F.col("step") / STEPS_PER_BLOCK)
+    return div(F.col("step"), STEPS_PER_BLOCK)
 
 
 class StopState:

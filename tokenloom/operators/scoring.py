@@ -3,7 +3,8 @@
 Scores come as one row of logits per prediction (``row_id``, ``logits``) or as candidates
 (``row_id``, ``token_id``, ``logit``). Filters drop candidates, as a logit of minus infinity would.
 All candidate windows are keyed by ``row_id``, whose groups are as large as the vocabulary, so a
-chain of filters shares one shuffle.
+chain of filters shares one shuffle, that of the compact arrays. The history of a row meets its
+logits there too, so the penalty moves no candidates.
 """
 
 from __future__ import annotations
@@ -14,14 +15,48 @@ from pyspark.sql import functions as F
 from tokenloom.functions.tables import SPECIAL_IDS
 
 
-def candidates(scores: DataFrame, row_id: str = "row_id", logits: str = "logits") -> DataFrame:
-    """One row per candidate. Rows are placed by ``row_id`` while they are still compact arrays."""
-    placed = scores.select(F.col(row_id).alias("row_id"), F.col(logits).alias("logits")).repartition("row_id")
+def candidates(
+    scores: DataFrame,
+    row_id: str = "row_id",
+    logits: str = "logits",
+    history: DataFrame | None = None,
+    penalty: float = 1.0,
+) -> DataFrame:
+    """One row per candidate. Rows are placed by ``row_id`` while they are still compact arrays; a
+    repetition ``penalty`` for the tokens of ``history`` is applied to the arrays."""
+    values = F.transform(F.col(logits), lambda x: x.cast("double"))
+    placed = scores.select(F.col(row_id).alias("row_id"), values.alias("logits")).repartition("row_id")
+    if history is not None and penalty != 1.0:
+        seen = history.groupBy("row_id").agg(F.array_sort(F.collect_set("token_id")).alias("_seen"))
+        joined = placed.join(seen, "row_id", "left")
+        placed = joined.withColumn("logits", penalized(F.col("logits"), F.col("_seen"), penalty))
     return placed.select("row_id", F.posexplode("logits").alias("token_id", "logit")).withColumn(
         "logit", F.col("logit").cast("double")
     )
 
 
+def penalized(logits: Column, seen: Column, penalty: float) -> Column:
+    """``logits`` with those at the ascending places ``seen`` divided (positive) or multiplied by the
+    penalty. The array is cut at these places and joined again, so the work is one step per logit
+    and place."""
+    n = F.size(logits)
+    at = F.filter(seen, lambda i: (i >= 0) & (i < n))
+    adjusted = F.transform(at, lambda i: _penalty(F.get(logits, i.cast("int")), penalty))
+
+    def piece(k: Column) -> Column:
+        before = F.when(k == 0, F.lit(-1)).otherwise(F.get(at, k - 1).cast("int"))
+        here = F.when(k == F.size(at), n).otherwise(F.get(at, k).cast("int"))
+        own = F.when(k == F.size(at), F.array().cast("array<double>")).otherwise(F.array(F.get(adjusted, k)))
+        return F.concat(F.slice(logits, before + 2, here - before - 1), own)
+
+    joined = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), piece))
+    return F.when(F.size(F.coalesce(at, F.array())) == 0, logits).otherwise(joined)
+
+
+def _penalty(logit: Column, penalty: float) -> Column:
+    return F.when(logit > 0, logit / penalty).otherwise(logit * penalty)
+
+
 def row_loss(logits: Column, target: Column) -> Column:
     """Negative log-softmax of the target, with the largest logit taken out first."""
     values = F.transform(logits, lambda x: x.cast("double"))
@@ -40,20 +75,20 @@ def cross_entropy(scores: DataFrame, logits: str = "logits", target: str = "targ
 def evaluate(scored: DataFrame, max_batches: int = 25) -> DataFrame:
     """``val_loss``: the mean of the batch means of the first batches in ``batch_no`` order; 0 if
     there is no batch. ``scored`` has ``batch_no`` and ``loss``."""
-    means = scored.groupBy("batch_no").agg(F.avg("loss").alias("loss"))
-    first = means.orderBy("batch_no").limit(max_batches)
-    return first.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("val_loss"), F.count("*").alias("n_batches"))
+    first = scored.select("batch_no").distinct().orderBy("batch_no").limit(max_batches)
+    means = scored.join(F.broadcast(first), "batch_no", "left_semi").groupBy("batch_no").agg(F.avg("loss").alias("loss"))
+    return means.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("val_loss"), F.count("*").alias("n_batches"))
 
 
 def repetition_penalty(cand: DataFrame, history: DataFrame, penalty: float = 1.1) -> DataFrame:
-    """Divide the positive and multiply the other logits of tokens already generated for the row."""
+    """Divide the positive and multiply the other logits of tokens already generated for the row.
+    For sparse candidates; ``candidates`` does it for arrays of logits, without moving candidates."""
     if penalty == 1.0:
         return cand
     seen = history.select("row_id", "token_id").distinct().withColumn("_seen", F.lit(True))
-    adjusted = F.when(F.col("logit") > 0, F.col("logit") / penalty).otherwise(F.col("logit") * penalty)
     return (
         cand.join(seen, ["row_id", "token_id"], "left")
-        .withColumn("logit", F.when(F.col("_seen"), adjusted).otherwise(F.col("logit")))
+        .withColumn("logit", F.when(F.col("_seen"), _penalty(F.col("logit"), penalty)).otherwise(F.col("logit")))
         .drop("_seen")
     )
 
@@ -110,7 +145,7 @@ def sample(cand: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def next_token(
-    cand: DataFrame,
+    scores: DataFrame,
     history: DataFrame | None = None,
     penalty: float = 1.0,
     t: float = 0.8,
@@ -118,9 +153,12 @@ def next_token(
     p: float = 0.95,
     seed: int = 42,
 ) -> DataFrame:
-    """Penalty, temperature, top-k, top-p, then a draw; greedy at temperature 0."""
-    if history is not None:
-        cand = repetition_penalty(cand, history, penalty)
+    """Penalty, temperature, top-k, top-p, then a draw; greedy at temperature 0. ``scores`` has arrays
+    of ``logits``, or is a candidate table."""
+    if "logits" in scores.columns:
+        cand = candidates(scores, history=history, penalty=penalty)
+    else:
+        cand = scores if history is None else repetition_penalty(scores, history, penalty)
     cand = temperature(cand, t)
     if t <= 0:
         return cand.select("row_id", "token_id")

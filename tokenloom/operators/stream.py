@@ -12,16 +12,19 @@ it they add up ``n_tokens``, which reads that column.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.positions import MAX_BLOCKS, range_block
+from tokenloom.functions.numbers import div
+from tokenloom.functions.positions import range_block, sorted_position
 from tokenloom.operators.encode import encode
 from tokenloom.session import work_path
 
 SPAN = 1 << 16  # positions per join key when requests meet documents
+BYTES_PER_BLOCK = 256 << 20  # text of one block, about
+_RANGES = 64  # block ranges a read names at most; more are joined over the smallest gaps
 
 
 def write_stream(
@@ -32,15 +35,16 @@ def write_stream(
     text: str = "text",
     add_eos: bool = True,
     rows_per_block: int = 1_000_000,
+    bytes_per_block: int = BYTES_PER_BLOCK,
 ) -> None:
     """Encode documents in ``key`` order and write them with their start inside their block.
 
-    One shuffle gives every block a task of its own; encoding and the running sum follow in the same
-    stage, and each file of the table holds one block. ``path`` gets the folders ``rows`` and
-    ``blocks``.
+    A block holds about ``bytes_per_block`` of text at most, and at least one document. One shuffle
+    gives every block a task of its own; encoding and the running sum follow in the same stage, and
+    each file of the table holds one block. ``path`` gets the folders ``rows`` and ``blocks``.
     """
     spark = docs.sparkSession
-    block, n_blocks = range_block(docs, key, rows_per_block)
+    block, n_blocks = range_block(docs, key, rows_per_block, size=F.octet_length(text), size_per_block=bytes_per_block)
     ahead = Window.partitionBy("block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.select(F.col(key).cast("long").alias(key), text).withColumn("block", block)
     placed = placed.repartitionById(n_blocks, F.col("block"))
@@ -66,9 +70,9 @@ def read_stream(spark: SparkSession, path: str, lo: int | None = None, hi: int |
 
     With ``lo`` and ``hi`` only documents that overlap these positions are read: the block numbers
     in question become a filter on the files. The block table has at most ``MAX_BLOCKS`` rows of
-    three numbers, so it is broadcast.
+    three numbers (see ``range_block``), which is checked when it is written, so it is broadcast.
     """
-    rows, blocks = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/blocks")
+    rows, blocks = _tables(spark, path)
     start, end = F.col("start_pos"), F.col("start_pos") + F.col("n_tokens")
     wanted = F.lit(True)
     if lo is not None or hi is not None:
@@ -78,14 +82,46 @@ def read_stream(spark: SparkSession, path: str, lo: int | None = None, hi: int |
         first, last = (edge.first, edge.last) if edge.first is not None else (1, 0)
         rows = rows.where(F.col("block").between(first, last))
         wanted = (start < hi) & (end > lo)
-    offsets = blocks.limit(MAX_BLOCKS).select("block", "block_start")
-    return (
-        rows.join(F.broadcast(offsets), "block")
-        .select("doc_id", "ids", "n_tokens", (F.col("block_start") + F.col("local_start")).alias("start_pos"))
-        .where(wanted)
+    return _placed(rows, blocks).where(wanted)
+
+
+def read_spans(spark: SparkSession, path: str, spans: DataFrame) -> DataFrame:
+    """A written stream as far as it may hold any of the spans (``lo``, ``hi``).
+
+    The spans meet the block table, and only the blocks that hold one are read.
+    """
+    rows, blocks = _tables(spark, path)
+    table = blocks.orderBy("block").collect()
+    starts = [b.block_start for b in table]
+    first = F.greatest(sorted_position(starts, F.col("lo")) - 1, F.lit(0))
+    last = sorted_position(starts, F.col("hi") - 1) - 1
+    held = spans.where("hi > lo").select(F.explode(F.when(last >= first, F.sequence(first, last))).alias("i")).distinct()
+    wanted = [table[r.i].block for r in held.orderBy("i").collect()]
+    return _placed(rows.where(_in_ranges(wanted)), blocks)
+
+
+def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/blocks")
+
+
+def _placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(blocks.select("block", "block_start")), "block").select(
+        "doc_id", "ids", "n_tokens", (F.col("block_start") + F.col("local_start")).alias("start_pos")
     )
 
 
+def _in_ranges(wanted: list[int]) -> Column:
+    """A filter on ``block`` that the files can answer: a few ranges that hold all wanted blocks."""
+    gaps = sorted(range(1, len(wanted)), key=lambda i: wanted[i] - wanted[i - 1], reverse=True)
+    cuts = sorted(i for i in gaps[: _RANGES - 1] if wanted[i] - wanted[i - 1] > 1)
+    edges = [0, *cuts, len(wanted)]
+    held = F.lit(False)
+    for lo, hi in zip(edges, edges[1:]):
+        if lo < hi:
+            held = held | F.col("block").between(wanted[lo], wanted[hi - 1])
+    return held
+
+
 def stream_total(spark: SparkSession, path: str) -> int:
     """The number of tokens of a written stream, from its block table."""
     return spark.read.parquet(f"{path}/blocks").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
@@ -117,8 +153,9 @@ def check_ids(stream: DataFrame, vocab_size: int | Column = 65536, ids: str = "i
     )
 
 
-def _clipped(requests: DataFrame, stream: DataFrame) -> DataFrame:
-    """Each request with the parts of documents inside ``[lo, hi)``: ``request_id``, ``at``, ``part``.
+def _clipped(requests: DataFrame, stream: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each request with the parts of documents inside ``[lo, hi)``: ``request_id``, ``at``, ``part``,
+    and the columns ``keep``.
 
     Both sides are spread over spans of positions, so a long request or a span that many requests
     ask for is many join rows rather than one large group; a part is cut to its span, so no token
@@ -126,7 +163,7 @@ def _clipped(requests: DataFrame, stream: DataFrame) -> DataFrame:
     """
 
     def spans(lo: str, hi: str) -> Column:
-        return F.when(F.col(hi) > F.col(lo), F.sequence(F.floor(F.col(lo) / SPAN), F.floor((F.col(hi) - 1) / SPAN)))
+        return F.when(F.col(hi) > F.col(lo), F.sequence(div(F.col(lo), SPAN), div(F.col(hi) - 1, SPAN)))
 
     asked = requests.withColumn("span", F.explode(spans("lo", "hi")))
     held = (
@@ -152,6 +189,7 @@ def _clipped(requests: DataFrame, stream: DataFrame) -> DataFrame:
         .where((F.col("lo") < F.col("to_pos")) & (F.col("hi") > F.col("from_pos")))
         .select(
             "request_id",
+            *keep,
             at.alias("at"),
             F.slice("held", (at - F.col("from_pos") + 1).cast("int"), (to - at).cast("int")).alias("part"),
         )
@@ -160,21 +198,47 @@ def _clipped(requests: DataFrame, stream: DataFrame) -> DataFrame:
 
 def token_at(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
     """The id at each ``pos`` of (``request_id``, ``pos``); a negative one counts from the end, one
-    outside the stream gives an ``error`` and no id."""
-    placed = requests.withColumn("_total", total_tokens(stream, total)).withColumn(
-        "lo", F.when(F.col("pos") < 0, F.col("pos") + F.col("_total")).otherwise(F.col("pos"))
-    )
-    inside = (F.col("lo") >= 0) & (F.col("lo") < F.col("_total"))
-    checked = placed.withColumn("error", F.when(~inside, F.lit("out of range")))
+    outside the stream gives an ``error`` and no id. For a written stream, ``read_token_at`` reads
+    only the blocks in question."""
+    checked = _checked_positions(requests, total_tokens(stream, total))
     wanted = checked.where("error is null").select("request_id", "lo", (F.col("lo") + 1).alias("hi"))
     found = _clipped(wanted, stream).select("request_id", F.get("part", F.lit(0)).alias("token_id"))
     return checked.select("request_id", "pos", "error").join(found, "request_id", "left")
 
 
-def token_slices(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
-    """Slices of (``request_id``, ``start``, ``stop``, ``step``): bounds count from the end when
-    negative and are clamped to the stream; a null bound means the end the step walks from or to.
-    A negative step walks backwards."""
+def _checked_positions(requests: DataFrame, total: Column) -> DataFrame:
+    placed = requests.withColumn("_total", total).withColumn(
+        "lo", F.when(F.col("pos") < 0, F.col("pos") + F.col("_total")).otherwise(F.col("pos"))
+    )
+    inside = (F.col("lo") >= 0) & (F.col("lo") < F.col("_total"))
+    return placed.withColumn("error", F.when(~inside, F.lit("out of range")))
+
+
+def read_token_at(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
+    """``token_at`` over a written stream; only the blocks that hold a position are read."""
+    total = stream_total(spark, path)
+    wanted = _checked_positions(requests, F.lit(total)).where("error is null")
+    return token_at(read_spans(spark, path, wanted.select("lo", (F.col("lo") + 1).alias("hi"))), requests, total)
+
+
+def read_slices(spark: SparkSession, path: str, requests: DataFrame, parts: bool = False) -> DataFrame:
+    """``token_slices`` over a written stream (``slice_parts`` with ``parts``); only the blocks that
+    hold a part of a slice are read."""
+    total = stream_total(spark, path)
+    held = read_spans(spark, path, _slice_spans(requests, F.lit(total)).select("lo", "hi"))
+    return (slice_parts if parts else token_slices)(held, requests, total)
+
+
+def read_chunks(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
+    """``get_chunk`` over a written stream; only the blocks that hold a part of a chunk are read."""
+    total = stream_total(spark, path)
+    inside = requests.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= total))
+    spans = inside.select(F.col("start").alias("lo"), (F.col("start") + F.col("length")).alias("hi"))
+    return get_chunk(read_spans(spark, path, spans), requests, total)
+
+
+def _slice_spans(requests: DataFrame, total: Column) -> DataFrame:
+    """Requests with ``step``, ``down``, and the positions ``[lo, hi)`` they walk over from ``first``."""
     n, step = F.col("_total"), F.coalesce("step", F.lit(1))
     down = step < 0
 
@@ -184,29 +248,45 @@ def token_slices(stream: DataFrame, requests: DataFrame, total: int | None = Non
         high = F.when(down, n - 1).otherwise(n)
         return F.when(F.col(name).isNull(), when_null).otherwise(F.least(F.greatest(raw, low), high))
 
-    sized = (
-        requests.withColumn("_total", total_tokens(stream, total))
+    return (
+        requests.withColumn("_total", total)
         .withColumn("step", step)
         .withColumn("first", bound("start", F.when(down, n - 1).otherwise(F.lit(0))))
         .withColumn("last", bound("stop", F.when(down, F.lit(-1)).otherwise(n)))
         .withColumn("lo", F.when(down, F.col("last") + 1).otherwise(F.col("first")))
         .withColumn("hi", F.when(down, F.col("first") + 1).otherwise(F.col("last")))
     )
-    ids = F.when(
-        F.col("step") == 1, F.col("run")
-    ).otherwise(
-        F.filter(
-            F.when(F.col("step") < 0, F.reverse("run")).otherwise(F.col("run")),
-            lambda _, i: i % F.abs(F.col("step")) == 0,
-        )
-    )
-    runs = _joined(_clipped(sized.select("request_id", "lo", "hi"), stream))
+
+
+def slice_parts(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
+    """``token_slices`` in parts of at most ``SPAN`` ids: ``request_id``, ``part_no``, ``ids``; a slice
+    of any length is that many rows and none is gathered. Empty parts are left out.
+
+    The step is taken where a part lies, ahead of the shuffle.
+    """
+    sized = _slice_spans(requests, total_tokens(stream, total))
+    parts = _clipped(sized.select("request_id", "lo", "hi", "first", "step"), stream, ["first", "step"])
+    stride, at = F.abs("step"), F.col("at")
+    offset = F.pmod(F.col("first") - at, stride)
+    stepped = F.filter("part", lambda _, i: F.pmod(i - offset, stride) == 0)
+    rows = parts.withColumn("part", F.when(stride == 1, F.col("part")).otherwise(stepped)).where(F.size("part") > 0)
+    number = F.abs(div(F.col("at"), SPAN) - div(F.col("first"), SPAN))
+    joined = _joined(rows.withColumn("part_no", number), ["request_id", "part_no", "step"])
+    ids = F.when(F.col("step") < 0, F.reverse("run")).otherwise(F.col("run"))
+    return joined.select("request_id", "part_no", ids.alias("ids"))
+
+
+def token_slices(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
+    """Slices of (``request_id``, ``start``, ``stop``, ``step``): bounds count from the end when
+    negative and are clamped to the stream; a null bound means the end the step walks from or to.
+    A negative step walks backwards. A slice is one row; slices that may be longer than a row should
+    hold are for ``slice_parts``."""
+    parts = slice_parts(stream, requests, total)
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "ids")))
+    whole = parts.groupBy("request_id").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
     empty = F.array().cast("array<int>")
-    return (
-        sized.select("request_id", "step")
-        .join(runs, "request_id", "left")
-        .select("request_id", F.coalesce(ids, empty).alias("ids"))
-    )
+    joined = requests.select("request_id").join(whole, "request_id", "left")
+    return joined.select("request_id", F.coalesce("ids", empty).alias("ids"))
 
 
 def get_chunk(stream: DataFrame, requests: DataFrame, total: int | None = None) -> DataFrame:
@@ -226,9 +306,9 @@ def get_chunk(stream: DataFrame, requests: DataFrame, total: int | None = None)
     )
 
 
-def _joined(parts: DataFrame) -> DataFrame:
+def _joined(parts: DataFrame, by: Sequence[str] = ("request_id",)) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("at", "part")))
-    return parts.groupBy("request_id").agg(F.flatten(F.transform(ordered, lambda p: p["part"])).alias("run"))
+    return parts.groupBy(*by).agg(F.flatten(F.transform(ordered, lambda p: p["part"])).alias("run"))
 
 
 def _train_size(total: Column, val_ratio: float) -> Column:
@@ -268,6 +348,14 @@ def split_part(stream: DataFrame, val_ratio: float, name: str, total: int | None
     )
 
 
+def read_part(spark: SparkSession, path: str, val_ratio: float, name: str) -> DataFrame:
+    """``split_part`` of a written stream; only the blocks that hold the part are read."""
+    total = stream_total(spark, path)
+    cut = total - int(total * float(val_ratio))
+    held = read_stream(spark, path, hi=cut) if name == "train" else read_stream(spark, path, lo=cut)
+    return split_part(held, val_ratio, name, total)
+
+
 def _with_cut(stream: DataFrame, val_ratio: float, total: int | None) -> DataFrame:
     """Add ``_train``, the size of the train part, and ``_cut``, how many ids of a document are in it."""
     inside = F.least(F.greatest(F.col("_train") - F.col("start_pos"), F.lit(0)), F.col("n_tokens"))
@@ -284,7 +372,7 @@ def dataset_stats(stream: DataFrame, context_length: int, header: bool = True) -
     sequences a step."""
     tokens = F.coalesce(F.sum("n_tokens"), F.lit(0))
     counted = stream.agg(tokens.alias("total_tokens")).withColumn(
-        "num_sequences", F.floor(F.col("total_tokens") / (context_length + 1))
+        "num_sequences", div(F.col("total_tokens"), context_length + 1)
     )
     sequences = F.col("num_sequences")
     return counted.select(

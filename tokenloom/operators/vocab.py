@@ -2,7 +2,7 @@
 
 Ids are laid out as specials, then the 256 bytes, then trained pieces by rank, then single
 characters. A vocabulary has at most 65,536 rows because ids are stored as 16-bit numbers, which is
-what makes it safe to broadcast; ``collect_vocab`` checks it.
+what makes it safe to broadcast; ``checked_vocab`` and ``collect_vocab`` refuse a larger one.
 """
 
 from __future__ import annotations
@@ -68,6 +68,13 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.row_number().over(Window.orderBy("part", "rank", "piece")) - 1)
 
 
+def checked_vocab(vocab: DataFrame) -> DataFrame:
+    """``vocab``, raising when it is read with more rows than 16-bit ids allow."""
+    rows = vocab.agg(F.count("*")).scalar()
+    refused = F.raise_error(F.lit(f"a vocabulary holds at most {MAX_VOCAB} pieces")).cast("int")
+    return vocab.withColumn("id", F.when(rows > MAX_VOCAB, refused).otherwise(F.col("id")))
+
+
 def collect_vocab(vocab: DataFrame) -> list:
     """The rows of a vocabulary on the driver, refused if they are more than 16-bit ids allow."""
     rows = vocab.select("id", "piece", "score", "kind").limit(MAX_VOCAB + 1).collect()
@@ -78,13 +85,13 @@ def collect_vocab(vocab: DataFrame) -> list:
 
 def lookup_piece(ids: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataFrame:
     """Add ``piece`` for each id; null where the vocabulary has no such id."""
-    table = vocab.limit(MAX_VOCAB).select(F.col("id").alias(id_col), "piece")
+    table = checked_vocab(vocab).select(F.col("id").alias(id_col), "piece")
     return ids.join(F.broadcast(table), id_col, "left")
 
 
 def lookup_id(pieces: DataFrame, vocab: DataFrame, piece_col: str = "piece") -> DataFrame:
     """Add ``id`` for each piece; unknown pieces get the unknown id."""
-    table = vocab.limit(MAX_VOCAB).select(F.col("piece").alias(piece_col), "id")
+    table = checked_vocab(vocab).select(F.col("piece").alias(piece_col), "id")
     joined = pieces.join(F.broadcast(table), piece_col, "left")
     return joined.withColumn("id", F.coalesce("id", F.lit(SPECIAL_IDS["unk"])))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions.positions import first_rows
 from tokenloom.functions.tables import PIECE_BASE, USER_SYMBOLS
 from tokenloom.functions.text import SPACE_MARK, characters, strip, units
 from tokenloom.session import ship_package
@@ -63,9 +64,9 @@ def alphabet(words: DataFrame, coverage: float = 0.9995) -> DataFrame:
 def most_frequent(counts: DataFrame, piece: str, size: int) -> DataFrame:
     """The ``size`` most frequent pieces with their rank from 0, ties in piece order.
 
-    The cut is a distributed top-k; only its result is ranked in one task.
+    The cut is found from the counts; only what passes it is sorted and ranked in one task.
     """
-    top = counts.orderBy(F.desc("n"), piece).limit(size)
+    top = first_rows(counts.withColumn("_less", -F.col("n")), ["_less", piece], size)
     return top.select(
         F.col(piece).alias("piece"),
         "n",

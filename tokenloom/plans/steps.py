@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.numbers import div
+
 
 def learning_rate(
     step: Column, peak: float, warmup_steps: int, max_steps: int, min_lr_ratio: float = 0.1
@@ -42,11 +44,11 @@ def step_plan(
     if num_batches < 1:
         raise ValueError("no whole batch to train on")
     micro = spark.range(0, max(max_steps - start_step, 0) * accumulation_steps).withColumnRenamed("id", "draw")
-    step = F.floor(F.col("draw") / accumulation_steps) + start_step
+    step = div(F.col("draw"), accumulation_steps) + start_step
     return micro.select(
         step.alias("step"),
         F.pmod("draw", F.lit(accumulation_steps)).cast("int").alias("micro_step"),
-        F.floor(F.col("draw") / num_batches).alias("epoch"),
+        div(F.col("draw"), num_batches).alias("epoch"),
         F.pmod("draw", F.lit(num_batches)).alias("batch_no"),
         learning_rate(step, peak, warmup_steps, max_steps, min_lr_ratio).alias("learning_rate"),
         ((F.col("draw") + 1) * batch_size * context_length).alias("tokens_seen"),

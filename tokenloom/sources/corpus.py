@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.positions import first_rows
 from tokenloom.functions.text import strip
 
 
@@ -27,7 +28,8 @@ def scan_corpus(
     ``path`` is a file, a list of files, or a folder whose ``*.txt`` files are read, those of its
     subfolders too if ``recursive``. ``max_files`` takes the first files in path order. Large files
     are read in splits; ``(block_start, row_key)`` is the line order within a file. Broken UTF-8
-    shows as replacement characters, which ``drop_bad_bytes`` removes.
+    shows as replacement characters; ``drop_bad_bytes`` leaves it out, and keeps replacement
+    characters that are in the text.
     """
     if isinstance(path, list) or _is_file(spark, path):
         source = spark.read.text(path)
@@ -45,7 +47,7 @@ def scan_corpus(
             source = spark.read.options(**options).text(path)
     line = F.col("value")
     if drop_bad_bytes:
-        line = F.replace(F.make_valid_utf8(line), F.lit("�"), F.lit(""))
+        line = _valid_only(line)
     return source.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -54,6 +56,19 @@ def scan_corpus(
     )
 
 
+def _valid_only(text: Column) -> Column:
+    """A text without its broken bytes. Real replacement characters are written with two characters
+    that stand for nothing in Unicode while the broken bytes are replaced and taken out."""
+    mark, own, real, shown = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2", "\ufffd"
+    steps = ((mark, own), (shown, real))
+    for old, new in steps:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.replace(F.make_valid_utf8(text), F.lit(shown), F.lit(""))
+    for old, new in reversed(steps):
+        text = F.replace(text, F.lit(new), F.lit(old))
+    return text
+
+
 def scan_prompts(spark: SparkSession, path: str) -> DataFrame:
     """One stripped, non-empty prompt per row with its line order: ``prompt_no``, ``prompt``."""
     lines = spark.read.text(path).select(strip(F.col("value")).alias("prompt"))
@@ -69,10 +84,15 @@ def export_corpus(
     partition_by: str | None = None,
 ) -> None:
     """Write each text followed by a blank line, in document order over the part files. ``limit``
-    keeps the first documents; ``partition_by`` makes one folder per value, of as many files as its
-    share of the rows asks for."""
+    keeps the first documents, found on their keys; ``partition_by`` makes one folder per value, of
+    as many files as its share of the rows asks for."""
     folder = [] if partition_by is None else [partition_by]
-    chosen = docs if limit is None else docs.orderBy(order_by).limit(limit)
+    chosen = docs
+    if limit is not None:
+        last = first_rows(docs.select(order_by), [order_by], limit).agg(F.max(order_by).alias("m")).first().m
+        below = docs.where(F.col(order_by) < F.lit(last)) if last is not None else docs.where(F.lit(False))
+        ties = docs.where(F.col(order_by) == F.lit(last)).limit(limit - below.count())
+        chosen = below.unionByName(ties)
     writer = chosen.orderBy(*folder, order_by).select(text, *folder).write.option("lineSep", "\n\n")
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The columns of a metrics log and how each is written.
 METRICS_SCHEMA = (
@@ -40,25 +41,22 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(folder != "", folder).otherwise(name).alias("run"), "*")
 
 
-def _written(name: str) -> Column:
-    """A number as text, rounded from its exact binary value; empty where it is missing."""
-    spec = METRICS_FORMATS[name]
-
-    def texts(values: pa.Array) -> pa.Array:
-        return pa.array(["" if v is None else format(v, spec) for v in values.to_pylist()], pa.string())
-
-    return F.arrow_udf(texts, "string")(F.col(name).cast("double")).alias(name)
+@F.arrow_udf(T.StructType([T.StructField(name, T.StringType()) for name in METRICS_FORMATS]))
+def _written(*columns: pa.Array) -> pa.Array:
+    """Numbers as texts, rounded from their exact binary values; empty where they are missing."""
+    texts = [
+        pa.array(["" if v is None else format(v, spec) for v in values.to_pylist()], pa.string())
+        for values, spec in zip(columns, METRICS_FORMATS.values())
+    ]
+    return pa.StructArray.from_arrays(texts, names=list(METRICS_FORMATS))
 
 
 def format_metrics(metrics: DataFrame) -> DataFrame:
-    """Log columns as they are written; missing values are empty."""
+    """Log columns as they are written; missing values are empty. One call writes a row's numbers."""
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return metrics.select(
-        "run",
-        F.col("step").cast("string").alias("step"),
-        stamp.alias("timestamp"),
-        *[_written(name) for name in METRICS_FORMATS],
-    )
+    numbers = _written(*[F.col(name).cast("double") for name in METRICS_FORMATS])
+    rows = metrics.select("run", F.col("step").cast("string").alias("step"), stamp.alias("timestamp"), numbers.alias("_n"))
+    return rows.select("run", "step", "timestamp", "_n.*")
 
 
 def place_metrics(metrics: DataFrame) -> DataFrame:

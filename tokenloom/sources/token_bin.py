@@ -1,9 +1,13 @@
 """Binary token files: 16-bit little-endian ids, with or without a 16-byte header.
 
-``spark.read.format("token_bin")`` reads one file or a folder of shards in parallel byte ranges as
-blocks of ``start_pos``, ``ids``; ``df.write.format("token_bin")`` writes one shard per partition.
-Register both with ``register(spark)``. Files are reached through ``pyarrow.fs``, so any address it
-knows will do, as long as every executor sees it.
+``read_tokens`` reads one file or a folder of shards in parallel byte ranges as blocks of
+``start_pos``, ``ids``; ``write_tokens`` writes shards of a fixed number of tokens, each a token file
+of its own, and a manifest with their lengths. Documents are cut at shard borders, so a shard's
+header is known before its ids and every byte is written once, under its final name. Files of lost
+tasks are in no manifest and are never read.
+
+Files are reached through ``pyarrow.fs``, so any address it knows will do; a path without a scheme
+belongs to the cluster's default file system.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +32,21 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tokenloom.session import ship_package
+from tokenloom.functions.numbers import div
+from tokenloom.session import qualified, ship_package
 
 # The header is this number and the token count, both 8 bytes little-endian.
 MAGIC = 0x544F4B454E53
 HEADER_BYTES = 16
 MANIFEST = "_manifest.json"
 
+TOKENS_PER_SHARD = 1 << 27
 _RANGE_TOKENS = 1 << 24  # tokens per input partition
 _BLOCK_TOKENS = 1 << 16  # tokens per row
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
 
 
 def _flag(options, name: str, default: str) -> bool:
@@ -59,30 +66,42 @@ class TokenReader(DataSourceReader):
         self.path = options["path"]
         self.header = _flag(options, "header", "true")
 
-    def _files(self, system: fs.FileSystem, root: str) -> list[str]:
+    def _lengths(self, system: fs.FileSystem, root: str) -> list[tuple[str, int]]:
+        """Files and their token counts, each count checked against the file's size."""
         info = system.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(root)
         if info.type == fs.FileType.File:
-            return [root]
+            return [(root, self._length(system, root, info.size))]
         with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [f"{root}/{name}" for name in json.loads(f.read())["shards"]]
+            shards = json.loads(f.read())["shards"]
+        sizes = {i.base_name: i.size for i in system.get_file_info(fs.FileSelector(root))}
+        for shard in shards:
+            if sizes.get(shard["name"]) != self._bytes(shard["n_tokens"]):
+                raise ValueError(f"{root}/{shard['name']} is missing or has not the size its manifest says")
+        return [(f"{root}/{shard['name']}", shard["n_tokens"]) for shard in shards]
 
-    def _length(self, system: fs.FileSystem, file: str) -> int:
-        size = system.get_file_info(file).size
+    def _bytes(self, n_tokens: int) -> int:
+        return 2 * n_tokens + (HEADER_BYTES if self.header else 0)
+
+    def _length(self, system: fs.FileSystem, file: str, size: int) -> int:
         if not self.header:
+            if size % 2:
+                raise ValueError(f"a token file has whole ids; {file} has {size} bytes")
             return size // 2
         with system.open_input_file(file) as f:
             head = f.read(HEADER_BYTES)
         if len(head) < HEADER_BYTES or struct.unpack("<Q", head[:8])[0] != MAGIC:
             raise ValueError(f"not a token file with a header: {file}")
-        return struct.unpack("<Q", head[8:])[0]
+        length = struct.unpack("<Q", head[8:])[0]
+        if size != self._bytes(length):
+            raise ValueError(f"{file} has {size} bytes but says it holds {length} ids")
+        return length
 
     def partitions(self) -> list[TokenRange]:
         system, root = _open(self.path)
         ranges, pos = [], 0
-        for file in self._files(system, root):
-            length = self._length(system, file)
+        for file, length in self._lengths(system, root):
             base = HEADER_BYTES if self.header else 0
             for at in range(0, length, _RANGE_TOKENS):
                 ranges.append(TokenRange(file, base + 2 * at, min(_RANGE_TOKENS, length - at), pos + at))
@@ -105,74 +124,80 @@ class TokenReader(DataSourceReader):
 
 
 @dataclass
-class Shard(WriterCommitMessage):
-    temporary: str | None
-    first_pos: int
-    n_tokens: int
+class Shards(WriterCommitMessage):
+    written: list[tuple[int, str, int]]  # number, file name, tokens
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Each task spools its ids and then writes them behind a header that knows their count; the
-    commit renames the shards in stream order and lists them in the manifest. Files of lost tasks
-    are in no manifest and so are never read."""
+    """Rows of a task come by position, cut at shard borders. Each shard is written once, behind a
+    header that follows from its number; the commit lists the shards in the manifest."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.header = _flag(options, "header", "true")
+        self.per_shard, self.total = int(options["tokens_per_shard"]), int(options["total"])
         system, root = _open(self.path)
         if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
             raise ValueError(f"a token store already exists at {root}")
         system.create_dir(root, recursive=True)
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Shard:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Shards:
         system, root = _open(self.path)
-        temporary = f"{root}/_{uuid.uuid4().hex}.tmp"
-        first, count = None, 0
-        body = f"{temporary}.body"
-        out = None
+        done, out, shard, pos = [], None, None, None
+
+        def close():
+            out.close()
+            if pos != min(self.total, (shard + 1) * self.per_shard):
+                raise ValueError(f"the stream ends or has a gap at position {pos}")
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = batch.column("ids").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
-                if not len(ids):
+            starts, lists = batch.column("start_pos").to_numpy(), batch.column("ids")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            if len(ids) and (ids.min() < 0 or ids.max() > 65535):
+                raise ValueError("token ids must fit 16 bits")
+            numbers = starts // self.per_shard
+            ends = np.cumsum(sizes)
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(starts)]):
+                if lo == hi:
                     continue
-                if ids.min() < 0 or ids.max() > 65535:
-                    raise ValueError("token ids must fit 16 bits")
-                pos = batch.column("start_pos")[i].as_py()
-                if first is None:
-                    first, out = pos, system.open_output_stream(body)
-                elif pos != first + count:
-                    raise ValueError(f"stream has a gap or overlap at position {pos}")
-                out.write(ids.astype("<u2").tobytes())
-                count += len(ids)
-        if out is None:
-            return Shard(None, 0, 0)
-        out.close()
-        with system.open_output_stream(temporary) as final, system.open_input_stream(body) as source:
-            if self.header:
-                final.write(struct.pack("<QQ", MAGIC, count))
-            while chunk := source.read(1 << 24):
-                final.write(chunk)
-        system.delete_file(body)
-        return Shard(temporary, first, count)
-
-    def commit(self, messages: list[Shard | None]) -> None:
+                if numbers[lo] != shard:
+                    if out is not None:
+                        close()
+                    shard = int(numbers[lo])
+                    pos = shard * self.per_shard
+                    length = min(self.total - pos, self.per_shard)
+                    name = f"part-{shard:06d}-{uuid.uuid4().hex[:8]}.bin"
+                    out = system.open_output_stream(f"{root}/{name}")
+                    done.append((shard, name, length))
+                    if self.header:
+                        out.write(struct.pack("<QQ", MAGIC, length))
+                want = pos + ends[lo:hi] - sizes[lo:hi] - (ends[lo] - sizes[lo])
+                if not np.array_equal(want, starts[lo:hi]):
+                    raise ValueError(f"stream has a gap or overlap at position {int(starts[lo:hi][want != starts[lo:hi]][0])}")
+                first, last = ends[lo] - sizes[lo], ends[hi - 1]
+                out.write(ids[first:last].astype("<u2").tobytes())
+                pos += int(last - first)
+        if out is not None:
+            close()
+        return Shards(done)
+
+    def commit(self, messages: list[Shards | None]) -> None:
         system, root = _open(self.path)
-        shards = sorted((m for m in messages if m and m.temporary), key=lambda m: m.first_pos)
-        for ahead, shard in zip(shards, shards[1:]):
-            if ahead.first_pos + ahead.n_tokens != shard.first_pos:
-                self.abort(messages)
-                raise ValueError(f"stream has a gap or overlap at position {shard.first_pos}")
-        names = [f"part-{i:06d}.bin" for i in range(len(shards))]
-        for name, shard in zip(names, shards):
-            system.move(shard.temporary, f"{root}/{name}")
+        shards = sorted(w for m in messages if m for w in m.written)
+        if [n for n, _, _ in shards] != list(range(-(-self.total // self.per_shard))):
+            self.abort(messages)
+            raise ValueError("the stream does not cover all positions once")
+        listed = [{"name": name, "n_tokens": length} for _, name, length in shards]
         with system.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps({"shards": names, "n_tokens": sum(s.n_tokens for s in shards)}).encode())
+            f.write(json.dumps({"shards": listed, "n_tokens": self.total}).encode())
 
-    def abort(self, messages: list[Shard | None]) -> None:
-        system, _ = _open(self.path)
-        for m in messages:
-            if m and m.temporary and system.get_file_info(m.temporary).type == fs.FileType.File:
-                system.delete_file(m.temporary)
+    def abort(self, messages: list[Shards | None]) -> None:
+        system, root = _open(self.path)
+        for _, name, _ in (w for m in messages if m for w in m.written):
+            if system.get_file_info(f"{root}/{name}").type == fs.FileType.File:
+                system.delete_file(f"{root}/{name}")
 
 
 class TokenBin(DataSource):
@@ -196,18 +221,37 @@ def register(spark: SparkSession) -> None:
 
 
 def read_tokens(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """Blocks of a token file or folder: ``start_pos``, ``ids``."""
+    """Blocks of a token file or folder: ``start_pos``, ``ids``. A file whose size is not what its header
+    or manifest says raises an error."""
     register(spark)
-    return spark.read.format("token_bin").option("header", str(header).lower()).load(path)
+    return spark.read.format("token_bin").option("header", str(header).lower()).load(qualified(spark, path))
 
 
-def write_tokens(stream: DataFrame, path: str, header: bool = True, shards: int | None = None) -> None:
-    """Write a stream as shards in position order, each a token file of its own."""
+def write_tokens(stream: DataFrame, path: str, header: bool = True, tokens_per_shard: int | None = TOKENS_PER_SHARD) -> None:
+    """Write a stream, which starts at position 0, as shards in position order, each a token file of
+    its own. ``tokens_per_shard=None`` gives one file, written by one task."""
     spark = stream.sparkSession
     register(spark)
-    count = shards or spark.sparkContext.defaultParallelism
-    ordered = stream.select("start_pos", "ids").repartitionByRange(count, "start_pos").sortWithinPartitions("start_pos")
-    ordered.write.format("token_bin").mode("append").option("header", str(header).lower()).save(path)
+    total = stream.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    size = tokens_per_shard or max(total, 1)
+    shards = max(1, -(-total // size))
+    lo, hi = F.greatest("start_pos", F.col("shard") * size), F.least(F.col("end_pos"), (F.col("shard") + 1) * size)
+    cut = (
+        stream.where("n_tokens > 0")
+        .withColumn("end_pos", F.col("start_pos") + F.col("n_tokens"))
+        .withColumn("shard", F.explode(F.sequence(div(F.col("start_pos"), size), div(F.col("end_pos") - 1, size))))
+        .withColumn("whole", (lo == F.col("start_pos")) & (hi == F.col("end_pos")))
+        .select(
+            "shard",
+            lo.alias("start_pos"),
+            F.when(F.col("whole"), F.col("ids"))
+            .otherwise(F.slice("ids", (lo - F.col("start_pos") + 1).cast("int"), (hi - lo).cast("int")))
+            .alias("ids"),
+        )
+    )
+    placed = cut.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("start_pos")
+    options = {"header": str(header).lower(), "tokens_per_shard": size, "total": total}
+    placed.select("start_pos", "ids").write.format("token_bin").mode("append").options(**options).save(qualified(spark, path))
 
 
 def as_stream(blocks: DataFrame) -> DataFrame:

@@ -15,24 +15,30 @@ OUTPUT = (
     "run long, step long, val_loss double, accepted boolean, counter long, stopped boolean, "
     "best_step long, best_loss double"
 )
-STATE = "best double, last long, seen long, best_step long, stopped boolean"
+STATE = "best double, last long, seen long, best_step long, last_step long, stopped boolean"
 
 
 def stream_early_stopping(evals: DataFrame, patience: int = 10, min_delta: float = 0.001) -> DataFrame:
     """One row per evaluation as it is judged, up to the stop of its run. ``evals`` is a streaming
     table of ``run``, ``step``, ``val_loss``; a run's evaluations must arrive in step order over the
-    batches, and are sorted within one.
+    batches, and are sorted within one. A step at or before one already judged raises an error, as
+    its verdict would depend on what came between.
 
-    The state of a run is five numbers.
+    The state of a run is six numbers. A task holds the steps and losses that one batch brings of a
+    run, so bound the rows of a trigger.
     """
     ship_package(evals.sparkSession)
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        best, last, seen, best_step, stopped = kept.get if kept.exists else (float("inf"), -1, 0, -1, False)
+        start = (float("inf"), -1, 0, -1, None, False)
+        best, last, seen, best_step, last_step, stopped = kept.get if kept.exists else start
         state = StopState(best, last)
         rows = pd.concat(list(frames)).sort_values("step") if not stopped else pd.DataFrame()
         out = []
         for step, value in zip(rows.get("step", ()), rows.get("val_loss", ())):
+            if last_step is not None and step <= last_step:
+                raise ValueError(f"run {key[0]}: step {step} came after step {last_step} was judged")
+            last_step = int(step)
             accepted = state.accepts(seen, value, patience, min_delta)
             best_step = int(step) if accepted else best_step
             counter = seen - state.last
@@ -41,7 +47,7 @@ def stream_early_stopping(evals: DataFrame, patience: int = 10, min_delta: float
             out.append((key[0], step, value, accepted, counter, stopped, best_step, state.best))
             if stopped:
                 break
-        kept.update((state.best, state.last, seen, best_step, bool(stopped)))
+        kept.update((state.best, state.last, seen, best_step, last_step, bool(stopped)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return evals.groupBy("run").applyInPandasWithState(

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tokenloom.operators.documents import documents
 from tokenloom.operators.encode import encode
+from tokenloom.session import scratch
 from tokenloom.sources.run_logs import format_metrics, place_metrics
 
 
@@ -42,8 +43,9 @@ def stream_prepare(
 
     def run(batch: DataFrame, number: int) -> None:
         ordered = batch.withColumn("row_key", F.monotonically_increasing_id())
-        encoded = encode(documents(ordered), ids_of, add_eos=add_eos)
-        encoded.select("file", "doc_no", "ids").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        with scratch(spark):  # what segmentation writes on the way goes when the batch is in place
+            encoded = encode(documents(ordered), ids_of, add_eos=add_eos)
+            encoded.select("file", "doc_no", "ids").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
