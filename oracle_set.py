@@ -295,23 +295,33 @@ FROM written w JOIN logged l ON l.step = w.step::BIGINT"""
 # A document read back from a text file ends with a newline, which encodes as one more byte.
 _FILE_DOCS = _WORDS + _encoded("enc", "(SELECT *, text || chr(10) AS body FROM documents)", "doc_id", "body", " || [3]")
 
-_FILE_STREAM = (
-    _FILE_DOCS
-    + """,
-placed AS (SELECT row_number() OVER (ORDER BY source || '/', doc_id) - 1 AS doc_id, ids FROM documents JOIN enc USING (doc_id)),
+
+
+def _cut_stream(order: str, ratio: str) -> str:
+    """CTEs that place the documents of ``enc`` one behind the other and cut the validation part off."""
+    return f""",
+placed AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS doc_id, ids FROM documents JOIN enc USING (doc_id)),
 stream AS (
   SELECT doc_id, ids, len(ids)::BIGINT AS n_tokens,
     (coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_pos
   FROM placed
 ),
 total AS (SELECT sum(n_tokens)::BIGINT AS n FROM stream),
-cut AS (SELECT n - trunc(n * 0.05::DOUBLE)::BIGINT AS train FROM total),
+cut AS (SELECT n - trunc(n * {ratio}::DOUBLE)::BIGINT AS train FROM total),
 parts AS (
   SELECT 'train' AS split, doc_id, start_pos, ids[1:greatest(least(train - start_pos, n_tokens), 0)] AS ids FROM stream, cut
   UNION ALL
   SELECT 'val', doc_id, greatest(start_pos - train, 0), ids[greatest(train - start_pos, 0) + 1:] FROM stream, cut
 )"""
+
+
+_FILE_STREAM = _FILE_DOCS + _cut_stream("source || '/', doc_id", "0.05")
+_FLAT_STREAM = (
+    _WORDS
+    + _encoded("enc", "(SELECT *, replace(text, chr(10), ' ') AS body FROM documents)", "doc_id", "body")
+    + _cut_stream("doc_id", "0.01")
 )
+_FILE_TOKENS = "\nSELECT split, start_pos + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token_id FROM parts WHERE len(ids) > 0"
 
 # Encoding drops spaces at the ends and counts a run of them as one; decoding gives that text back.
 _DECODED = "SELECT doc_id, regexp_replace(trim(text, ' '), ' +', ' ', 'g') AS text FROM documents"
@@ -526,9 +536,8 @@ SELECT split, t AS total_tokens, t // {WIDTH} AS num_sequences, round((16 + 2 *
     "C14_prepare_parts": _FILE_STREAM
     + f"""
 SELECT split, doc_id, start_pos, len(ids)::BIGINT AS n_tokens, {_csv('ids')} AS ids FROM parts WHERE len(ids) > 0""",
-    "C14_prepare_files": _FILE_STREAM
-    + """
-SELECT split, start_pos + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token_id FROM parts WHERE len(ids) > 0""",
+    "C14_prepare_files": _FILE_STREAM + _FILE_TOKENS,
+    "C14_prepare_chunks": _FLAT_STREAM + _FILE_TOKENS,
     "C15_step_plan": _STREAM
     + f""",
 size AS (SELECT n // {WIDTH} AS seqs, n // {WIDTH} // {BATCH} AS nb FROM total),

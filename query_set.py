@@ -468,7 +468,20 @@ def c14_prepare_parts(spark, sf):
 
 
 def c14_prepare_files(spark, sf):
-    files_of = {name: token_bin.read_tokens(spark, f"{prepared(spark, sf)[1]}/{name}") for name in ("train", "val")}
+    return file_tokens(spark, prepared(spark, sf)[1], True)
+
+
+def c14_prepare_chunks(spark, sf):
+    raw, out = work_path(spark, "flat"), work_path(spark, "prepared")
+    corpus.export_corpus(docs(spark, sf), raw)
+    prepare.prepare_all(
+        spark, raw, WORD_VOCAB, mode="chunks", model="word", context_length=CONTEXT, chunk_size=CHUNK, coverage=1.0, out=out
+    )
+    return file_tokens(spark, out, False)
+
+
+def file_tokens(spark: SparkSession, out: str, header: bool) -> DataFrame:
+    files_of = {name: token_bin.read_tokens(spark, f"{out}/{name}", header) for name in ("train", "val")}
     tokens = [
         df.select(F.lit(name).alias("split"), "start_pos", F.posexplode("ids").alias("i", "token_id"))
         for name, df in files_of.items()
@@ -722,6 +735,7 @@ QUERIES: dict[str, Query] = {
     "C14_prepare_all": c14_prepare_all,
     "C14_prepare_parts": c14_prepare_parts,
     "C14_prepare_files": c14_prepare_files,
+    "C14_prepare_chunks": c14_prepare_chunks,
     "C15_step_plan": c15_step_plan,
     "D1_cross_entropy": d1_cross_entropy,
     "D2_evaluate": d2_evaluate,
