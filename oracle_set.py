@@ -393,6 +393,11 @@ SELECT l || r AS pair, sum(n)::BIGINT AS c FROM pairs
 WHERE l IN (SELECT char FROM alphabet) AND r IN (SELECT char FROM alphabet) GROUP BY 1""",
     "B3_train_bpe": _MERGES + '\nSELECT rank, "left", "right", piece FROM merged',
     "B7_encode_bpe": _BPE_DOCS + f"\nSELECT doc_id, {_csv('ids')} AS ids FROM enc",
+    "B4_seed_pieces": _WORDS
+    + """,
+starts AS (SELECT word, n, unnest(range(1, length(word))) AS i FROM counts WHERE length(word) > 1),
+spans AS (SELECT word, n, i, unnest(range(2, least(16, length(word) - i + 1) + 1)) AS size FROM starts)
+SELECT substr(word, i::INT, size::INT) AS piece, sum(n)::BIGINT AS n FROM spans GROUP BY 1 HAVING sum(n) >= 2""",
     "B5_train_word": _WORDS + "\nSELECT piece, n, rank FROM words",
     "B5_train_char": _WORDS
     + f"""

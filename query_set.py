@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.positions import running_before
 from tokenloom.operators import chat, documents, encode, packing, runs, scoring, stream, vocab, words
 from tokenloom.operators.bpe import pair_counts, segments, train_bpe
-from tokenloom.operators.unigram import train_unigram
+from tokenloom.operators.unigram import seed_pieces, train_unigram
 from tokenloom.plans import prepare, steps
 from tokenloom.session import materialize, work_path
 from tokenloom.sources import corpus, run_logs, token_bin, vocab_files
@@ -286,6 +286,10 @@ def b3_pair_counts(spark, sf):
     return pair_counts(segments(counted(spark, sf), letters(spark, sf)))
 
 
+def b4_seed_pieces(spark, sf):
+    return seed_pieces(counted(spark, sf), None)
+
+
 def b4_train_unigram(spark, sf):
     return unigram_pieces(spark, sf)
 
@@ -704,6 +708,7 @@ QUERIES: dict[str, Query] = {
     "B2_alphabet": b2_alphabet,
     "B3_train_bpe": b3_train_bpe,
     "B3_pair_counts": b3_pair_counts,
+    "B4_seed_pieces": b4_seed_pieces,
     "B4_train_unigram": b4_train_unigram,
     "B5_train_word": b5_train_word,
     "B5_train_char": b5_train_char,

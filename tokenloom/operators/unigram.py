@@ -1,22 +1,22 @@
 """Training of a unigram vocabulary: expectation maximisation over the distinct units of a corpus.
 
 Candidate pieces are the frequent substrings of units. Each round cuts every distinct unit in all
-ways on the executors and sums the expected piece counts with one grouped aggregation. The piece
-table is at most ``seed_size`` rows; it travels with the functions and is rescored on the driver.
+ways on the executors, sums the expected piece counts, and rescores or prunes the piece table, all
+as tables. The pieces with their scores, at most ``seed_size`` and the characters, are the model that
+a round's functions need; they are sent along once a round.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.pieces import best_path, expected_pieces
+from tokenloom.functions.positions import first_rows
 from tokenloom.functions.tables import MAX_PIECE_CHARS, PIECE_BASE
 from tokenloom.operators.words import character_counts
 from tokenloom.session import materialize, ship_package
@@ -26,8 +26,9 @@ _STEPS = 2  # rounds of counting between prunings
 _LEAST_COUNT = 0.5
 
 
-def seed_pieces(words: DataFrame, seed_size: int = 1_000_000) -> DataFrame:
-    """Substrings of units that occur at least twice, best by count times length: ``piece``, ``n``."""
+def seed_pieces(words: DataFrame, seed_size: int | None = 1_000_000) -> DataFrame:
+    """Substrings of units that occur at least twice: ``piece``, ``n``; the best by count times length,
+    or all of them for ``None``."""
     longest = F.least(F.lit(MAX_PIECE_CHARS), F.length("word") - F.col("at") + 1)
     starts = words.where(F.length("word") > 1).select(
         "word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at")
@@ -39,10 +40,19 @@ def seed_pieces(words: DataFrame, seed_size: int = 1_000_000) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     frequent = counts.where("n >= 2")
-    return frequent.orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(seed_size)
+    if seed_size is None:
+        return frequent
+    weighed = materialize(frequent.withColumn("_less", -F.col("n") * F.length("piece")), "seeds")
+    return first_rows(weighed, ["_less", "piece"], seed_size).drop("_less")
 
 
-def _expected(words: DataFrame, score: dict[str, float]) -> dict[str, float]:
+def _scores(table: DataFrame) -> dict[str, float]:
+    return {r.piece: r.score for r in table.select("piece", "score").collect()}
+
+
+def expected_counts(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``piece``, ``c``: how often each piece is expected over all cuts of all units."""
+    score = _scores(table)
     longest = max(map(len, score))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,68 +63,67 @@ def _expected(words: DataFrame, score: dict[str, float]) -> dict[str, float]:
                     total[piece] += n * weight
             yield pd.DataFrame({"piece": list(total.keys()), "c": list(total.values())})
 
-    rows = words.mapInPandas(count, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("c"))
-    return {r.piece: r.c for r in rows.collect()}
+    return words.mapInPandas(count, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("c"))
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    shift = np.zeros_like(x)
-    for _ in range(7):
-        shift -= 1.0 / x
-        x = x + 1.0
-    inv = 1.0 / (x * x)
-    return shift + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+def _digamma(x: Column) -> Column:
+    shift = sum((F.lit(1.0) / (x + k) for k in range(7)), F.lit(0.0))
+    far = x + 7
+    inv = 1.0 / (far * far)
+    return F.log(far) - 0.5 / far - inv * (1 / 12 - inv * (1 / 120 - inv / 252)) - shift
 
 
-def _rescore(counts: dict[str, float]) -> dict[str, float]:
-    kept = {p: c for p, c in counts.items() if c >= _LEAST_COUNT or len(p) == 1}
-    values = np.maximum(np.fromiter(kept.values(), float, len(kept)), 1e-3)
-    scores = _digamma(values) - _digamma(np.array([values.sum()]))
-    return dict(zip(kept, scores.tolist()))
+def rescore(counts: DataFrame) -> DataFrame:
+    """``piece``, ``score`` from expected counts; rare pieces of several characters go."""
+    value = F.greatest("c", F.lit(1e-3))
+    kept = counts.where((F.col("c") >= _LEAST_COUNT) | (F.length("piece") == 1)).withColumn("v", value)
+    whole = kept.agg(F.sum("v").alias("v")).select(_digamma(F.col("v")).alias("d"))
+    return kept.select("piece", (_digamma(F.col("v")) - whole.scalar()).alias("score"))
 
 
-def _prune(words: DataFrame, score: dict[str, float], counts: dict[str, float], size: int) -> dict[str, float]:
+def prune(table: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     """Keep single characters and the pieces whose loss would lower the likelihood most."""
-    spark = words.sparkSession
+    score = _scores(table)
     longest = max(map(len, score))
 
     def losses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rest = [best_path(p, score, longest, without=p)[1] for p in frame["piece"]]
-            yield frame.assign(loss=frame["c"] * (frame["piece"].map(score) - rest))[["piece", "loss"]]
+            yield frame.assign(_less=frame["c"] * (rest - frame["score"]))[["piece", "score", "_less"]]
 
-    long = [(p, counts.get(p, 0.0)) for p in score if len(p) > 1]
-    room = max(size - (len(score) - len(long)), 0)
-    table = spark.createDataFrame(long, "piece string, c double").repartition(spark.sparkContext.defaultParallelism)
-    best = table.mapInPandas(losses, "piece string, loss double").orderBy(F.desc("loss"), "piece").limit(room)
-    kept = {r.piece for r in best.collect()}
-    return {p: s for p, s in score.items() if len(p) == 1 or p in kept}
+    single = table.where(F.length("piece") == 1)
+    long = table.where(F.length("piece") > 1).join(counts, "piece", "left").fillna(0.0, ["c"])
+    tasks = table.sparkSession.sparkContext.defaultParallelism
+    weighed = long.repartition(tasks).mapInPandas(losses, "piece string, score double, _less double")
+    room = max(size - single.count(), 0)
+    best = first_rows(materialize(weighed, "losses"), ["_less", "piece"], room)
+    return single.unionByName(best.drop("_less"))
 
 
 def train_unigram(words: DataFrame, vocab_size: int = 32000, seed_size: int = 1_000_000) -> DataFrame:
     """Pieces with their log-likelihood: ``piece``, ``score``, ``rank`` (best first).
 
-    ``words`` is read several times; hand in a written table.
+    ``words`` is read several times; hand in a written table. ``seed_size`` is the number of
+    candidates the model starts from, beside the characters.
     """
     spark = words.sparkSession
     ship_package(spark)
     units = materialize(words.repartition(spark.sparkContext.defaultParallelism), "unigram")
     size = vocab_size - PIECE_BASE
     seeds = seed_pieces(units, seed_size).unionByName(character_counts(units).withColumnRenamed("char", "piece"))
-    counts = {r.piece: float(r.n) for r in seeds.collect()}
-    total = math.log(sum(counts.values()))
-    score = {p: math.log(c) - total for p, c in counts.items()}
+    seeds = materialize(seeds, "seeds")
+    total = F.log(seeds.agg(F.sum("n")).scalar())
+    table = materialize(seeds.select("piece", (F.log("n") - total).alias("score")), "pieces")
     while True:
         for _ in range(_STEPS):
-            counts = _expected(units, score)
-            score = _rescore(counts)
-        if len(score) <= size:
+            counts = materialize(expected_counts(units, table), "expected")
+            table = materialize(rescore(counts), "pieces")
+        held = table.count()
+        if held <= size:
             break
-        smaller = max(size, int(len(score) * _KEEP))
-        pruned = _prune(units, score, counts, smaller)
-        if len(pruned) == len(score):
+        pruned = materialize(prune(table, counts, max(size, int(held * _KEEP))), "pieces")
+        if pruned.count() == held:
             break
-        score = pruned
-    ranked = sorted(score.items(), key=lambda item: (len(item[0]) > 1 and item[0] not in counts, -item[1], item[0]))
-    rows = [(piece, value, rank) for rank, (piece, value) in enumerate(ranked)]
-    return spark.createDataFrame(rows, "piece string, score double, rank long")
+        table = pruned
+    best_first = Window.orderBy(F.desc("score"), "piece")  # over one row for each piece of the vocabulary
+    return table.withColumn("rank", (F.row_number().over(best_first) - 1).cast("long"))
