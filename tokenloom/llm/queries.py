@@ -25,12 +25,13 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     spec = bpe_codec.read_tokenizer(public_tokenizers.path(TOKENIZER))
-    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), spec)
-    decoded = bpe_codec.decode(encoded, bpe_codec.pieces(spark, spec))
+    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), spec, stored=True)
+    pieces = bpe_codec.pieces(spark, spec)
+    decoded = bpe_codec.ids_digest(bpe_codec.decode(encoded, pieces), pieces.count())
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        bpe_codec.ids_digest(F.col("ids")).alias("ids_sha256"),
+        "ids_sha256",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
