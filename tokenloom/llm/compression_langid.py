@@ -23,7 +23,7 @@ TEXT_CHARS = 1500  # of one labelled text, at most, so that a dictionary holds m
 SAMPLE_BYTES = 1 << 20  # labelled text chosen per language, about, before repeats go
 MAX_LANGS = 256  # more than these are refused: the dictionaries travel with the tasks
 LEVEL = 6
-CHUNK_BYTES = 128 << 10  # a longer text is encoded in pieces, so that the dictionary stays in reach
+CHUNK_BYTES = 4 << 10  # a longer text is encoded in pieces, so that it cannot learn from itself instead
 MIN_MARGIN = 0.02
 UNKNOWN = "und"
 
