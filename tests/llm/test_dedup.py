@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import paragraph_minhash as pm
 from tokenloom.llm import simhash_vptree as sh
-from tokenloom.llm.common import local_roots
+from tokenloom.llm.common import local_roots, word_windows
 from tokenloom.llm.components import components
 
 
@@ -111,6 +111,18 @@ def test_near_duplicates_match_brute_force(spark):
     ]
 
 
+def test_windows_of_long_texts_give_the_same_words_and_shingles(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(50):
+        text = "".join(rng.choice("ab  \n\t\x0b") for _ in range(rng.randrange(80))).encode()
+        for size in (1, 3, 10, 1000):
+            windows = list(word_windows(text, size))
+            assert [w for window in windows for w in window] == text.split()
+    texts = ["a", "a b", "a b c d e f g", "  x  y z ", " ".join(map(str, range(99)))]
+    monkeypatch.setattr(sh, "word_windows", lambda text: word_windows(text, 2))
+    assert sh.fingerprint_all([t.encode() for t in texts]).tolist() == [_fingerprint(t) for t in texts]
+
+
 # Paragraphs
 
 

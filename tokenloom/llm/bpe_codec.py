@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import materialize, ship_package
+from tokenloom.llm.common import materialize, ship_package, word_windows
 
 BLOCK_WORDS = 1 << 20  # distinct words after which a block ends
 BLOCK_BYTES = 12 << 20  # text after which a block ends
@@ -93,9 +93,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
     parts = (batch.slice(lo, 512) for batch in batches for lo in range(0, batch.num_rows, 512))
     for part in parts:
         for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            found = (text or b"").split()
+            lists = [np.fromiter(map(words.__getitem__, w), np.uint32, len(w)) for w in word_windows(text or b"")]
             ids.append(row)
-            codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+            codes.append(lists[0] if len(lists) == 1 else np.concatenate([np.zeros(0, np.uint32), *lists]))
             size += len(text or b"")
             if size > BLOCK_BYTES or len(words) > BLOCK_WORDS:
                 yield base + number, list(words), ids, codes

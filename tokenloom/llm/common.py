@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,11 +12,25 @@ from pyspark.sql import functions as F
 
 from tokenloom.session import materialize, ship_package
 
-__all__ = ["bounded_sample", "local_roots", "materialize", "ship_package"]
+__all__ = ["bounded_sample", "local_roots", "materialize", "ship_package", "word_windows"]
 
 _BUCKETS = 1 << 30
 
 
+_WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+
+def word_windows(text: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text, cut at ASCII white space, in lists from about ``size`` bytes each, so that a
+    very long text never becomes one list."""
+    lo = 0
+    while lo < len(text):
+        cut = _WHITE.search(text, lo + size) if lo + size < len(text) else None
+        hi = cut.start() if cut else len(text)
+        yield text[lo:hi].split()
+        lo = hi + 1
+
+
 def bounded_sample(df: DataFrame, by: Sequence[Column], rows: int) -> DataFrame:
     """About ``rows`` rows, at most twice as many, chosen by a hash of ``by`` so that a rerun chooses
     the same ones. For fitting only: nothing that decides which rows are kept may use it."""

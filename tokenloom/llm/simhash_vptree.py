@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import bounded_sample, local_roots, materialize, ship_package
+from tokenloom.llm.common import bounded_sample, local_roots, materialize, ship_package, word_windows
 from tokenloom.llm.components import components
 
 SEED = 42
@@ -87,20 +87,18 @@ def _hashes(text: bytes | None) -> Iterator[np.ndarray]:
 
     import xxhash
 
-    words = (text or b"").lower().split()
-    if not words:
-        return
-    joined = b" ".join(words)
-    starts = list(itertools.accumulate(map(len, words), lambda at, n: at + n + 1, initial=0))
-    n = len(words) - SHINGLE + 1
-    if n <= 0:
-        yield np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-        return
     digest = xxhash.xxh64_intdigest
-    for lo in range(0, n, _WINDOW):
-        hi = min(n, lo + _WINDOW)
-        spans = zip(starts[lo:hi], starts[lo + SHINGLE : hi + SHINGLE])
-        yield np.array([digest(joined[a : b - 1], SEED) for a, b in spans], np.uint64)
+    words, whole = [], False
+    for more in word_windows((text or b"").lower()):
+        words += more
+        if len(words) >= SHINGLE:
+            whole = True
+            joined = b" ".join(words)
+            starts = list(itertools.accumulate(map(len, words), lambda at, n: at + n + 1, initial=0))
+            yield np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:])], np.uint64)
+            words = words[1 - SHINGLE :]  # the next shingle starts with these
+    if words and not whole:
+        yield np.array([digest(b" ".join(words), SEED)], np.uint64)
 
 
 #: The eight bits of a byte as the eight bytes of a number, so that one addition counts eight bits.
