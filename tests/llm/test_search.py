@@ -25,7 +25,7 @@ BAD = [
 
 
 def _exact(rows, chosen, k, scale=256):
-    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     whole = [(i, [int(np.floor(scale * float(np.float32(x)))) for x in v]) for i, v in good]
     queries = {}
     for i, v in good:
@@ -54,6 +54,8 @@ def test_exact_ties_repeats_lengths_and_few_rows(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0]), (2, [3.0, 0.0]), (3, [3.0, 0.0, 9.0]), (3, [3.0, 0.0, 9.0]), (50, [0.0])]
     found = exact_topk.top_k(_table(spark, rows), F.col("vec_id") % 50 == 0, 5)
     assert _got(found) == _exact(rows, lambda i: i % 50 == 0, 5)
+    empty = [(0, []), (7, []), (3, [])]
+    assert _got(exact_topk.top_k(_table(spark, empty), F.col("vec_id") == 0, 5)) == [(0, 1, 3, 0), (0, 2, 7, 0)]
     assert exact_topk.top_k(_table(spark, []), F.lit(True), 5).collect() == []
     assert exact_topk.top_k(_table(spark, rows), F.lit(False), 5).collect() == []
     assert exact_topk.top_k(_table(spark, rows[:1]), F.lit(True), 5).collect() == []

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.session import materialize
+from tokenloom.session import materialize, remove, work_path
 
 
 ROWS_PER_FILE = 1 << 19
@@ -25,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     if pairs.schema["a"].dataType.typeName() in ("long", "integer"):
-        return _components(pairs)
+        return _components(pairs.select(F.col("a").cast("long"), F.col("b").cast("long")))
     # other nodes are numbered, as numbers are summed in place; the numbers are written with them
     pairs = materialize(pairs.distinct(), "edges")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -39,15 +39,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _components(pairs: DataFrame) -> DataFrame:
-    stars = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    spark, seen, path = pairs.sparkSession, None, work_path(pairs.sparkSession, "edges")
+    pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().write.parquet(path)
     while True:
+        stars = spark.read.schema("u long, v long").parquet(path)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == seen:
             break
         seen = now
         files = max(1, -(-now[0] // ROWS_PER_FILE))
-        stars = materialize(_small_star(_large_star(stars)).coalesce(files), "edges")
+        last, path = path, work_path(spark, "edges")
+        _small_star(_large_star(stars)).coalesce(files).write.parquet(path)
+        remove(spark, last)
     roots = stars.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -24,7 +24,7 @@ SAMPLE_BYTES = 1 << 20  # labelled text chosen per language, about, before repea
 MAX_LANGS = 256  # more than these are refused: the dictionaries travel with the tasks
 LEVEL = 6
 CHUNK_BYTES = 4 << 10  # a longer text is encoded in pieces, so that it cannot learn from itself instead
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.01
 UNKNOWN = "und"
 
 _BUCKETS = 1 << 30

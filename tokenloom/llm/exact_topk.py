@@ -31,8 +31,8 @@ def top_k(
 
     ``chosen`` is a condition on ``vec_id`` that states the queries. A query's own row, that is every
     row with its id, is no candidate; other rows with equal ids or vectors all count. Rows with a null
-    id or a vector that is null, empty or has a null or non-finite component take no part. Vectors of
-    unlike length are compared as if zeros followed the shorter. Products beyond the range of long
+    id or a vector that is null or has a null or non-finite component take no part. Vectors of unlike
+    length, empty ones too, are compared as if zeros followed the shorter. Products beyond the range of long
     are cut to it. Ties go to the smaller id. Other columns are not read; no query, no rows.
     """
     ship_package(df.sparkSession)
@@ -47,7 +47,7 @@ def _cell(k: int, scale: int, rows: pa.Table, queries: pa.Table) -> pa.Table:
         vectors = np.floor(scale * grid.matrix(rows.column("vector"), width))
         asked = np.floor(scale * grid.matrix(queries.column("vector"), width))
         ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-        largest = max(np.abs(vectors).max(), 1) * max(np.abs(asked).max(), 1)
+        largest = np.abs(vectors).max(initial=1) * np.abs(asked).max(initial=1)
         if largest * width < _EXACT:
             held = Vertical(vectors, ids)
             out = [(q, *held.top(v, q, k)) for q, v in zip(own.tolist(), asked)]

@@ -23,10 +23,10 @@ MIN_GROUPS = 12  # so that small tables use all cores
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """``vec_id`` and ``vector`` (doubles) of the rows that take part: those with an id and a vector
-    of at least one component, all of them finite."""
+    whose components are all finite."""
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & ~bad)
+    return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad)
 
 
 def query_rows(rows: DataFrame, chosen: Column) -> DataFrame:
@@ -68,7 +68,7 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     sizes = np.diff(bounds)
     if len(sizes) and (sizes == width).all():
-        return flat[bounds[0] : bounds[-1]].reshape(-1, width)
+        return flat[bounds[0] : bounds[-1]].reshape(len(sizes), width)
     made = np.zeros((len(sizes), width))
     row = np.repeat(np.arange(len(sizes)), sizes)
     made[row, np.arange(len(row)) - np.repeat(bounds[:-1] - bounds[0], sizes)] = flat[bounds[0] : bounds[-1]]

@@ -152,7 +152,7 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     salts = max(1, math.ceil(total * PRUNED**levels / QUERY_ROWS))
     sample = bounded_sample(reps.select("bits"), [F.col("bits")], SAMPLE_ROWS).toArrow()
     tree = build_tree(np.sort(sample.column(0).to_numpy().view(np.uint64)), levels)
-    sent = reps.select("bits", "rep").mapInArrow(
+    sent = reps.select("bits", F.col("rep").cast("long").alias("rep")).mapInArrow(
         functools.partial(_route, tree, levels, salts, max_bits),
         "shard long, salt int, home boolean, bits binary, reps binary",
     )
