@@ -81,23 +81,24 @@ def test_characters_outside_the_alphabet_part_units(spark):
     assert bpe.train_merges(df, letters, 5) == [("a", "b"), ("b", "a")]
 
 
-def test_library_gives_the_same_vocabulary_ids_and_text(spark, tmp_path):
+@pytest.mark.parametrize("size", [450, 3000])
+def test_library_gives_the_same_vocabulary_ids_and_text(spark, tmp_path, size):
     spm = pytest.importorskip("sentencepiece")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     texts = [r.text for r in docs.orderBy("doc_id").collect()]
     (tmp_path / "t.txt").write_text("\n".join(texts) + "\n")
     spm.SentencePieceTrainer.Train(
-        input=str(tmp_path / "t.txt"), model_prefix=str(tmp_path / "m"), vocab_size=450, model_type="bpe",
+        input=str(tmp_path / "t.txt"), model_prefix=str(tmp_path / "m"), vocab_size=size, model_type="bpe",
         character_coverage=0.9995, max_sentence_length=16384, pad_id=0, unk_id=1, bos_id=2, eos_id=3,
         pad_piece="<|pad|>", unk_piece="<|unk|>", bos_piece="<|startoftext|>", eos_piece="<|endoftext|>",
         user_defined_symbols="<|user|>,<|assistant|>,<|system|>", byte_fallback=True, split_by_whitespace=True,
         split_digits=True, normalization_rule_name="identity", minloglevel=2,
     )
     lib = spm.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
-    ours = train_vocab(docs, 450, "bpe")
+    ours = train_vocab(docs, size, "bpe")
     rows = vocab.collect_vocab(ours)
     assert [r.piece for r in rows] == [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
-    assert [r.score for r in rows[7 + 256 :]] == [lib.get_score(i) for i in range(7 + 256, 450)]
+    assert [r.score for r in rows[7 + 256 :]] == [lib.get_score(i) for i in range(7 + 256, size)]
     many = docs.union(table(spark).select(F.col("doc_id") + 100_000, "text"))
     encoded = materialize(encode.encode(many, encode.encoder(ours)), "e")
     for row in encode.decode(encoded, ours, text="back", skip_special_tokens=False).collect():
