@@ -26,7 +26,7 @@ WORD_VOCAB = 8192
 CONTEXT = 128
 BATCH = 8
 CHUNK = 100
-BPE_VOCAB = 420
+BPE_VOCAB = 1000
 UNIGRAM_VOCAB = 1000
 UNIGRAM_SEEDS = 4000
 NEWLINE_ID = 7 + 10
