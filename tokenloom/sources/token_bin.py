@@ -41,6 +41,7 @@ HEADER_BYTES = 16
 MANIFEST = "_manifest.json"
 
 TOKENS_PER_SHARD = 1 << 27
+_LEAST_SHARD = 1 << 20
 _RANGE_TOKENS = 1 << 24  # tokens per input partition
 _BLOCK_TOKENS = 1 << 16  # tokens per row
 
@@ -229,11 +230,13 @@ def read_tokens(spark: SparkSession, path: str, header: bool = True) -> DataFram
 
 def write_tokens(stream: DataFrame, path: str, header: bool = True, tokens_per_shard: int | None = TOKENS_PER_SHARD) -> None:
     """Write a stream, which starts at position 0, as shards in position order, each a token file of
-    its own. ``tokens_per_shard=None`` gives one file, written by one task."""
+    its own: of ``tokens_per_shard``, or fewer where that leaves cores without a shard.
+    ``tokens_per_shard=None`` gives one file, written by one task."""
     spark = stream.sparkSession
     register(spark)
     total = stream.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    size = tokens_per_shard or max(total, 1)
+    even = max(_LEAST_SHARD, -(-total // spark.sparkContext.defaultParallelism))
+    size = min(tokens_per_shard, even) if tokens_per_shard else max(total, 1)
     shards = max(1, -(-total // size))
     lo, hi = F.greatest("start_pos", F.col("shard") * size), F.least(F.col("end_pos"), (F.col("shard") + 1) * size)
     cut = (
