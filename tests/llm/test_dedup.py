@@ -208,3 +208,26 @@ def test_bands_are_tuned_for_recall():
     assert bands * rows <= pm.HASHES and 1 - (1 - pm.THRESHOLD**rows) ** bands >= pm.RECALL
     with pytest.raises(ValueError):
         pm.tune(0.1, 4, 0.999)
+
+
+def test_passages_over_short_lines_are_found(spark):
+    rng = random.Random(12)
+    words = [f"s{i}" for i in range(2000)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    wrapped = [line(9) for _ in range(7)]
+    long, head = line(30), "A heading"
+    rows = [
+        (1, "\n".join([head, "", *wrapped, "", long])),
+        (2, "\n".join([line(40), *wrapped, line(25)])),
+        (3, "\n".join([line(12), "", " ".join(wrapped)])),
+        (4, "\n".join([head, "", line(8), line(7)])),
+    ]
+    texts = dict(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pm.passages(docs)
+    got = {(r.doc_id, r.para_no): (r.kept_doc_id, r.kept_para_no, r.removed, texts[r.doc_id][r.start : r.stop].split()) for r in found.collect()}
+    own = " ".join(wrapped).split()
+    assert got == {(1, 2): (1, 2, False, own), (2, 1): (1, 2, True, own), (3, 2): (1, 2, True, own)}
+    left = {r.doc_id: r.text for r in pm.remove(docs, found).collect()}
+    two, three = texts[2].split("\n"), texts[3].split("\n")
+    assert left == {1: texts[1], 2: "\n".join([two[0], two[-1]]), 3: "\n".join(three[:2]), 4: texts[4]}

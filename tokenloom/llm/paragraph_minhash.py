@@ -1,6 +1,7 @@
 """Repeated passages across documents: paragraph MinHash with banding.
 
-A paragraph is a line of at least ``MIN_WORDS`` words. Exact copies are one paragraph, known by a hash
+A paragraph is a line of at least ``MIN_WORDS`` words, or a run of shorter lines, up to a blank or a long
+one, that has as many together. Exact copies are one paragraph, known by a hash
 of its words. The distinct ones get a MinHash signature of their five-word shingles, cut to bands
 that are tuned for high recall at the threshold; paragraphs that share a band are joined and their
 exact Jaccard similarity is checked. Components of what is similar are one passage: its first place
@@ -29,7 +30,7 @@ from tokenloom.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-MIN_WORDS = 20  # shorter lines are no passages: headings, licence lines, boilerplate
+MIN_WORDS = 20  # shorter paragraphs are no passages: headings, licence lines, boilerplate
 HASHES = 64
 RECALL = 0.999
 CHUNK_MEMBERS = 2048
@@ -57,19 +58,39 @@ class Paragraphs:
         self.min_words = min_words
         self.known: dict[str, int] = {}
 
-    def of(self, text: str | None) -> Iterator[tuple[int, int, int, list[int], bytes]]:
-        """``(number, start, end, word hashes, key)`` of each; places count characters of the text."""
-        import xxhash
-
-        at = 0
+    def blocks(self, text: str | None) -> Iterator[tuple[int, int, int, list[str]]]:
+        """``(number of the first line, start, end, words)`` of each long line and of each run of short
+        lines, short ones among them; places count characters of the text."""
+        at, held = 0, None
         for number, line in enumerate((text or "").split("\n")):
             words = line.lower().split()
+            if held and not 0 < len(words) < self.min_words:
+                yield held
+                held = None
             if len(words) >= self.min_words:
-                key = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                yield number, at, at + len(line), self._hashes(words), key
+                yield number, at, at + len(line), words
+            elif words and held:
+                held[3].extend(words)
+                held = (*held[:2], at + len(line), held[3])
+            elif words:
+                held = (number, at, at + len(line), words)
             at += len(line) + 1
+        if held:
+            yield held
+
+    def of(self, text: str | None) -> Iterator[tuple[int, int, int, list[int], bytes]]:
+        """``(number, start, end, word hashes, key)`` of each that is long enough."""
+        for number, start, end, words in self.blocks(text):
+            if len(words) >= self.min_words:
+                yield number, start, end, self.hashes(words), self.key(words)
 
-    def _hashes(self, words: list[str]) -> list[int]:
+    @staticmethod
+    def key(words: list[str]) -> bytes:
+        import xxhash
+
+        return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+    def hashes(self, words: list[str]) -> list[int]:
         import xxhash
 
         known = self.known
@@ -122,12 +143,17 @@ def signatures(words: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> n
     return made
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows.where("doc_id is not null")
+
+
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``para_no``, ``start``, ``stop``, ``n_words``, ``key``, ``bands`` of every paragraph."""
+    """``doc_id``, ``text_hash``, ``para_no``, ``start``, ``stop``, ``n_words``, ``key``, ``bands`` of every paragraph."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    kinds = (T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.ArrayType(T.LongType()))
-    names = ("para_no", "start", "stop", "n_words", "key", "bands")
+    rows = _rows(docs, doc_id, text)
+    kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.ArrayType(T.LongType()))
+    names = ("text_hash", "para_no", "start", "stop", "n_words", "key", "bands")
     schema = T.StructType([rows.schema["doc_id"], *map(T.StructField, names, kinds)])
     return rows.mapInArrow(functools.partial(_paragraphs, max(min_words, SHINGLE), tune()), schema)
 
@@ -142,15 +168,15 @@ def _paragraphs(min_words: int, shape: tuple[int, int], batches: Iterator[pa.Rec
             sizes = np.array([len(w) for w in words])
             found = signatures(np.fromiter((h for w in words for h in w), np.uint64, sizes.sum()), sizes, bands, rows)
             columns = list(zip(*held))
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, bands, dtype=np.int32), pa.array(found.view(np.int64).ravel()))
-            arrays = [*arrays[:4], pa.array(sizes, pa.int32()), arrays[4], lists]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "para_no", "start", "stop", "n_words", "key", "bands"])
+            arrays = [*arrays[:5], pa.array(sizes, pa.int32()), arrays[5], lists]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "para_no", "start", "stop", "n_words", "key", "bands"])
 
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, version, text in zip(*(c.to_pylist() for c in batch.columns)):
             for number, start, end, hashes, key in cut.of(text):
-                held.append((doc, number, start, end, key))
+                held.append((doc, version, number, start, end, key))
                 words.append(hashes)
                 waiting += len(hashes)
                 if waiting >= 8 * _WINDOW:
@@ -162,11 +188,12 @@ def _paragraphs(min_words: int, shape: tuple[int, int], batches: Iterator[pa.Rec
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every place of every passage that occurs more than once: ``doc_id``, ``para_no``, ``start``,
-    ``stop`` (characters), ``n_words``, ``kept_doc_id``, ``kept_para_no``, ``removed``.
+    ``stop`` (characters), ``n_words``, ``kept_doc_id``, ``kept_para_no``, ``removed``, ``text_hash``.
 
     Passages are the components of paragraphs whose five-word shingle sets have a Jaccard similarity
     of at least ``THRESHOLD``, words compared in lower case. The first place by ``doc_id`` and number is
-    kept. Rows with a null id, null or empty texts and shorter lines take no part; of rows that repeat
+    kept; ``para_no`` is the number of a place's first line. Rows with a null id, null or empty texts
+    and shorter paragraphs take no part; of rows that repeat
     an id, equal places are told apart by their text and otherwise count as one place each. Other
     columns are not read; an empty table gives an empty result.
     """
@@ -181,7 +208,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     return found.select(
         "doc_id", "para_no", "start", "stop", "n_words",
         F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.para_no").alias("kept_para_no"),
-        (where != F.col("kept")).alias("removed"),
+        (where != F.col("kept")).alias("removed"), "text_hash",
     )
 
 
@@ -260,15 +287,47 @@ def spanning_links(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tupl
 
 
 def remove(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the removed places cut out of ``text``, lines and all; a text that is emptied by
-    it goes. Rows without a removed place, null ids among them, are unchanged, and columns stay."""
+    """``docs`` with the removed places cut out of ``text``, whole lines with their ends; a text that is
+    emptied by it goes. Rows without a removed place, null ids among them, are unchanged, and columns stay."""
     ship_package(docs.sparkSession)
-    cuts = found.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.array_sort(F.collect_set("para_no")).alias("_cuts")
+    cuts = found.where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_cuts")
     )
-    joined = docs.join(cuts, F.col(doc_id) == F.col("_id"), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_cuts"), i.cast("int")))
-    after = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    joined = docs.join(cuts, (F.col(doc_id) == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    cut = F.arrow_udf(_without, "string")
+    left = cut(F.when(F.col("_cuts").isNotNull(), F.col(text)), F.col("_cuts.start"), F.col("_cuts.stop"))
+    after = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(left)
     kept = joined.withColumn(text, after).where(F.col("_cuts").isNull() | (F.trim(F.col(text)) != ""))
     return kept.select(*docs.columns)
+
+
+def _without(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), starts.to_pylist(), stops.to_pylist())
+    return pa.array([None if text is None else without(text, list(zip(lo, hi))) for text, lo, hi in rows], pa.string())
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the spans, which are sorted and may overlap. A span of whole lines goes with a
+    line end, one inside a line with a space beside it; one over a line end leaves a line end."""
+    merged: list[list[int]] = []
+    for start, stop in spans:
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(stop, merged[-1][1])
+        else:
+            merged.append([start, stop])
+    left, at = "", 0
+    for start, stop in merged:
+        left += text[at:start]
+        at = stop
+        opens, closes = start == 0 or text[start - 1] == "\n", stop == len(text) or text[stop] == "\n"
+        if opens and closes:
+            at = min(stop + 1, len(text))
+            left = left.removesuffix("\n") if stop == len(text) else left
+        elif closes:
+            left = left.removesuffix(" ")
+        elif "\n" in text[start:stop] and not opens:
+            left = left.removesuffix(" ") + "\n"
+            at += text[stop] == " "
+        else:
+            at += text[stop] == " "
+    return left + text[at:]

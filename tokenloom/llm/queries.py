@@ -63,7 +63,7 @@ def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of passages that occur more than once in the documents."""
-    return paragraph_minhash.passages(table(spark, sf_dir, "documents"))
+    return paragraph_minhash.passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
