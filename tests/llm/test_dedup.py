@@ -231,3 +231,40 @@ def test_passages_over_short_lines_are_found(spark):
     left = {r.doc_id: r.text for r in pm.remove(docs, found).collect()}
     two, three = texts[2].split("\n"), texts[3].split("\n")
     assert left == {1: texts[1], 2: "\n".join([two[0], two[-1]]), 3: "\n".join(three[:2]), 4: texts[4]}
+
+
+def test_passages_inside_longer_lines_are_found(spark):
+    rng = random.Random(14)
+    words = [f"m{i}" for i in range(3000)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    passage, exact, short = line(81), line(50), line(49)
+    split = passage.split()
+    rows = [
+        (1, f"{line(30)} {passage} {line(47)}\n{line(22)}"),
+        (2, f"{line(40)}\n{line(28)} {passage.upper()} {line(50)}"),
+        (3, f"{line(70)} {' '.join(split[:40])}\n{' '.join(split[40:])} {line(60)}"),
+        (4, f"{line(60)} {exact} {line(60)}"),
+        (5, f"{line(60)} {exact}\n{line(60)}"),
+        (6, f"{line(60)} {short} {line(60)}"),
+        (7, f"{line(60)} {short} {line(60)} {passage}"),
+        (8, passage),
+        (9, "y " * 3000),
+    ]
+    texts = dict(rows)
+    docs = spark.createDataFrame([*rows, (None, texts[1]), (10, None), (2, texts[2])], "doc_id long, text string")
+    found = pm.passages(docs)
+    got = {(r.doc_id, r.removed): (r.para_no, r.kept_doc_id, r.n_words, texts[r.doc_id][r.start : r.stop].lower().split()) for r in found.collect()}
+    del got[2, False]  # the lines of the repeated row, which stand for one place each
+    fifty = exact.split()
+    assert got == {
+        (1, False): (0, 1, 81, split), (2, True): (1, 1, 81, split), (3, True): (0, 1, 81, split), (7, True): (0, 1, 81, split),
+        (8, True): (0, 1, 81, split), (4, False): (0, 4, 50, fifty), (5, True): (0, 4, 50, fifty),
+    }
+    left = collections.defaultdict(list)
+    for r in pm.remove(docs, found).collect():
+        left[r.doc_id].append(r.text)
+    assert left[1] == [texts[1]] and left[6] == [texts[6]] and left[9] == [texts[9]] and left[None] == [texts[1]] and 8 not in left
+    assert left[2] == [texts[2].replace(passage.upper() + " ", "")] * 2 and left[10] == [None]
+    assert left[5] == [texts[5].replace(" " + exact, "")] and left[7] == [texts[7].replace(" " + passage, "")]
+    three = texts[3].split()
+    assert left[3] == [" ".join(three[:70]) + "\n" + " ".join(three[151:])]

@@ -7,6 +7,11 @@ that are tuned for high recall at the threshold; paragraphs that share a band ar
 exact Jaccard similarity is checked. Components of what is similar are one passage: its first place
 stays and the others are removed.
 
+What is left is searched for passages that lie inside longer paragraphs or run over their ends: every
+run of ``PASSAGE_WORDS`` words that stands word for word in another document is found. Each such run
+has a least shingle, its anchor, that all its copies share; only runs whose anchor stands in several
+documents are hashed whole and counted. All of this is sums by hash, never pairs of places.
+
 Members of a band that many share are cut to chunks, and every pair of chunks is a task's work, so a
 band of any size is checked in full by tasks of bounded size. A task checks a pair only while the two
 are not connected yet and gives spanning links, so neither work nor rows grow with all pairs of
@@ -16,6 +21,7 @@ copies. Bands with the same members are checked once.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,7 @@ from tokenloom.llm.components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 MIN_WORDS = 20  # shorter paragraphs are no passages: headings, licence lines, boilerplate
+PASSAGE_WORDS = 50  # a run of so many words that other documents hold is a passage wherever it lies
 HASHES = 64
 RECALL = 0.999
 CHUNK_MEMBERS = 2048
@@ -38,6 +45,7 @@ SEED = 11
 
 _WINDOW = 1 << 16  # shingles hashed at a time
 _WORDS_HELD = 1 << 19
+_WORD = re.compile(r"\S+")
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -120,6 +128,43 @@ def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mixed[own], counts
 
 
+def least_of(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of every ``size`` neighbours."""
+    if len(values) < size:
+        return values[:0]
+    made, held = values, 1
+    while 2 * held <= size:
+        made, held = np.minimum(made[:-held], made[held:]), 2 * held
+    return made if held == size else np.minimum(made[: len(values) - size + 1], made[size - held :])
+
+
+def run_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every run of ``size`` words."""
+    made = []
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        count = max(0, len(words) - size + 1)
+        total, done, block, held = np.zeros(count, np.uint64), 0, words, 1
+        while done < size and count:  # blocks of doubling size
+            power = np.uint64(pow(base, held, 1 << 64))
+            if size & held:
+                total, done = total * power + block[done : done + count], done + held
+            block, held = block[:-held] * power + block[held:], 2 * held
+        made.append(total)
+    return made[0], made[1]
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are the least of a run of ``PASSAGE_WORDS`` words, and where they start."""
+    hashed = shingles(words, np.array([len(words)]))[0]
+    size = PASSAGE_WORDS - SHINGLE + 1
+    least = least_of(hashed, size)
+    if not len(least):
+        return hashed[:0], np.zeros(0, np.int64)
+    around = np.concatenate([np.zeros(size - 1, np.uint64), least, np.zeros(size - 1, np.uint64)])
+    at = np.flatnonzero(~least_of(~around, size) == hashed)
+    return hashed[at], at
+
+
 def signatures(words: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One hash for each band of each run; every run has a shingle."""
     rng = np.random.default_rng(SEED)
@@ -149,11 +194,12 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``text_hash``, ``para_no``, ``start``, ``stop``, ``n_words``, ``key``, ``bands`` of every paragraph."""
+    """``doc_id``, ``text_hash``, ``para_no``, ``start``, ``stop``, ``n_words``, ``key``, ``bands`` of every
+    paragraph, and a row without a key for each text with its ``anchors`` and their ``lines``."""
     ship_package(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
-    kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.ArrayType(T.LongType()))
-    names = ("text_hash", "para_no", "start", "stop", "n_words", "key", "bands")
+    kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()))
+    names = ("text_hash", "para_no", "start", "stop", "n_words", "key", "bands", "anchors", "lines")
     schema = T.StructType([rows.schema["doc_id"], *map(T.StructField, names, kinds)])
     return rows.mapInArrow(functools.partial(_paragraphs, max(min_words, SHINGLE), tune()), schema)
 
@@ -164,26 +210,48 @@ def _paragraphs(min_words: int, shape: tuple[int, int], batches: Iterator[pa.Rec
     for batch in batches:
         held, words, waiting = [], [], 0
 
+        id_type = batch.schema.field(0).type
+        types = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        types = (*types, *map(pa.list_, (pa.int64(), pa.int64(), pa.int32())))
+        names = ["doc_id", "text_hash", "para_no", "start", "stop", "n_words", "key", "bands", "anchors", "lines"]
+
         def made():
             sizes = np.array([len(w) for w in words])
             found = signatures(np.fromiter((h for w in words for h in w), np.uint64, sizes.sum()), sizes, bands, rows)
             columns = list(zip(*held))
-            types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (*types[:5], types[6]))]
             lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, bands, dtype=np.int32), pa.array(found.view(np.int64).ravel()))
-            arrays = [*arrays[:5], pa.array(sizes, pa.int32()), arrays[5], lists]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "para_no", "start", "stop", "n_words", "key", "bands"])
+            arrays = [*arrays[:5], pa.array(sizes, pa.int32()), arrays[5], lists, *(pa.nulls(len(sizes), t) for t in types[8:])]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
+        marks = []
         for doc, version, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for number, start, end, hashes, key in cut.of(text):
-                held.append((doc, version, number, start, end, key))
+            all_words, numbers, lengths = [], [], []
+            for number, start, end, of_block in cut.blocks(text):
+                hashes = cut.hashes(of_block)
+                all_words += hashes
+                numbers.append(number)
+                lengths.append(len(hashes))
+                if len(hashes) < min_words:
+                    continue
+                held.append((doc, version, number, start, end, cut.key(of_block)))
                 words.append(hashes)
                 waiting += len(hashes)
                 if waiting >= 8 * _WINDOW:
                     yield made()
                     held, words, waiting = [], [], 0
+            if len(all_words) >= PASSAGE_WORDS:
+                hashed, at = anchors(np.array(all_words, np.uint64))
+                line_of = np.repeat(np.array(numbers, np.int32), lengths)[at]
+                once = sorted(set(zip(line_of.tolist(), hashed.view(np.int64).tolist())))
+                marks.append((doc, version, [h for _, h in once], [n for n, _ in once]))
         if held:
             yield made()
+        if marks:
+            columns = list(zip(*marks))
+            arrays = [pa.array(columns[0], id_type), pa.array(columns[1], pa.int64()), *(pa.nulls(len(marks), t) for t in types[2:8])]
+            arrays += [pa.array(c, t) for c, t in zip(columns[2:], types[8:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,12 +260,22 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
 
     Passages are the components of paragraphs whose five-word shingle sets have a Jaccard similarity
     of at least ``THRESHOLD``, words compared in lower case. The first place by ``doc_id`` and number is
-    kept; ``para_no`` is the number of a place's first line. Rows with a null id, null or empty texts
-    and shorter paragraphs take no part; of rows that repeat
-    an id, equal places are told apart by their text and otherwise count as one place each. Other
-    columns are not read; an empty table gives an empty result.
+    kept; ``para_no`` is the number of a place's first line. In what these leave, passages are also the
+    longest runs of words, over ends of lines too, each ``PASSAGE_WORDS`` words of which stand word for
+    word in another document; the document with the smallest id keeps them, and places may overlap.
+    Copies inside a paragraph that are changed more often than that are not found. Rows with a null id,
+    null or empty texts and shorter paragraphs take no part; of rows that repeat an id, equal places are
+    told apart by their text and otherwise count as one place each. Other columns are not read; an empty
+    table gives an empty result.
     """
     places = materialize(paragraphs(docs, min_words, doc_id, text), "paragraphs")
+    whole = materialize(similar_paragraphs(docs, places.where("key is not null"), min_words, doc_id, text), "passages")
+    return whole.unionByName(inner_passages(docs, places.where("key is null"), whole, min_words, doc_id, text))
+
+
+def similar_paragraphs(docs: DataFrame, places: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    """The places of paragraphs that are like another one."""
+    places = places.drop("anchors", "lines")
     roots = components(similar(docs, places, min_words, doc_id, text)).withColumnsRenamed({"node": "key"})
     where = F.struct("doc_id", "para_no")
     keys = places.groupBy("key").agg(F.min(where).alias("first"), F.count("*").alias("n"))
@@ -212,6 +290,121 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     )
 
 
+def inner_passages(docs: DataFrame, anchored: DataFrame, whole: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    """The places of runs of ``PASSAGE_WORDS`` words and more that other documents hold as well, in
+    what is left without the removed places of ``whole``."""
+    row = ["doc_id", "text_hash"]
+    gone = whole.where("removed").groupBy(*row).agg(F.collect_set("para_no").alias("gone"))
+    gone = materialize(gone, "passages-gone")
+    spots = anchored.join(gone, row, "left").withColumn("at", F.explode(F.arrays_zip("anchors", "lines")))
+    spots = spots.where(F.col("gone").isNull() | ~F.array_contains("gone", F.col("at.lines")))
+    spots = spots.select(*row, F.col("at.anchors").alias("anchor"), F.xxhash64("doc_id").alias("d"))
+    shared = spots.groupBy("anchor").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").select("anchor")
+    sought = spots.join(shared, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("sought"))
+    near = materialize(_rows(docs, doc_id, text).join(sought, row).join(gone, row, "left").select(*row, "text", "sought", "gone"), "passages-near")
+    id_type = near.schema["doc_id"]
+    kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType())
+    runs = T.StructType([id_type, *map(T.StructField, ("text_hash", "para_no", "h", "g"), kinds)])
+    size = max(min_words, SHINGLE)
+    held = materialize(near.mapInArrow(functools.partial(_runs, size), runs), "passages-runs")
+    firsts = held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "para_no")).alias("first"), F.max("doc_id").alias("last"))
+    firsts = firsts.where("first.doc_id <> last").select("h", "g", "first")
+    marked = held.join(firsts, ["h", "g"]).groupBy(*row).agg(
+        F.collect_set(F.struct("h", "g", F.col("first.doc_id").alias("doc_id"), F.col("first.para_no").alias("para_no"))).alias("marks")
+    )
+    kinds = (T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), id_type.dataType, T.IntegerType(), T.BooleanType(), T.LongType())
+    names = ("para_no", "start", "stop", "n_words", "kept_doc_id", "kept_para_no", "removed", "text_hash")
+    schema = T.StructType([id_type, *map(T.StructField, names, kinds)])
+    found = near.drop("sought").join(marked, row).select(*row, "text", "gone", "marks")
+    return found.mapInArrow(functools.partial(_spans, size), schema).distinct()
+
+
+def _left(cut: Paragraphs, text: str, gone: list[int] | None) -> Iterator[list[tuple[int, int, int, list[str]]]]:
+    """The blocks of a text in stretches without a removed one."""
+    held, away = [], set(gone or ())
+    for block in cut.blocks(text):
+        if block[0] not in away:
+            held.append(block)
+        elif held:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _stretch(cut: Paragraphs, blocks: list[tuple[int, int, int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a stretch and the block of each word."""
+    words = np.fromiter((h for b in blocks for h in cut.hashes(b[3])), np.uint64)
+    return words, np.repeat(np.arange(len(blocks)), [len(b[3]) for b in blocks])
+
+
+def _runs(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = Paragraphs(min_words)
+    for batch in batches:
+        ids, versions = batch.column(0), batch.column(1)
+        rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))
+        made, waiting = [], 0
+
+        def out():
+            here, *columns = (pa.array(np.concatenate(c)) for c in zip(*made))
+            return pa.RecordBatch.from_arrays([ids.take(here), versions.take(here), *columns], names=["doc_id", "text_hash", "para_no", "h", "g"])
+
+        for i, (text, sought, gone) in enumerate(rows):
+            anchored = np.array(sought, np.int64).view(np.uint64)
+            of_text = []
+            for blocks in _left(cut, text, gone):
+                words, block = _stretch(cut, blocks)
+                least = least_of(shingles(words, np.array([len(words)]))[0], PASSAGE_WORDS - SHINGLE + 1)
+                at = np.flatnonzero(np.isin(least, anchored))
+                if len(at):
+                    h, g = (x[at].view(np.int64) for x in run_hashes(words, PASSAGE_WORDS))
+                    of_text.append((np.array([b[0] for b in blocks], np.int32)[block[at]], h, g))
+            if not of_text:
+                continue
+            numbers, h, g = (np.concatenate(c) for c in zip(*of_text))
+            order = np.lexsort((g, h))  # the first of equal runs stands for them
+            again = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+            once = order[np.concatenate([[True], ~again])]
+            made.append((np.full(len(once), i), numbers[once], h[once], g[once]))
+            waiting += len(once)
+            if waiting >= _WINDOW:
+                yield out()
+                made, waiting = [], 0
+        if made:
+            yield out()
+
+
+def _spans(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = Paragraphs(min_words)
+    for batch in batches:
+        made = []
+        for doc, version, text, gone, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            known = {(m["h"], m["g"]): (m["doc_id"], m["para_no"]) for m in marks}
+            for blocks in _left(cut, text, gone):
+                words, block = _stretch(cut, blocks)
+                hashes = zip(*(x.view(np.int64).tolist() for x in run_hashes(words, PASSAGE_WORDS)))
+                spans: list[list] = []  # first word, last word, kept place
+                for at, pair in enumerate(hashes):
+                    kept = known.get(pair)
+                    if kept is None:
+                        continue
+                    if spans and spans[-1][1] == at + PASSAGE_WORDS - 2 and spans[-1][2][0] == kept[0]:
+                        spans[-1][1] += 1
+                    else:
+                        spans.append([at, at + PASSAGE_WORDS - 1, kept])
+                if not spans:
+                    continue
+                places = [(b[1] + m.start(), b[1] + m.end()) for b in blocks for m in _WORD.finditer(text[b[1] : b[2]])]
+                for first, last, kept in spans:
+                    number, size = blocks[block[first]][0], last - first + 1
+                    made.append((doc, number, places[first][0], places[last][1], size, *kept, kept[0] != doc, version))
+        kind = batch.schema.field(0).type
+        kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.int32(), kind, pa.int32(), pa.bool_(), pa.int64())
+        names = ["doc_id", "para_no", "start", "stop", "n_words", "kept_doc_id", "kept_para_no", "removed", "text_hash"]
+        columns = list(zip(*made)) if made else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
 def similar(docs: DataFrame, places: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
     """Edges ``a``, ``b`` between paragraph keys that span all similar pairs the bands bring together."""
     reps = places.groupBy("key").agg(F.min(F.struct("doc_id", "para_no", "bands")).alias("first"))
