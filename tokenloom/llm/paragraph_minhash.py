@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tokenloom.llm.common import materialize, ship_package
 from tokenloom.llm.components import components
@@ -409,8 +408,9 @@ def similar(docs: DataFrame, places: DataFrame, min_words: int, doc_id: str, tex
     """Edges ``a``, ``b`` between paragraph keys that span all similar pairs the bands bring together."""
     reps = places.groupBy("key").agg(F.min(F.struct("doc_id", "para_no", "bands")).alias("first"))
     banded = reps.select("key", F.col("first.doc_id").alias("doc_id"), F.explode("first.bands").alias("band"))
-    shared = banded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
-    members = materialize(shared, "band-members")
+    # counted before the shuffle, and a band that many share may be split by the join
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(banded.join(sizes, "band"), "band-members")
     # bands that hold the same members are one
     sets = members.groupBy("band").agg(
         F.first("n").alias("n"), F.min("key").alias("least"),
