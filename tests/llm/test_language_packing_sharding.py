@@ -268,3 +268,11 @@ def test_oracles_agree(spark):
         names = [c[0] for c in result.description]
         theirs = sorted((tuple(r[names.index(c)] for c in columns) for r in result.fetchall()), key=repr)
         assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=repr) == theirs, key
+
+
+def test_language_is_learned_from_whole_texts(spark):
+    notice = "this notice opens every text " * 80
+    rows = [(i, notice + f"zebra{chr(97 + i)} " * 30, "aa") for i in range(20)] + [(50, "12 " * 900 + "kilo lima", "bb")]
+    model = {lang: (n, content) for lang, n, content in cl.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))}
+    assert model["aa"][0] == 20 and model["bb"] == (1, b"kilo lima")
+    assert all(f"zebra{chr(97 + i)}".encode() in model["aa"][1] for i in range(20)) and b"this notice" in model["aa"][1]

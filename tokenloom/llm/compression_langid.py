@@ -9,6 +9,7 @@ do not weigh. Where the sizes differ by too little, the answer is rejected.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 from tokenloom.llm.common import ship_package
 
 DICT_BYTES = 256 << 10  # text a language is learned from, at most
-TEXT_CHARS = 1500  # of one labelled text, at most, so that a dictionary holds many
-SAMPLE_BYTES = 1 << 20  # labelled text chosen per language, about, before repeats go
+PIECE_CHARS = 1500  # a labelled text is cut to pieces of about so many, so that a dictionary holds many texts
+SAMPLE_BYTES = 1 << 20  # distinct pieces chosen per language, about
 MAX_LANGS = 256  # more than these are refused: the dictionaries travel with the tasks
 LEVEL = 6
 CHUNK_BYTES = 4 << 10  # a longer text is encoded in pieces, so that it cannot learn from itself instead
@@ -56,29 +57,66 @@ def learnable(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return docs.where(_fold(doc_id) != 2)
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, int, bytes]]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, int, bytes]]:
     """``(language, documents, dictionary)`` of every language of the labelled rows, sorted by language.
 
-    The counts and the choice of texts run over all rows; the dictionaries hold ``DICT_BYTES`` of
-    distinct texts each, chosen by a hash of ``key`` and text. Rows with a null text or language are
-    passed over, and so is a language none of whose texts has a letter.
+    The counts run over all rows, and the choice over the pieces of whole texts; the dictionaries hold
+    ``DICT_BYTES`` each of distinct pieces with a letter, chosen by a hash of their content. Rows with a
+    null text or language are passed over, and so is a language none of whose texts has a letter.
     """
     ship_package(labelled.sparkSession)
-    rows = labelled.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, TEXT_CHARS).alias("text"), F.col(key).alias("key"))
-    rows = rows.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
         raise ValueError(f"at most {MAX_LANGS} languages can be learned")
-    if not sizes:
+    if not counts:
         return []
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(_BUCKETS * min(1.0, SAMPLE_BYTES / max(r.b, 1))))])
-    order = F.xxhash64("key", "text")
-    chosen = rows.where(F.pmod(order, F.lit(_BUCKETS)) <= shares[F.col("lang")]).select("lang", "text", order.alias("at"))
-    made = chosen.groupBy("lang").applyInArrow(_dictionary, "lang string, content binary").collect()
-    counts = {r.lang: r.n for r in sizes}
+    known = rows.mapInArrow(functools.partial(_pieces, None), "lang string, at long, size long")
+    distinct = known.groupBy("lang", "at").agg(F.max("size").alias("size"))
+    sizes = distinct.groupBy("lang").agg(F.sum("size").alias("b")).collect()
+    shares = {r.lang: int(_BUCKETS * min(1.0, SAMPLE_BYTES / r.b)) for r in sizes}
+    chosen = rows.mapInArrow(functools.partial(_pieces, shares), "lang string, at long, text string")
+    chosen = chosen.groupBy("lang", "at").agg(F.min("text").alias("text"))
+    made = chosen.select("lang", "text", "at").groupBy("lang").applyInArrow(_dictionary, "lang string, content binary").collect()
     return sorted((r.lang, counts[r.lang], bytes(r.content)) for r in made if len(r.content))
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A whole text in pieces of about ``PIECE_CHARS``, cut at white space where there is some, without
+    those that have no letter."""
+    at = 0
+    while at < len(text):
+        space = _WHITE.search(text, at + PIECE_CHARS, at + 2 * PIECE_CHARS)
+        end = space.end() if space else at + PIECE_CHARS
+        piece = text[at:end]
+        if _LETTER.search(piece):
+            yield piece
+        at = end
+
+
+_WHITE, _LETTER = re.compile(r"\s"), re.compile(r"[^\W\d_]")
+
+
+def _pieces(shares: dict[str, int] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and size of every piece, or hash and text of those within the share of their language."""
+    import xxhash
+
+    for batch in batches:
+        made = []
+        for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for piece in pieces(text):
+                data = piece.encode("utf-8", "surrogatepass")
+                at = xxhash.xxh3_64_intdigest(data)
+                if shares is None:
+                    made.append((lang, at - (1 << 63), len(data)))
+                elif at % _BUCKETS <= shares[lang]:
+                    made.append((lang, at - (1 << 63), piece))
+        third = ("size", pa.int64()) if shares is None else ("text", pa.string())
+        columns = list(zip(*made)) if made else [()] * 3
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), third[1]))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "at", third[0]])
+
+
 def _dictionary(rows: pa.Table) -> pa.Table:
     kept, size, seen = [], 0, set()
     for text in rows.sort_by([("at", "ascending"), ("text", "ascending")]).column("text").to_pylist():
