@@ -10,13 +10,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.session import materialize, ship_package
+from tokenloom.session import remove, ship_package, work_path
 
-__all__ = ["bounded_sample", "local_roots", "materialize", "ship_package", "word_windows"]
+__all__ = ["bounded_sample", "drop_tables", "local_roots", "materialize", "ship_package", "word_windows"]
 
 _BUCKETS = 1 << 30
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.written_to)
+
+
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import (
-    bestfit_packing, bpe_codec, chat_format, compression_langid, exact_topk, onebit_ann, paragraph_minhash,
-    sharding, simhash_vptree, warc,
+    bestfit_packing, bpe_codec, chat_format, compression_langid, exact_topk, ngram_jaccard, onebit_ann,
+    paragraph_minhash, prefix_trie, sharding, simhash_vptree, token_alignment, warc,
 )
 from tokenloom.session import work_path
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 MARKED_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -94,11 +95,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    import public_tokenizers
+
+    files = token_alignment.Files.read(*map(public_tokenizers.path, ALIGNED))
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"), files)
+
+
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents by the Jaccard similarity of their shingles."""
+    return ngram_jaccard.join_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, branched."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe_codec, op2_simhash_vptree, op3_compression_langid, op4_onebit_ann, op5_bestfit_packing,
-        op6_paragraph_minhash, op7_chat_format, op8_warc, op9_exact_topk, op10_sharding,
+        op6_paragraph_minhash, op7_chat_format, op8_warc, op9_exact_topk, op10_sharding, op11_token_alignment,
+        op12_ngram_jaccard, op13_prefix_trie,
     )
 }
 
@@ -151,4 +171,41 @@ WITH whole AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), lengths AS (SELECT conv, count(*) AS length FROM own GROUP BY conv),
+crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), plans AS (
+  SELECT a.conv, a.conv - a.conv % 20 AS root, coalesce(b.length, 0) AS root_length,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(a.conv AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) % 4 AS h
+  FROM lengths a CROSS JOIN crc LEFT JOIN lengths b ON b.conv = a.conv - a.conv % 20
+), turns AS (
+  SELECT conv, t - h + least(h, root_length) AS t, role, text FROM own JOIN plans USING (conv) WHERE t > h
+  UNION ALL SELECT p.conv, o.t, o.role, o.text FROM plans p JOIN own o ON o.conv = p.root WHERE o.t <= p.h
+), keyed AS (
+  SELECT conv, t AS p, text, string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv ORDER BY t) AS key FROM turns
+  UNION ALL SELECT conv, 0, '', '' FROM lengths
+), known AS (
+  SELECT conv, p, text, min(conv) OVER (PARTITION BY p, key) AS rep, max(p) OVER (PARTITION BY conv) = p AS ends FROM keyed
+), nodes AS (
+  SELECT rep, p, count(*) AS n_convs, any_value(text) AS text,
+    sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (ends), '')) AS ends_sha256
+  FROM known GROUP BY rep, p
+), placed AS (
+  SELECT n.*, k.rep AS parent, (n_convs - 1) * len(regexp_extract_all(n.text, '[^\x20\x09-\x0D]+')) AS own
+  FROM nodes n LEFT JOIN known k ON k.conv = n.rep AND k.p = n.p - 1
+), children AS (SELECT parent AS rep, p - 1 AS p, count(*) AS n_children FROM placed WHERE p > 0 GROUP BY ALL),
+summed AS (
+  SELECT k.rep, k.p, sum(own) AS saved, count(*) FILTER (c.rep IS NULL) AS n_leaves
+  FROM placed n JOIN known k ON k.conv = n.rep AND k.p <= n.p LEFT JOIN children c ON c.rep = n.rep AND c.p = n.p GROUP BY k.rep, k.p
+)
+SELECT rep AS conv_id, CAST(p AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM placed JOIN summed USING (rep, p) LEFT JOIN children USING (rep, p)""",
 }
