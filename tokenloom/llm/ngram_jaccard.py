@@ -42,7 +42,8 @@ PART_ENTRIES = 1 << 20  # list entries a task holds, about
 LIST_ENTRIES = 1 << 18  # a longer list is dealt over several tasks
 PRUNED_MEMBERS = 1024  # of a list whose possible pairs are looked at before sets are fetched
 FEW_PAIRS = 4  # possible pairs for each member of a list that are compared as pairs, not in cells
-CHUNK_MEMBERS = 512
+CHUNK_MEMBERS = 1024
+GROUP_MEMBERS = 1 << 14  # members of lists that are compared together
 CELL_BYTES = 1 << 24  # shingle sets compared in a group, about
 FLUSH_ENTRIES = 1 << 21
 FILTER_BITS = 1 << 26
@@ -436,33 +437,30 @@ def compare_lists(members: DataFrame, roots: DataFrame, classes: DataFrame, docs
         *[F.sum(F.xxhash64(F.lit(s), "key").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)],
     )
     mixed = lists.where("least <> most").groupBy("n", "first", "s1", "s2").agg(F.min("list").alias("list"))
-    mixed = materialize(mixed.select("list", F.ceil(F.col("n") / CHUNK_MEMBERS).cast("int").alias("chunks")), "jaccard-mixed")
-    held = rooted.join(mixed, "list")
+    # lists with the same least member are compared together: they share most others, and each is sent once
+    load = mixed.groupBy("first").agg(F.ceil(F.sum("n") / GROUP_MEMBERS).cast("int").alias("spread"))
+    mixed = mixed.join(load, "first").select(
+        "list", "first", F.pmod(F.xxhash64("list"), "spread").cast("int").alias("share"), F.ceil(F.col("n") / CHUNK_MEMBERS).cast("int").alias("chunks")
+    )
+    held = materialize(rooted.join(mixed, "list"), "jaccard-mixed")
     sets = materialize(fetch_sets(docs, classes, held.select("key").distinct(), doc_id, text), "jaccard-sets")
-    dealt = held.select("list", "key", "root", "chunks", F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("c"))
+    dealt = held.withColumn("c", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = met.select("list", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "key", "root")
-    groups = _groups(cells.join(sets.select("key", "n"), "key"), F.sum("n"))
-    cells = cells.withColumn("group", F.pmod(F.xxhash64("list", "i", "j"), F.lit(groups)))
-    found = cells.join(sets, "key").groupBy("group").applyInArrow(_compare_cells, "a long, b long")
+    cells = met.select("first", "share", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "key", "root").distinct()
+    found = cells.join(sets, "key").groupBy("first", "share", "i", "j").applyInArrow(_compare_cell, "a long, b long")
     found = materialize(found.distinct(), "jaccard-links")
-    drop_tables(rooted, mixed, sets)
+    drop_tables(rooted, held, sets)
     return found
 
 
-def _compare_cells(group: pa.Table) -> pa.Table:
-    group = group.sort_by([("list", "ascending"), ("i", "ascending"), ("j", "ascending"), ("key", "ascending")])
-    cell = np.stack([group.column(c).to_numpy() for c in ("list", "i", "j")])
-    keys, roots, blobs = group.column("key").to_numpy(), group.column("root").to_numpy(), group.column("shingles")
-    bounds = [*np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)])).tolist(), len(keys)]
-    left, right = [keys[:0]], [keys[:0]]
-    for lo, hi in zip(bounds, bounds[1:]):
-        root = np.unique(roots[lo:hi], return_inverse=True)[1]
-        if root.any():
-            a, b = spanning_links([np.frombuffer(blobs[i].as_py(), np.uint64) for i in range(lo, hi)], root)
-            left.append(keys[lo:hi][a])
-            right.append(keys[lo:hi][b])
-    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+def _compare_cell(cell: pa.Table) -> pa.Table:
+    cell = cell.sort_by("key")
+    keys = cell.column("key").to_numpy()
+    root = np.unique(cell.column("root").to_numpy(), return_inverse=True)[1]
+    if not root.any():
+        return pa.table({"a": keys[:0], "b": keys[:0]})
+    a, b = spanning_links([np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()], root)
+    return pa.table({"a": keys[a], "b": keys[b]})
 
 
 def spanning_links(sets: list[np.ndarray], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tokenloom.llm.common import materialize, ship_package
 
-BLOCK_BYTES = 1 << 23  # text that is aligned at a time; one text is never cut
+BLOCK_BYTES = 3 << 20  # text that is aligned at a time; one text is never cut
 _PRINTED = "[!-~\u00c0-\u024f\u0386-\u0481\u048a-\u0556]"
 _CUT = re.compile(f"(?<={_PRINTED}) (?={_PRINTED})")
 
