@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import positions
 from tokenloom.functions.positions import first_rows, range_block
-from tokenloom.operators import scoring, stream
+from tokenloom.functions.tables import SPECIAL_IDS
+from tokenloom.operators import chat, scoring, stream
 from tokenloom.operators.encode import decode, encoder
-from tokenloom.operators.vocab import lookup_id, lookup_piece
+from tokenloom.operators.vocab import assemble_vocab, lookup_id, lookup_piece
 from tokenloom.session import scratch, work_path
 from tokenloom.sources.corpus import export_corpus, scan_corpus
 from tokenloom.sources.vocab_files import read_vocab, write_vocab
@@ -154,3 +155,20 @@ def test_scratch_tables_go(spark, tmp_path):
         place = path.removeprefix("file://")
         assert os.path.exists(place)
     assert not os.path.exists(place)
+
+
+def test_export_limit_keeps_rows_without_a_key(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "b"), (None, "n"), (1, "a")], "doc_id long, text string")
+    for limit, want in ((5, ["a", "b", "n"]), (2, ["a", "n"]), (1, ["n"])):
+        path = str(tmp_path / f"out{limit}")
+        export_corpus(docs, path, limit=limit)
+        assert sorted(r.value for r in spark.read.option("lineSep", "\n\n").text(path).collect()) == want
+
+
+def test_null_and_empty_messages_lose_nothing(spark):
+    pieces = spark.createDataFrame([("▁a", 0), ("▁b", 1)], "piece string, rank long")
+    ids_of = encoder(assemble_vocab(pieces, None, 300), "word")
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 2, "user", ""), (1, 3, None, "b"), (2, 0, "user", None)]
+    got = {r.conv_id: r.ids for r in chat.encode_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), ids_of).collect()}
+    bos, user, assistant = (SPECIAL_IDS[n] for n in ("bos", "user", "assistant"))
+    assert got == {1: [bos, user, 263, assistant, user, 264, assistant], 2: [bos, user, assistant]}

@@ -18,11 +18,13 @@ def encode_chat(
     messages: DataFrame, ids_of: Callable[[Column], Column], add_generation_prompt: bool = True
 ) -> DataFrame:
     """One row per conversation: the start id, then a role marker and the content ids of each
-    message, then the assistant marker. An unknown role has no marker; its content stays."""
+    message, then the assistant marker. An unknown or null role has no marker; its content stays. A null
+    text has no content ids; its marker stays."""
     marker = F.lit(None).cast("int")
     for role in ROLES:
         marker = F.when(F.col("role") == role, SPECIAL_IDS[role]).otherwise(marker)
-    message_ids = F.concat(F.array_compact(F.array(marker)), F.col("content_ids"))
+    content = F.coalesce("content_ids", F.array().cast("array<int>"))
+    message_ids = F.concat(F.array_compact(F.array(marker)), content)
     bodies = (
         messages.withColumn("content_ids", ids_of(F.col("text")))
         .groupBy("conv_id")

@@ -84,15 +84,19 @@ def export_corpus(
     partition_by: str | None = None,
 ) -> None:
     """Write each text followed by a blank line, in document order over the part files. ``limit``
-    keeps the first documents, found on their keys; ``partition_by`` makes one folder per value, of
+    keeps the first documents, found on their keys, those with a null key ahead; ``partition_by`` makes one folder per value, of
     as many files as its share of the rows asks for."""
     folder = [] if partition_by is None else [partition_by]
     chosen = docs
     if limit is not None:
-        last = first_rows(docs.select(order_by), [order_by], limit).agg(F.max(order_by).alias("m")).first().m
-        below = docs.where(F.col(order_by) < F.lit(last)) if last is not None else docs.where(F.lit(False))
-        ties = docs.where(F.col(order_by) == F.lit(last)).limit(limit - below.count())
-        chosen = below.unionByName(ties)
+        unkeyed, keyed = docs.where(F.col(order_by).isNull()).limit(limit), docs.where(F.col(order_by).isNotNull())
+        room = limit - unkeyed.count()
+        last = first_rows(keyed.select(order_by), [order_by], room).agg(F.max(order_by).alias("m")).first().m if room else None
+        chosen = unkeyed
+        if last is not None:
+            below = keyed.where(F.col(order_by) < F.lit(last))
+            ties = keyed.where(F.col(order_by) == F.lit(last)).limit(room - below.count())
+            chosen = unkeyed.unionByName(below).unionByName(ties)
     writer = chosen.orderBy(*folder, order_by).select(text, *folder).write.option("lineSep", "\n\n")
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
