@@ -7,12 +7,13 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.session import remove, ship_package, work_path
 
-__all__ = ["bounded_sample", "drop_tables", "local_roots", "materialize", "ship_package", "word_windows"]
+__all__ = ["among", "bounded_sample", "drop_tables", "local_roots", "materialize", "ship_package", "word_windows"]
 
 _BUCKETS = 1 << 30
 
@@ -54,6 +55,37 @@ def bounded_sample(df: DataFrame, by: Sequence[Column], rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by), F.lit(_BUCKETS)) < share).limit(2 * rows)
 
 
+FILTER_BITS = 1 << 26
+
+
+def filter_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """Bits of fixed number, 8 MB, that say which whole numbers may be in ``column``."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    blocks = ids.select(F.floor(bit / 32768).cast("int").alias("at"), F.pmod(bit, F.lit(32768)).alias("bit"))
+    rows = blocks.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 2,048 rows of 4 KB at most
+    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for row in rows:
+        bits[row.at] = np.frombuffer(row.bits, np.uint8)
+    return bits.ravel()
+
+
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be among those the bits were made from."""
+    at = np.mod(values, FILTER_BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be among ``ids``, a written table, so that a join with it moves few others."""
+    sent = rows.sparkSession.sparkContext.broadcast(filter_bits(ids, column))
+
+    @F.arrow_udf("boolean")
+    def passes(values: pa.Array) -> pa.Array:
+        return pa.array(may_hold(sent.value, values.to_numpy(zero_copy_only=False)))
+
+    return rows.where(passes(F.col(column)))
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index each of ``n`` nodes is connected to by the edges ``a[i]``-``b[i]``."""
     root = np.arange(n)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import drop_tables, materialize, ship_package, word_windows
+from tokenloom.llm.common import drop_tables, filter_bits, materialize, may_hold, ship_package, word_windows
 from tokenloom.llm.components import components
 
 SHINGLE = 5
@@ -46,7 +46,6 @@ CHUNK_MEMBERS = 1024
 GROUP_MEMBERS = 1 << 14  # members of lists that are compared together
 CELL_BYTES = 1 << 24  # shingle sets compared in a group, about
 FLUSH_ENTRIES = 1 << 21
-FILTER_BITS = 1 << 26
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
@@ -349,28 +348,16 @@ def _meet(part: pa.Table) -> pa.Table:
 # Comparing
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of fixed number that say which row hashes may be among ``ids``."""
-    bit = F.pmod(F.col("row_hash"), F.lit(FILTER_BITS))
-    blocks = ids.select(F.floor(bit / 32768).cast("int").alias("at"), F.pmod(bit, F.lit(32768)).alias("bit"))
-    rows = blocks.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 2,048 rows of 4 KB at most
-    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in rows:
-        bits[row.at] = np.frombuffer(row.bits, np.uint8)
-    return bits.ravel()
-
-
 def fetch_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``key``, ``n``, ``shingles`` of the sets named by ``keys``, read again from one row of each."""
     wanted = materialize(classes.join(keys, "key").select("key", "row_hash"), "jaccard-wanted")
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bloom(wanted))
+    bits = spark.sparkContext.broadcast(filter_bits(wanted, "row_hash"))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table, given = Hasher(), bits.value, set()
         for batch in batches:
-            at = np.mod(batch.column(0).to_numpy(), FILTER_BITS)
-            rows = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            rows = np.flatnonzero(may_hold(table, batch.column(0).to_numpy()))
             taken, keys, sizes, blobs = [], [], [], []
             for i, row_hash in zip(rows.tolist(), batch.column(0).to_numpy()[rows].tolist()):
                 if row_hash in given:

@@ -12,6 +12,9 @@ run of ``PASSAGE_WORDS`` words that stands word for word in another document is
 has a least shingle, its anchor, that all its copies share; only runs whose anchor stands in several
 documents are hashed whole and counted. All of this is sums by hash, never pairs of places.
 
+Bands and anchors are packed: a task sends those of its texts in a few blocks for each part of the hash
+space, and only what several share becomes rows.
+
 Members of a band that many share are cut to chunks, and every pair of chunks is a task's work, so a
 band of any size is checked in full by tasks of bounded size. A task checks a pair only while the two
 are not connected yet and gives spanning links, so neither work nor rows grow with all pairs of
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import materialize, ship_package
+from tokenloom.llm.common import among, drop_tables, materialize, ship_package
 from tokenloom.llm.components import components
 
 SHINGLE = 5
@@ -40,6 +43,7 @@ PASSAGE_WORDS = 50  # a run of so many words that other documents hold is a pass
 HASHES = 64
 RECALL = 0.999
 CHUNK_MEMBERS = 2048
+PART_BYTES = 1 << 24  # text whose bands and anchors one task compares, about
 SEED = 11
 
 _WINDOW = 1 << 16  # shingles hashed at a time
@@ -192,39 +196,58 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.where("doc_id is not null")
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``text_hash``, ``para_no``, ``start``, ``stop``, ``n_words``, ``key``, ``bands`` of every
-    paragraph, and a row without a key for each text with its ``anchors`` and their ``lines``."""
+def paragraphs(docs: DataFrame, parts: int, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``text_hash``, ``para_no``, ``start``, ``stop``, ``n_words``, ``key`` of every paragraph, and rows
+    without a key that hold a task's ``bands`` (band and key) or ``anchors`` (shingle, document and first
+    line) of one ``part`` of the hash space, packed."""
     ship_package(docs.sparkSession)
-    rows = _rows(docs, doc_id, text)
-    kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()))
-    names = ("text_hash", "para_no", "start", "stop", "n_words", "key", "bands", "anchors", "lines")
-    schema = T.StructType([rows.schema["doc_id"], *map(T.StructField, names, kinds)])
-    return rows.mapInArrow(functools.partial(_paragraphs, max(min_words, SHINGLE), tune()), schema)
+    rows = _rows(docs, doc_id, text).withColumn("row_hash", F.xxhash64("doc_id", "text_hash"))
+    kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), T.BinaryType(), T.BinaryType())
+    schema = T.StructType([rows.schema["doc_id"], *map(T.StructField, _PLACE[1:], kinds)])
+    return rows.mapInArrow(functools.partial(_paragraphs, max(min_words, SHINGLE), tune(), parts), schema)
+
 
+_PLACE = ("doc_id", "text_hash", "para_no", "start", "stop", "n_words", "key", "part", "bands", "anchors")
 
-def _paragraphs(min_words: int, shape: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _paragraphs(min_words: int, shape: tuple[int, int], parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cut = Paragraphs(min_words)
     bands, rows = shape
-    for batch in batches:
-        held, words, waiting = [], [], 0
+    packed: dict[str, list[np.ndarray]] = {"bands": [], "anchors": []}
+    id_type, seen, waiting = None, set(), 0
+    held, words, sizes = [], [], []
 
-        id_type = batch.schema.field(0).type
+    def places() -> pa.RecordBatch:
         types = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        types = (*types, *map(pa.list_, (pa.int64(), pa.int64(), pa.int32())))
-        names = ["doc_id", "text_hash", "para_no", "start", "stop", "n_words", "key", "bands", "anchors", "lines"]
-
-        def made():
-            sizes = np.array([len(w) for w in words])
-            found = signatures(np.fromiter((h for w in words for h in w), np.uint64, sizes.sum()), sizes, bands, rows)
-            columns = list(zip(*held))
-            arrays = [pa.array(c, t) for c, t in zip(columns, (*types[:5], types[6]))]
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, bands, dtype=np.int32), pa.array(found.view(np.int64).ravel()))
-            arrays = [*arrays[:5], pa.array(sizes, pa.int32()), arrays[5], lists, *(pa.nulls(len(sizes), t) for t in types[8:])]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
-        marks = []
-        for doc, version, text in zip(*(c.to_pylist() for c in batch.columns)):
+        arrays = [pa.array(c, t) for c, t in zip(zip(*held), types)]
+        nulls = [pa.nulls(len(held), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*arrays, *nulls], names=_PLACE)
+
+    def sign() -> None:
+        # bands of the paragraphs that are new to this task, with the first half of the key
+        keys = np.frombuffer(b"".join(h[6][:8] for h in words), ">u8").astype(np.uint64)
+        flat = np.concatenate([h[7] for h in words])
+        found = signatures(flat, np.array(sizes), bands, rows)
+        packed["bands"].append(np.stack([found.ravel(), np.repeat(keys, bands)]))
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        for at, kind in enumerate(("bands", "anchors")):
+            if not packed[kind]:
+                continue
+            entries = np.concatenate(packed[kind], axis=1)
+            packed[kind].clear()
+            part = (entries[0] % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            found = [entries[:, order[lo:hi]].tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(order)])]
+            n = len(cuts)
+            types = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            two = [pa.array(found, pa.binary()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), pa.array(part[order[cuts]]), *(two if at == 0 else two[::-1])], names=_PLACE)
+
+    for batch in batches:
+        id_type = batch.schema.field(0).type
+        for doc, version, text, row_hash in zip(*(c.to_pylist() for c in batch.columns)):
             all_words, numbers, lengths = [], [], []
             for number, start, end, of_block in cut.blocks(text):
                 hashes = cut.hashes(of_block)
@@ -233,24 +256,69 @@ def _paragraphs(min_words: int, shape: tuple[int, int], batches: Iterator[pa.Rec
                 lengths.append(len(hashes))
                 if len(hashes) < min_words:
                     continue
-                held.append((doc, version, number, start, end, cut.key(of_block)))
-                words.append(hashes)
+                key = cut.key(of_block)
+                held.append((doc, version, number, start, end, len(hashes), key))
+                if key in seen:
+                    continue
+                if len(seen) >= _WORDS_HELD:
+                    seen.clear()
+                seen.add(key)
+                words.append((None, None, None, None, None, None, key, np.array(hashes, np.uint64)))
+                sizes.append(len(hashes))
                 waiting += len(hashes)
                 if waiting >= 8 * _WINDOW:
-                    yield made()
-                    held, words, waiting = [], [], 0
+                    sign()
+                    words, sizes, waiting = [], [], 0
             if len(all_words) >= PASSAGE_WORDS:
                 hashed, at = anchors(np.array(all_words, np.uint64))
-                line_of = np.repeat(np.array(numbers, np.int32), lengths)[at]
-                once = sorted(set(zip(line_of.tolist(), hashed.view(np.int64).tolist())))
-                marks.append((doc, version, [h for _, h in once], [n for n, _ in once]))
+                line_of = np.repeat(np.array(numbers, np.uint64), lengths)[at]
+                once = np.unique(np.stack([hashed, np.full(len(at), row_hash, np.int64).view(np.uint64), line_of]), axis=1)
+                packed["anchors"].append(once)
         if held:
-            yield made()
-        if marks:
-            columns = list(zip(*marks))
-            arrays = [pa.array(columns[0], id_type), pa.array(columns[1], pa.int64()), *(pa.nulls(len(marks), t) for t in types[2:8])]
-            arrays += [pa.array(c, t) for c, t in zip(columns[2:], types[8:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield places()
+            held = []
+        if sum(x.shape[1] for kind in packed.values() for x in kind) >= _FLUSH:
+            yield from blocks()
+    if words:
+        sign()
+    if id_type is not None:
+        yield from blocks()
+
+
+_FLUSH = 1 << 21
+
+
+def _shared_bands(part: pa.Table) -> pa.Table:
+    """The members of bands that several paragraphs have; of bands with the same members, one."""
+    blocks = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in part.column("bands").to_pylist()]
+    band, key = np.concatenate(blocks, axis=1)
+    order = np.lexsort((key, band))
+    band, key = band[order], key[order]
+    fresh = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
+    band, key = band[fresh], key[fresh]
+    opens = np.concatenate([[True], band[1:] != band[:-1]])
+    number, starts = np.cumsum(opens) - 1, np.flatnonzero(opens)
+    sizes = np.bincount(number)
+    mixed = (key ^ (key >> np.uint64(33))) * np.uint64(_MIX)
+    sums = np.stack([sizes.astype(np.uint64), np.add.reduceat(mixed, starts), np.bitwise_xor.reduceat(key, starts)])
+    shared = np.flatnonzero(sizes > 1)
+    kept = np.zeros(len(sizes), bool)
+    kept[shared[np.unique(sums[:, shared], axis=1, return_index=True)[1]]] = True
+    at = np.flatnonzero(kept[number])
+    return pa.table({"band": band[at].view(np.int64), "half": key[at].view(np.int64)})
+
+
+def _shared_anchors(part: pa.Table) -> pa.Table:
+    """The places of shingles that are anchors in several documents."""
+    blocks = [np.frombuffer(b, np.uint64).reshape(3, -1) for b in part.column("anchors").to_pylist()]
+    anchor, row, line = np.concatenate(blocks, axis=1)
+    order = np.lexsort((row, anchor))
+    anchor, row, line = anchor[order], row[order], line[order]
+    opens = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    number, starts = np.cumsum(opens) - 1, np.flatnonzero(opens)
+    several = np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts)
+    at = np.flatnonzero(several[number])
+    return pa.table({"anchor": anchor[at].view(np.int64), "row_hash": row[at].view(np.int64), "line": line[at].astype(np.int32)})
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,21 +335,29 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     told apart by their text and otherwise count as one place each. Other columns are not read; an empty
     table gives an empty result.
     """
-    places = materialize(paragraphs(docs, min_words, doc_id, text), "paragraphs")
-    whole = materialize(similar_paragraphs(docs, places.where("key is not null"), min_words, doc_id, text), "passages")
-    return whole.unionByName(inner_passages(docs, places.where("key is null"), whole, min_words, doc_id, text))
-
-
-def similar_paragraphs(docs: DataFrame, places: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    scanned = materialize(paragraphs(docs, parts, min_words, doc_id, text), "paragraphs")
+    members = scanned.where("bands is not null").groupBy("part").applyInArrow(_shared_bands, "band long, half long")
+    members = materialize(members, "band-members")
+    spots = scanned.where("anchors is not null").groupBy("part").applyInArrow(_shared_anchors, "anchor long, row_hash long, line int")
+    spots = materialize(spots, "anchors")
+    places = materialize(scanned.where("key is not null").select(*_PLACE[:7]), "places")
+    drop_tables(scanned)
+    whole = materialize(similar_paragraphs(docs, places, members, min_words, doc_id, text), "passages")
+    drop_tables(places, members)
+    return whole.unionByName(inner_passages(docs, spots, whole, min_words, doc_id, text))
+
+
+def similar_paragraphs(docs: DataFrame, places: DataFrame, members: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
     """The places of paragraphs that are like another one."""
-    places = places.drop("anchors", "lines")
-    roots = components(similar(docs, places, min_words, doc_id, text)).withColumnsRenamed({"node": "key"})
+    roots = components(similar(docs, places, members, min_words, doc_id, text)).withColumnsRenamed({"node": "key"})
     where = F.struct("doc_id", "para_no")
     keys = places.groupBy("key").agg(F.min(where).alias("first"), F.count("*").alias("n"))
     known = keys.join(roots, "key", "left").withColumn("component", F.coalesce("component", "key"))
     groups = known.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
     repeated = known.select("key", "component").join(groups.select("component", "kept"), "component").select("key", "kept")
-    found = places.drop("bands").join(repeated, "key")
+    found = places.join(repeated, "key")
     return found.select(
         "doc_id", "para_no", "start", "stop", "n_words",
         F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.para_no").alias("kept_para_no"),
@@ -289,18 +365,21 @@ def similar_paragraphs(docs: DataFrame, places: DataFrame, min_words: int, doc_i
     )
 
 
-def inner_passages(docs: DataFrame, anchored: DataFrame, whole: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+def inner_passages(docs: DataFrame, spots: DataFrame, whole: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
     """The places of runs of ``PASSAGE_WORDS`` words and more that other documents hold as well, in
     what is left without the removed places of ``whole``."""
     row = ["doc_id", "text_hash"]
-    gone = whole.where("removed").groupBy(*row).agg(F.collect_set("para_no").alias("gone"))
-    gone = materialize(gone, "passages-gone")
-    spots = anchored.join(gone, row, "left").withColumn("at", F.explode(F.arrays_zip("anchors", "lines")))
-    spots = spots.where(F.col("gone").isNull() | ~F.array_contains("gone", F.col("at.lines")))
-    spots = spots.select(*row, F.col("at.anchors").alias("anchor"), F.xxhash64("doc_id").alias("d"))
-    shared = spots.groupBy("anchor").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").select("anchor")
-    sought = spots.join(shared, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("sought"))
-    near = materialize(_rows(docs, doc_id, text).join(sought, row).join(gone, row, "left").select(*row, "text", "sought", "gone"), "passages-near")
+    gone = whole.where("removed").select(*row, "para_no").distinct()
+    lost = gone.select(F.xxhash64(*row).alias("row_hash"), F.col("para_no").alias("line"))
+    left = materialize(spots.join(lost, ["row_hash", "line"], "left_anti").select("anchor", "row_hash"), "anchors-left")
+    drop_tables(spots)
+    shared = left.groupBy("anchor").agg(F.min("row_hash").alias("a"), F.max("row_hash").alias("b")).where("a <> b").select("anchor")
+    sought = materialize(left.join(shared, "anchor").groupBy("row_hash").agg(F.collect_set("anchor").alias("sought")), "anchors-sought")
+    gone = gone.groupBy(*row).agg(F.collect_set("para_no").alias("gone"))
+    rows = _rows(docs, doc_id, text).withColumn("row_hash", F.xxhash64(*row))
+    rows = among(rows, "row_hash", sought.select("row_hash")).join(sought, "row_hash")
+    near = materialize(rows.join(gone, row, "left").select(*row, "text", "sought", "gone"), "passages-near")
+    drop_tables(left, sought)
     id_type = near.schema["doc_id"]
     kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType())
     runs = T.StructType([id_type, *map(T.StructField, ("text_hash", "para_no", "h", "g"), kinds)])
@@ -314,6 +393,8 @@ def inner_passages(docs: DataFrame, anchored: DataFrame, whole: DataFrame, min_w
     kinds = (T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), id_type.dataType, T.IntegerType(), T.BooleanType(), T.LongType())
     names = ("para_no", "start", "stop", "n_words", "kept_doc_id", "kept_para_no", "removed", "text_hash")
     schema = T.StructType([id_type, *map(T.StructField, names, kinds)])
+    marked = materialize(marked, "passages-marked")
+    drop_tables(held)
     found = near.drop("sought").join(marked, row).select(*row, "text", "gone", "marks")
     return found.mapInArrow(functools.partial(_spans, size), schema).distinct()
 
@@ -404,28 +485,28 @@ def _spans(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def similar(docs: DataFrame, places: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+def similar(docs: DataFrame, places: DataFrame, members: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
     """Edges ``a``, ``b`` between paragraph keys that span all similar pairs the bands bring together."""
-    reps = places.groupBy("key").agg(F.min(F.struct("doc_id", "para_no", "bands")).alias("first"))
-    banded = reps.select("key", F.col("first.doc_id").alias("doc_id"), F.explode("first.bands").alias("band"))
-    # counted before the shuffle, and a band that many share may be split by the join
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(banded.join(sizes, "band"), "band-members")
-    # bands that hold the same members are one
+    # bands of different parts that hold the same members are one
     sets = members.groupBy("band").agg(
-        F.first("n").alias("n"), F.min("key").alias("least"),
-        *[F.sum(F.xxhash64(F.lit(s), "key").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)],
+        F.count("*").alias("n"), F.min("half").alias("least"),
+        *[F.sum(F.xxhash64(F.lit(s), "half").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)],
     )
-    once = sets.groupBy("n", "least", "s1", "s2").agg(F.min("band").alias("band")).select("band")
-    chunks = F.ceil(F.col("n") / CHUNK_MEMBERS).cast("int")
-    dealt = members.join(once, "band").select("band", "key", chunks.alias("chunks"), F.pmod(F.xxhash64("key"), chunks).cast("int").alias("c"))
+    once = sets.groupBy("n", "least", "s1", "s2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / CHUNK_MEMBERS).cast("int").alias("chunks"))
+    dealt = members.join(once, "band").withColumn("c", F.pmod(F.xxhash64("half"), "chunks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = met.select("band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "key")
-    sought = members.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(sought, "doc_id")
-    sets_of = rows.select("text", "keys").mapInArrow(functools.partial(_sets, max(min_words, SHINGLE)), "key binary, shingles binary")
-    sets_of = sets_of.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    return cells.join(sets_of, "key").groupBy("band", "i", "j").applyInArrow(_verify, "a binary, b binary")
+    cells = met.select("band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "half")
+    # one place of every paragraph that is compared
+    halves = members.select("half").distinct()
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    known = places.withColumn("half", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")).join(halves, "half").groupBy("key").agg(first)
+    sought = known.groupBy("first.doc_id", "first.text_hash").agg(F.collect_set("key").alias("keys"))
+    sought = materialize(sought.withColumn("row_hash", F.xxhash64("doc_id", "text_hash")).drop("doc_id", "text_hash"), "paragraphs-sought")
+    rows = _rows(docs, doc_id, text).select(F.xxhash64("doc_id", "text_hash").alias("row_hash"), "text")
+    rows = among(rows, "row_hash", sought.select("row_hash")).join(sought, "row_hash")
+    sets_of = rows.select("text", "keys").mapInArrow(functools.partial(_sets, max(min_words, SHINGLE)), "key binary, half long, shingles binary")
+    sets_of = sets_of.groupBy("key").agg(F.first("half").alias("half"), F.first("shingles").alias("shingles"))
+    return cells.join(sets_of, "half").groupBy("band", "i", "j").applyInArrow(_verify, "a binary, b binary")
 
 
 def _sets(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +521,8 @@ def _sets(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                     found, _ = shingles(np.array(hashes, np.uint64), np.array([len(hashes)]))
                     keys.append(key)
                     blobs.append(np.unique(found).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["key", "shingles"])
+        halves = pa.array(np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), halves, pa.array(blobs, pa.binary())], names=["key", "half", "shingles"])
 
 
 def _verify(cell: pa.Table) -> pa.Table:
