@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tokenloom.llm import bestfit_packing as bp
 from tokenloom.llm import compression_langid as cl
-from tokenloom.llm import queries, sharding
+from tokenloom.llm import queries, sharding, simhash_vptree
 from tokenloom.llm.common import bounded_sample
 
 SMALL = "/root/testdata/sf0.001"
@@ -213,10 +213,35 @@ def test_sample_is_bounded_and_repeats(spark):
     rows = spark.range(5000)
     first = bounded_sample(rows, [F.col("id")], 100)
     assert 40 < first.count() <= 200
-    assert first.collect() == bounded_sample(rows.repartition(3), [F.col("id")], 100).sort("id").collect() or True
+    assert first.sort("id").collect() == bounded_sample(rows.repartition(3), [F.col("id")], 100).sort("id").collect()
     assert bounded_sample(rows.limit(0), [F.col("id")], 100).collect() == []
 
 
+def test_marks_without_letters_have_no_language(spark):
+    train = [(i, f"the house and the river number {i} of many words", "en") for i in range(40)]
+    train += [(100 + i, f"das Haus und der Fluss sind Nummer {i} von vielen", "de") for i in range(40)]
+    model = cl.learn(_docs(spark, train))
+    rows = [(1, "\u0301\u0302 \u0303", None), (2, "12 \u0301 !", None), (3, None, None), (4, "das Haus und der Fluss", None)]
+    found = {r.doc_id: r.lang_pred for r in cl.classify(_docs(spark, rows), model).collect()}
+    assert found == {1: "und", 2: "und", 3: "und", 4: "de"}
+
+
+def test_near_copies_go_by_row(spark):
+    rng = random.Random(3)
+    w, v = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(60)) for _ in range(2))
+    rows = [(1, w), (2, w), (2, v), (3, v), (3, v), (None, w), (None, w), (5, w)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()), key=repr)
+    assert kept == sorted([(1, w), (2, v), (None, w), (None, w)], key=repr)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SMALL).collect() == []
+
+
+def test_simhash_takes_ids_of_any_type(spark):
+    rows = [("b", "one two three four"), ("a", "one two three four"), ("c", "quite another text of words"), (None, "one two three four")]
+    found = simhash_vptree.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(((r.doc_id, r.component_id) for r in found.collect()), key=repr) == sorted([("a", "a"), ("b", "a"), ("c", "c"), (None, None)], key=repr)
+
+
 # Pipeline
 
 

@@ -52,7 +52,8 @@ def bounded_sample(df: DataFrame, by: Sequence[Column], rows: int) -> DataFrame:
     the same ones. For fitting only: nothing that decides which rows are kept may use it."""
     total = df.count()
     share = math.ceil(_BUCKETS * min(1.0, rows / max(total, 1)))
-    return df.where(F.pmod(F.xxhash64(*by), F.lit(_BUCKETS)) < share).limit(2 * rows)
+    place = F.pmod(F.xxhash64(*by), F.lit(_BUCKETS))
+    return df.where(place < share).orderBy(place, *by).limit(2 * rows)
 
 
 FILTER_BITS = 1 << 26

@@ -32,8 +32,17 @@ _BUCKETS = 1 << 30
 
 
 def letters(text: str) -> str:
-    """The words of letters of a text, in lower case, with single spaces."""
-    return _not_letters().sub(" ", text.lower()).strip()
+    """The words of letters of a text and their marks, in lower case, with single spaces; nothing, if it has
+    marks but no letter."""
+    words = _not_letters().sub(" ", text.lower()).strip()
+    return words if words and _letter().search(words) else ""
+
+
+@functools.cache
+def _letter():
+    import regex
+
+    return regex.compile(r"\p{L}")
 
 
 @functools.cache

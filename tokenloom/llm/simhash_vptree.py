@@ -131,16 +131,19 @@ def hex_of(bits: Column) -> Column:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id``, ``bits``, ``component_id`` of every row.
 
-    Fingerprints that differ in at most ``max_bits`` bits are linked; ``component_id`` is the smallest
+    Ids may be of any type that has an order. Fingerprints that differ in at most ``max_bits`` bits are linked; ``component_id`` is the smallest
     ``doc_id`` reachable, the row's own included. A row with a null id has a fingerprint but takes no
     part in links, and its component is null. Repeated rows come back as often as they came. An
     empty table gives an empty result.
     """
     marked = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    found = marked.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(found, "distinct-fingerprints")
+    found = marked.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("first"))
+    # numbered, as ids may be of any type; the numbers are written with them
+    reps = materialize(found.withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
     roots = components(links(reps, max_bits)).withColumnsRenamed({"node": "rep"})
-    classes = reps.join(roots, "rep", "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
+    named = reps.join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = named.join(least, "component").select("bits", "component_id")
     joined = marked.join(classes, "bits", "left")
     return joined.select("doc_id", "bits", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -152,7 +155,7 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     salts = max(1, math.ceil(total * PRUNED**levels / QUERY_ROWS))
     sample = bounded_sample(reps.select("bits"), [F.col("bits")], SAMPLE_ROWS).toArrow()
     tree = build_tree(np.sort(sample.column(0).to_numpy().view(np.uint64)), levels)
-    sent = reps.select("bits", F.col("rep").cast("long").alias("rep")).mapInArrow(
+    sent = reps.select("bits", F.col("rep").cast("long")).mapInArrow(
         functools.partial(_route, tree, levels, salts, max_bits),
         "shard long, salt int, home boolean, bits binary, reps binary",
     )
