@@ -20,11 +20,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the smallest id; rows with a null id stay."""
-    found = simhash_vptree.near_duplicates(docs)
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """One row of each SimHash group: that with the smallest id, and of rows that repeat this id the first.
+    Rows are told apart by their number, so another text under the id of a copy stays; rows with a null
+    id stay and take no part."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = simhash_vptree.near_duplicates(numbered.where("doc_id is not null"), doc_id="_row")
+    rows = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", "doc_id"), "_row")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("kept"))
+    dropped = rows.join(kept, "component_id").where(F.col("_row") != F.col("kept._row")).select("_row")
+    return numbered.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
