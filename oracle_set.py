@@ -404,17 +404,17 @@ SELECT substr(word, i::INT, size::INT) AS piece, sum(n)::BIGINT AS n FROM spans
 SELECT char AS piece, n, rank FROM (SELECT char, n, row_number() OVER (ORDER BY n DESC, char) - 1 AS rank FROM chars)
 WHERE rank < {WORD_VOCAB} - 263""",
     "B6_assemble_vocab": _WORDS
-    + """,
+    + f""",
 laid AS (
   SELECT piece, row_number() OVER (ORDER BY part, rank) - 1 AS ord FROM (
     SELECT piece, 0 AS part, rank FROM (
       SELECT piece, row_number() OVER (ORDER BY rank) - 1 AS rank FROM words
       WHERE piece NOT IN (SELECT char FROM alphabet))
-    WHERE rank < 1024 - 263 - (SELECT count(*) FROM alphabet)
+    WHERE rank < {WORD_VOCAB} - 263 - (SELECT count(*) FROM alphabet)
     UNION ALL SELECT char, 1, rank FROM alphabet)
 )
 SELECT id, piece, score, kind FROM reserved
-UNION ALL SELECT (ord + 263)::INT, piece, (0 - ord)::DOUBLE, 'piece' FROM laid WHERE ord < 1024 - 263""",
+UNION ALL SELECT (ord + 263)::INT, piece, (0 - ord)::DOUBLE, 'piece' FROM laid WHERE ord < {WORD_VOCAB} - 263""",
     "B7_encode": _WORDS
     + _encoded("enc", "documents", "doc_id", "text", " || [3]")
     + f"\nSELECT doc_id, {_csv('[2] || ids')} AS ids FROM enc",

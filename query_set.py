@@ -22,7 +22,7 @@ from tokenloom.sources import corpus, run_logs, token_bin, vocab_files
 from tokenloom.streaming import early_stop, files
 
 # Parameters the oracle SQL uses as well.
-WORD_VOCAB = 8192
+WORD_VOCAB = 32000
 CONTEXT = 128
 BATCH = 8
 CHUNK = 100
@@ -304,7 +304,7 @@ def b5_train_char(spark, sf):
 
 def b6_assemble_vocab(spark, sf):
     pieces = words.train_word(counted(spark, sf), WORD_VOCAB)
-    return vocab.assemble_vocab(pieces, letters(spark, sf), 1024)
+    return vocab.assemble_vocab(pieces, letters(spark, sf), WORD_VOCAB)
 
 
 def b7_encode(spark, sf):
