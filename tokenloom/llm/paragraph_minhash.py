@@ -47,7 +47,8 @@ PART_BYTES = 1 << 24  # text whose bands and anchors one task compares, about
 SEED = 11
 
 _WINDOW = 1 << 16  # shingles hashed at a time
-_WORDS_HELD = 1 << 19
+_WORDS_HELD = 1 << 17
+_ROWS_HELD = 512
 _WORD = re.compile(r"\S+")
 _MIX = 0x9E3779B97F4A7C15
 
@@ -245,7 +246,7 @@ def _paragraphs(min_words: int, shape: tuple[int, int], parts: int, batches: Ite
             two = [pa.array(found, pa.binary()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), pa.array(part[order[cuts]]), *(two if at == 0 else two[::-1])], names=_PLACE)
 
-    for batch in batches:
+    for batch in (b.slice(at, _ROWS_HELD) for b in batches for at in range(0, b.num_rows, _ROWS_HELD)):
         id_type = batch.schema.field(0).type
         for doc, version, text, row_hash in zip(*(c.to_pylist() for c in batch.columns)):
             all_words, numbers, lengths = [], [], []
@@ -285,7 +286,7 @@ def _paragraphs(min_words: int, shape: tuple[int, int], parts: int, batches: Ite
         yield from blocks()
 
 
-_FLUSH = 1 << 21
+_FLUSH = 1 << 18
 
 
 def _shared_bands(part: pa.Table) -> pa.Table:
