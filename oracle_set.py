@@ -420,6 +420,7 @@ UNION ALL SELECT (ord + 263)::INT, piece, (0 - ord)::DOUBLE, 'piece' FROM laid W
     + f"\nSELECT doc_id, {_csv('[2] || ids')} AS ids FROM enc",
     "B8_decode": _DECODED,
     "B8_decode_bpe": _DECODED,
+    "B8_decode_bpe_full": _DECODED,
     "B8_decode_unigram": _DECODED,
     "B9_encode_chat": _WORDS
     + _encoded("enc", "(SELECT *, conv_id * 100000 + turn AS k FROM conversations)", "k", "text")

@@ -26,7 +26,8 @@ WORD_VOCAB = 32000
 CONTEXT = 128
 BATCH = 8
 CHUNK = 100
-BPE_VOCAB = 1000
+BPE_VOCAB = 1000  # where SQL repeats the training one merge at a time
+FULL_BPE_VOCAB = 32000
 UNIGRAM_VOCAB = 1000
 UNIGRAM_SEEDS = 4000
 NEWLINE_ID = 7 + 10
@@ -105,6 +106,17 @@ def bpe_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(vocab.assemble_vocab(merges(spark, sf), letters(spark, sf), BPE_VOCAB), "vocab")
 
 
+@_shared
+def full_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(train_bpe(counted(spark, sf), FULL_BPE_VOCAB, letters(spark, sf)), "merges")
+
+
+@_shared
+def full_bpe_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    made = vocab.assemble_vocab(full_merges(spark, sf), letters(spark, sf), FULL_BPE_VOCAB)
+    return materialize(made, "vocab")
+
+
 @_shared
 def stream_path(spark: SparkSession, sf: str) -> str:
     path = work_path(spark, "stream")
@@ -282,6 +294,10 @@ def b3_train_bpe(spark, sf):
     return merges(spark, sf)
 
 
+def b3_train_bpe_full(spark, sf):
+    return full_merges(spark, sf)
+
+
 def b3_pair_counts(spark, sf):
     return pair_counts(segments(counted(spark, sf), letters(spark, sf)))
 
@@ -317,6 +333,11 @@ def b7_encode_bpe(spark, sf):
     return out.select("doc_id", csv("ids").alias("ids"))
 
 
+def b7_encode_bpe_full(spark, sf):
+    out = encode.encode(docs(spark, sf), encode.encoder(full_bpe_vocab(spark, sf), "bpe"), add_eos=True)
+    return out.select("doc_id", csv("ids").alias("ids"))
+
+
 def b8_decode(spark, sf):
     ids = token_rows(spark, sf).select("doc_id", "ids")
     return encode.decode(ids, word_vocab(spark, sf)).select("doc_id", "text")
@@ -331,6 +352,10 @@ def b8_decode_bpe(spark, sf):
     return round_trip(spark, sf, bpe_vocab(spark, sf), "bpe")
 
 
+def b8_decode_bpe_full(spark, sf):
+    return round_trip(spark, sf, full_bpe_vocab(spark, sf), "bpe")
+
+
 def b8_decode_unigram(spark, sf):
     return round_trip(spark, sf, unigram_vocab(spark, sf), "unigram")
 
@@ -707,6 +732,7 @@ QUERIES: dict[str, Query] = {
     "B1_word_counts": b1_word_counts,
     "B2_alphabet": b2_alphabet,
     "B3_train_bpe": b3_train_bpe,
+    "B3_train_bpe_full": b3_train_bpe_full,
     "B3_pair_counts": b3_pair_counts,
     "B4_seed_pieces": b4_seed_pieces,
     "B4_train_unigram": b4_train_unigram,
@@ -715,8 +741,10 @@ QUERIES: dict[str, Query] = {
     "B6_assemble_vocab": b6_assemble_vocab,
     "B7_encode": b7_encode,
     "B7_encode_bpe": b7_encode_bpe,
+    "B7_encode_bpe_full": b7_encode_bpe_full,
     "B8_decode": b8_decode,
     "B8_decode_bpe": b8_decode_bpe,
+    "B8_decode_bpe_full": b8_decode_bpe_full,
     "B8_decode_unigram": b8_decode_unigram,
     "B9_encode_chat": b9_encode_chat,
     "B10_render_chat": b10_render_chat,

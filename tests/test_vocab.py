@@ -75,13 +75,36 @@ def test_merges_equal_one_at_a_time(spark, seed):
     assert bpe.train_merges(df, letters, 25) == sequential_merges(counts, 25)
 
 
+def test_merges_beyond_the_watched_pairs(spark, monkeypatch):
+    """Few watched pairs, so they run out, overflow and are counted again; more rounds than one rewrite."""
+    monkeypatch.setattr(bpe, "_WATCHED", 6)
+    monkeypatch.setattr(bpe, "_PENDING_LIMIT", 2)
+    rng = random.Random(9)
+    counts = {}
+    for _ in range(30):
+        word = "".join(rng.choice("abc😀") for _ in range(rng.randint(1, 8)))
+        counts[word * rng.randint(1, 2)] = rng.randint(1, 5)
+    df = materialize(spark.createDataFrame(list(counts.items()), "word string, n long"), "w")
+    letters = spark.createDataFrame([(c, i) for i, c in enumerate("abc😀")], "char string, rank long")
+    assert bpe.train_merges(df, letters, 30) == sequential_merges(counts, 30)
+
+
+def test_merges_until_pairs_run_out(spark):
+    counts = {"abab": 3, "ba": 1, "aaaa": 2, "c": 9}
+    df = materialize(spark.createDataFrame(list(counts.items()), "word string, n long"), "w")
+    letters = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "char string, rank long")
+    assert bpe.train_merges(df, letters, 1000) == sequential_merges(counts, 1000)
+    assert bpe.train_merges(df, letters, 0) == []
+    assert bpe.train_merges(df.limit(0), letters, 5) == []
+
+
 def test_characters_outside_the_alphabet_part_units(spark):
     df = materialize(spark.createDataFrame([("abXab", 5), ("ba", 1)], "word string, n long"), "w")
     letters = spark.createDataFrame([("a", 0), ("b", 1)], "char string, rank long")
     assert bpe.train_merges(df, letters, 5) == [("a", "b"), ("b", "a")]
 
 
-@pytest.mark.parametrize("size", [450, 3000])
+@pytest.mark.parametrize("size", [450, 8000])
 def test_library_gives_the_same_vocabulary_ids_and_text(spark, tmp_path, size):
     spm = pytest.importorskip("sentencepiece")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

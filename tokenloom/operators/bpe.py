@@ -38,7 +38,7 @@ from tokenloom.session import materialize, remove, ship_package, work_path
 # the first of them marks cuts.
 _FIRST_CODE = 0xF0000
 _PRIVATE = f"[{chr(0xF0000)}-{chr(0x10FFFF)}]"
-_WATCHED = 65_536
+_WATCHED = 16_384
 _UNITS_PER_TASK = 500_000
 _PENDING_LIMIT = 12
 _NONE: frozenset[int] = frozenset()
