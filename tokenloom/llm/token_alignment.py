@@ -20,11 +20,12 @@ import hashlib
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -272,10 +273,24 @@ def aligned_units(pair: Pair, units: list[str]) -> tuple[dict[str, np.ndarray],
     return sizes, shown, pairs, unit, which
 
 
+def _pack(press: Callable[[bytes], bytes], ascending: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns of numbers, the first as steps, byte by byte of equal weight, compressed."""
+    flat = np.concatenate([np.diff(ascending, prepend=0), *others]).astype("<u4")
+    return press(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(unpress: Callable[[bytes], bytes], blob: bytes, columns: int) -> np.ndarray:
+    weights = np.frombuffer(unpress(blob), np.uint8).reshape(4, -1)
+    numbers = np.ascontiguousarray(weights.T).view("<u4").reshape(columns, -1).astype(np.int64)
+    numbers[0] = np.cumsum(numbers[0])
+    return numbers
+
+
 def aligned(pair: Pair, texts: list[str]) -> tuple[dict[str, list], list[bytes], bytes, np.ndarray, np.ndarray]:
     """The columns of the documents, their units as numbers, the links of the units, the distinct pairs and how
     many documents hold each."""
     n, known, held = len(texts), {}, []
+    press = zstandard.ZstdCompressor(level=1).compress
     for text in texts:
         units = _CUT.split(text) if text else []
         for unit in dict.fromkeys(units):
@@ -290,7 +305,7 @@ def aligned(pair: Pair, texts: list[str]) -> tuple[dict[str, list], list[bytes],
     own, often = _runs(doc * max(1, len(known)) + np.concatenate([*held, np.zeros(0, np.int64)]))
     owner, numbers = np.divmod(own, max(1, len(known)))
     bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
-    packed = [np.stack([numbers[lo:hi], often[lo:hi]]).astype(np.uint32).tobytes() for lo, hi in zip(bounds, bounds[1:])]
+    packed = [_pack(press, numbers[lo:hi], often[lo:hi]) for lo, hi in zip(bounds, bounds[1:])]
     # distinct pairs of the units, and through them of the documents
     of_unit, times = _runs(unit * max(1, len(pairs)) + which)
     unit, which = np.divmod(of_unit, max(1, len(pairs)))
@@ -299,12 +314,12 @@ def aligned(pair: Pair, texts: list[str]) -> tuple[dict[str, list], list[bytes],
     at = np.repeat(first[numbers] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
     in_docs = _runs(np.repeat(owner, spans) * max(1, len(pairs)) + which[at])[0]
     documents = np.bincount(in_docs % max(1, len(pairs)), minlength=len(pairs))
-    links_of_units = np.stack([unit, which, times]).astype(np.uint32).tobytes()
+    links_of_units = _pack(press, unit, which, times)
     present = documents > 0  # units that only stand in documents without tokens bring pairs that none holds
     if not present.all():
         place = np.cumsum(present) - 1
         kept = present[which]
-        links_of_units = np.stack([unit[kept], place[which[kept]], times[kept]]).astype(np.uint32).tobytes()
+        links_of_units = _pack(press, unit[kept], place[which[kept]], times[kept])
         pairs, documents = pairs[present], documents[present]
     return columns, packed, links_of_units, pairs, documents.astype(np.int64)
 
@@ -331,20 +346,21 @@ def aligned_documents(docs: DataFrame, files: Files, doc_id: str = "doc_id", tex
 
 
 def _count(held: pa.Table, known: pa.Table) -> pa.Table:
+    unpress = zstandard.ZstdDecompressor().decompress
     order = np.argsort(known.column("at").to_numpy())
     counts = known.column("count").to_numpy()[order]
     best = known.column("best").to_numpy()[order]
     inner = held.column("number").is_valid().to_numpy()
     blob = held.filter(pa.array(inner)).column("held")[0].as_py()
     held = held.filter(pa.array(~inner))
-    unit, which, times = np.frombuffer(blob, np.uint32).reshape(3, -1).astype(np.int64)
+    unit, which, times = _unpack(unpress, blob, 3)
     size = int(unit.max()) + 1 if len(unit) else 1
     sum_of, best_of = np.zeros(size, np.int64), np.zeros(size, np.int64)
     np.add.at(sum_of, unit, counts[which] * times)
     np.add.at(best_of, unit, best[which] * times)
     sums, bests = [], []
     for packed in held.column("held").to_pylist():
-        numbers, often = np.frombuffer(packed, np.uint32).reshape(2, -1).astype(np.int64)
+        numbers, often = _unpack(unpress, packed, 2)
         sums.append(int((sum_of[numbers] * often).sum()))
         bests.append(int((best_of[numbers] * often).sum()))
     made = {c: held.column(c) for c in ("doc_id", *_DOCUMENT)} | {"n_best": pa.array(bests, pa.int64()), "count_sum": pa.array(sums, pa.int64())}
