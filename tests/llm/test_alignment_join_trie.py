@@ -270,3 +270,33 @@ def test_branched_conversation_may_have_no_turn(spark):
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in pt.prefix_trie(table).collect()] == _want_trie(turns, 20)
     assert table.where(F.col("conv_id") == -1).count() == 0
+
+
+def test_signatures_drop_no_similar_pair():
+    rng = np.random.default_rng(5)
+    sets, root = [], []
+    for n in (1, 4, 31, 32, 33, 60, 64, 65, 300, 513, 2000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for changed in (0, n // 20, n // 9, n // 4, n // 2):
+            more = rng.integers(0, 1 << 63, changed, dtype=np.uint64)
+            sets += [np.unique(np.concatenate([base[changed:], more])), np.unique(np.concatenate([base, more]))]
+            root += [len(root), len(root) + 1]
+    sizes = np.array([len(s) for s in sets])
+    signatures = [nj.signature(s) for s in sets]
+    kept = nj.possible_members(sizes, signatures, np.array(root))
+    near, far = np.zeros(len(sets), bool), 0
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            link = i != j and nj.similar(common, sizes[i], sizes[j])
+            near[i] |= link
+            a, b = sorted((signatures[i], signatures[j]), key=len)
+            if len(b) <= 2 * len(a):
+                words = nj._words([a, b], len(a))
+                may = nj.possible(words[0], sizes[i], words[1], sizes[j])
+                assert may or not nj.similar(common, sizes[i], sizes[j])
+                far += bool(may) and i != j and not link
+            else:
+                assert not link
+    assert near.any() and (kept | ~near).all() and far < near.sum()
+    assert not nj.possible_members(sizes, signatures, np.zeros(len(sets), np.int64)).any()

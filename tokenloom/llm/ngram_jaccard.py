@@ -12,8 +12,12 @@ The order comes from a table of counts by hash, of fixed size, over all sets; an
 result. Lists are packed: a task sends its entries in a few blocks for each part of the hash space. Equal
 sets are one set. In a list a set is compared with a leader of about its size and with its neighbour, and
 with all others that places and sizes leave possible where these are few. Other lists, if this leaves
-their members in several components, are compared in full, by cells of chunk pairs. What is compared is
-the exact sets, and cells give spanning links, so rows never grow with the pairs of a group.
+their members in several components, are compared in full, by cells of chunk pairs. Cells give spanning
+links, so rows never grow with the pairs of a group.
+
+Before sets are fetched, their signatures are compared: two to four bits a shingle, each the parity of the
+shingles it stands for. Signatures differ in at most as many bits as sets do in members, so this only drops
+pairs, and members of cells, that cannot be similar. What is left is compared by the exact sets.
 
 Shingles and sets are known by 64-bit hashes.
 """
@@ -118,6 +122,83 @@ def common_needed(sizes: np.ndarray | int) -> np.ndarray | int:
     return -(-sizes * NUMERATOR // DENOMINATOR)
 
 
+# Signatures
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles by their low bits: 64 bits, or the next power of two from ``2 * n``."""
+    width = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def possible(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles may be similar, by the rows of 64-bit words ``a``, ``b``."""
+    differ = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    near = (NUMERATOR * n <= DENOMINATOR * m) & (NUMERATOR * m <= DENOMINATOR * n)
+    # n + m - 2 * common is what differs, see ``similar``
+    return near & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n + m))
+
+
+def fold(words: np.ndarray) -> np.ndarray:
+    """Signatures of half the width: a bit is taken with the one half the width away."""
+    half = words.shape[-1] // 2
+    return words[..., :half] ^ words[..., half:]
+
+
+def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, n, m = (batch.column(c).to_numpy() for c in ("a", "b", "n", "m"))
+        left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
+        widths = np.stack([np.array([len(x) for x in side], np.int64).reshape(-1) for side in (left, right)])
+        keep = np.zeros(len(a), bool)
+        for width in np.unique(widths.min(axis=0)):
+            fit = np.flatnonzero((widths.min(axis=0) == width) & (widths.max(axis=0) <= 2 * width))
+            for at in np.array_split(fit, -(-len(fit) * int(width) // (1 << 24)) or 1):
+                ends = [_words([side[i] for i in at.tolist()], int(width)) for side in (left, right)]
+                keep[at] = possible(ends[0], n[at], ends[1], m[at])
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+
+def _words(signatures: list[bytes], width: int) -> np.ndarray:
+    """Signatures of ``width`` or twice as many bytes as rows of words of this width."""
+    out = np.zeros((len(signatures), width // 8), np.uint64)
+    for i, one in enumerate(signatures):
+        words = np.frombuffer(one, np.uint64)
+        out[i] = words if len(one) == width else fold(words)
+    return out
+
+
+def possible_members(sizes: np.ndarray, signatures: list[bytes], root: np.ndarray) -> np.ndarray:
+    """Which sets may be similar to one of another group ``root``."""
+    keep = np.zeros(len(sizes), bool)
+    widths = np.array([len(s) for s in signatures])
+    for width in np.unique(widths):
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        at = at[np.argsort(sizes[at], kind="stable")]  # those of this width come first, as the width follows the size
+        words, n, r = _words([signatures[i] for i in at.tolist()], int(width)), sizes[at], root[at]
+        own, step = int((widths == width).sum()), max(1, (1 << 21) // (len(at) * words.shape[1]))
+        found = np.zeros(len(at), bool)
+        for lo in range(0, own, step):
+            hi = min(own, lo + step)
+            end = int(np.searchsorted(n, n[hi - 1] * DENOMINATOR // NUMERATOR, "right"))  # pairs are met from the smaller
+            rows, columns = slice(lo, hi), slice(lo, end)
+            ok = possible(words[rows, None], n[rows, None], words[None, columns], n[None, columns])
+            ok &= r[rows, None] != r[None, columns]
+            found[rows] |= ok.any(axis=1)
+            found[columns] |= ok.any(axis=0)
+        keep[at[found]] = True
+    return keep
+
+
+def _possible_cell(cell: pa.Table) -> pa.Table:
+    root = np.unique(cell.column("root").to_numpy(), return_inverse=True)[1]
+    keep = np.zeros(len(root), bool)
+    if root.any():
+        keep = possible_members(cell.column("n").to_numpy(), cell.column("signature").to_pylist(), root)
+    return cell.select(["first", "share", "i", "j", "key", "root"]).filter(pa.array(keep))
+
+
 # Classes of equal sets, and counts
 
 
@@ -127,12 +208,13 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``row_hash``, ``n`` (shingles) and ``key`` (of the set) of every row, and rows of ``block``
+    """``doc_id``, ``row_hash``, ``n`` (shingles), ``key`` and ``signature`` (of the set) of every row, and rows of ``block``
     and ``counts``: how many sets of a task hold a shingle with a hash of that block."""
     ship_package(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
-    kinds = (T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType())
-    schema = T.StructType([rows.schema["doc_id"], *map(T.StructField, ("row_hash", "n", "key", "block", "counts"), kinds)])
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.IntegerType(), T.BinaryType())
+    names = ("row_hash", "n", "key", "signature", "block", "counts")
+    schema = T.StructType([rows.schema["doc_id"], *map(T.StructField, names, kinds)])
     return rows.select("doc_id", "row_hash", "text").mapInArrow(_describe, schema)
 
 
@@ -142,15 +224,16 @@ _BLOCK = 1 << 14
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, seen, counts = Hasher(), set(), np.zeros(COUNTERS, np.uint32)
     id_type = None
-    names = ["doc_id", "row_hash", "n", "key", "block", "counts"]
+    names = ["doc_id", "row_hash", "n", "key", "signature", "block", "counts"]
     for batch in batches:
         id_type = batch.schema.field(0).type
-        sizes, keys, held = [], [], []
+        sizes, keys, signatures, held = [], [], [], []
         for text in batch.column(2).to_pylist():
             found = hasher.sets(text)
             key = _key(found)
             sizes.append(len(found))
             keys.append(key)
+            signatures.append(signature(found))
             if key not in seen:
                 if len(seen) >= 1 << 20:
                     seen.clear()
@@ -160,12 +243,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(_counter(np.concatenate(held)), minlength=COUNTERS).astype(np.uint32)
         keys = np.array(keys, np.uint64).view(np.int64)
         n = len(sizes)
-        columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys), pa.array(signatures, pa.binary())]
+        columns += [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=names)
     if id_type is not None:
         parts = [counts[at : at + _BLOCK] for at in range(0, COUNTERS, _BLOCK)]
         n = len(parts)
-        columns = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.array(range(n), pa.int32())]
+        columns = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
 
@@ -430,13 +514,16 @@ def compare_lists(members: DataFrame, roots: DataFrame, classes: DataFrame, docs
         "list", "first", F.pmod(F.xxhash64("list"), "spread").cast("int").alias("share"), F.ceil(F.col("n") / CHUNK_MEMBERS).cast("int").alias("chunks")
     )
     held = materialize(rooted.join(mixed, "list"), "jaccard-mixed")
-    sets = materialize(fetch_sets(docs, classes, held.select("key").distinct(), doc_id, text), "jaccard-sets")
     dealt = held.withColumn("c", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = met.select("first", "share", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "key", "root").distinct()
-    found = cells.join(sets, "key").groupBy("first", "share", "i", "j").applyInArrow(_compare_cell, "a long, b long")
+    signed = cells.join(classes.select("key", "n", "signature"), "key")
+    kept = signed.groupBy("first", "share", "i", "j").applyInArrow(_possible_cell, cells.schema)
+    kept = materialize(kept, "jaccard-cells")
+    sets = materialize(fetch_sets(docs, classes, kept.select("key").distinct(), doc_id, text), "jaccard-sets")
+    found = kept.join(sets, "key").groupBy("first", "share", "i", "j").applyInArrow(_compare_cell, "a long, b long")
     found = materialize(found.distinct(), "jaccard-links")
-    drop_tables(rooted, held, sets)
+    drop_tables(rooted, held, kept, sets)
     return found
 
 
@@ -488,7 +575,7 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bo
     described = materialize(shingle_sets(docs, doc_id, text), "jaccard-rows")
     rows = described.where("block is null")
     classes = rows.where("doc_id is not null and n > 0").groupBy("key").agg(
-        F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min("row_hash").alias("row_hash")
+        F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min("row_hash").alias("row_hash"), F.first("signature").alias("signature")
     )
     classes = materialize(classes, "jaccard-classes")
     links = _links(spark, docs, described, classes, doc_id, text, boundary, long_list)
@@ -518,7 +605,9 @@ def _links(spark: SparkSession, docs, described, classes, doc_id, text, boundary
     firsts = leaders.groupBy("list").agg(F.min("leader").alias("a"))
     dealt = leaders.join(firsts, "list").where("leader <> a").select("a", F.col("leader").alias("b"))
     pairs = met.where("list is null").select("a", "b").unionByName(dealt).distinct()
-    pairs = materialize(pairs, "jaccard-pairs")
+    signed = classes.select("key", "n", "signature")
+    signed = pairs.join(signed.toDF("a", "n", "left"), "a").join(signed.toDF("b", "m", "right"), "b")
+    pairs = materialize(signed.mapInArrow(_possible_pairs, "a long, b long"), "jaccard-pairs")
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     sets = materialize(fetch_sets(docs, classes, ends, doc_id, text), "jaccard-sets")
     first = materialize(compare_pairs(pairs, sets), "jaccard-links")
