@@ -6,6 +6,9 @@ of its own, and a manifest with their lengths. Documents are cut at shard border
 header is known before its ids and every byte is written once, under its final name. Files of lost
 tasks are in no manifest and are never read.
 
+Comparisons of ``start_pos`` with numbers are pushed into the reader, which then opens only the ranges,
+and reads only the blocks, that they leave; ``read_positions`` gives the ids of a range of positions so.
+
 Files are reached through ``pyarrow.fs``, so any address it knows will do; a path without a scheme
 belongs to the cluster's default file system.
 """
@@ -28,7 +31,14 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 
@@ -54,6 +64,29 @@ def _flag(options, name: str, default: str) -> bool:
     return options.get(name, default).lower() == "true"
 
 
+_END = 1 << 62
+
+
+def _start_bounds(one: Filter) -> tuple[int, int] | None:
+    """The least and the largest ``start_pos`` that a filter passes; None if it is about something else."""
+    if getattr(one, "attribute", None) != ("start_pos",):
+        return None
+    match one:
+        case IsNotNull():
+            return 0, _END
+        case EqualTo(value=int(v)):
+            return v, v
+        case GreaterThan(value=int(v)):
+            return v + 1, _END
+        case GreaterThanOrEqual(value=int(v)):
+            return v, _END
+        case LessThan(value=int(v)):
+            return 0, v - 1
+        case LessThanOrEqual(value=int(v)):
+            return 0, v
+    return None
+
+
 @dataclass
 class TokenRange(InputPartition):
     file: str
@@ -66,6 +99,16 @@ class TokenReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.header = _flag(options, "header", "true")
+        self.least, self.most = 0, _END
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes what bounds ``start_pos``; the rest is Spark's."""
+        for one in filters:
+            bounds = _start_bounds(one)
+            if bounds is None:
+                yield one
+            else:
+                self.least, self.most = max(self.least, bounds[0]), min(self.most, bounds[1])
 
     def _lengths(self, system: fs.FileSystem, root: str) -> list[tuple[str, int]]:
         """Files and their token counts, each count checked against the file's size."""
@@ -105,7 +148,11 @@ class TokenReader(DataSourceReader):
         for file, length in self._lengths(system, root):
             base = HEADER_BYTES if self.header else 0
             for at in range(0, length, _RANGE_TOKENS):
-                ranges.append(TokenRange(file, base + 2 * at, min(_RANGE_TOKENS, length - at), pos + at))
+                start, n = pos + at, min(_RANGE_TOKENS, length - at)
+                first = max(0, -((start - self.least) // _BLOCK_TOKENS)) * _BLOCK_TOKENS
+                end = min(n, ((self.most - start) // _BLOCK_TOKENS + 1) * _BLOCK_TOKENS)
+                if first < end:
+                    ranges.append(TokenRange(file, base + 2 * (at + first), end - first, start + first))
             pos += length
         return ranges
 
@@ -218,6 +265,7 @@ class TokenBin(DataSource):
 
 def register(spark: SparkSession) -> None:
     ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TokenBin)
 
 
@@ -228,6 +276,18 @@ def read_tokens(spark: SparkSession, path: str, header: bool = True) -> DataFram
     return spark.read.format("token_bin").option("header", str(header).lower()).load(qualified(spark, path))
 
 
+def read_positions(spark: SparkSession, path: str, start: int, end: int, header: bool = True) -> DataFrame:
+    """The ids at positions from ``start`` up to ``end`` (exclusive) as blocks ``start_pos``, ``ids``. Only
+    the blocks that hold them are read; a part beyond the file's end is empty."""
+    if not 0 <= start <= end:
+        raise ValueError("positions must ascend from 0")
+    blocks = read_tokens(spark, path, header).where((F.col("start_pos") > start - _BLOCK_TOKENS) & (F.col("start_pos") < end))
+    lo = F.greatest("start_pos", F.lit(start))
+    hi = F.least(F.col("start_pos") + F.size("ids"), F.lit(end))
+    ids = F.slice("ids", (lo - F.col("start_pos") + 1).cast("int"), (hi - lo).cast("int"))
+    return blocks.where(hi > lo).select(lo.alias("start_pos"), ids.alias("ids"))
+
+
 def write_tokens(stream: DataFrame, path: str, header: bool = True, tokens_per_shard: int | None = TOKENS_PER_SHARD) -> None:
     """Write a stream, which starts at position 0, as shards in position order, each a token file of
     its own: of ``tokens_per_shard``, or fewer where that leaves cores without a shard.
