@@ -53,7 +53,8 @@ def test_positions(spark, store, start, end):
 
 
 def test_positions_open_only_their_ranges(spark, store):
-    assert token_bin.read_positions(spark, store, 150_000, 150_010).rdd.getNumPartitions() == 1
+    assert token_bin.read_positions(spark, store, 10, 20).rdd.getNumPartitions() == 1
+    assert token_bin.read_positions(spark, store, 150_000, 150_010).rdd.getNumPartitions() == 2  # with the short block ahead
     assert token_bin.read_positions(spark, store, 69_000, 71_000).rdd.getNumPartitions() == 2
 
 

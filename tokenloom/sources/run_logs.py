@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tokenloom.functions.numbers import fixed, with_scientific
 
 # The columns of a metrics log and how each is written.
 METRICS_SCHEMA = (
@@ -41,22 +41,17 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(folder != "", folder).otherwise(name).alias("run"), "*")
 
 
-@F.arrow_udf(T.StructType([T.StructField(name, T.StringType()) for name in METRICS_FORMATS]))
-def _written(*columns: pa.Array) -> pa.Array:
-    """Numbers as texts, rounded from their exact binary values; empty where they are missing."""
-    texts = [
-        pa.array(["" if v is None else format(v, spec) for v in values.to_pylist()], pa.string())
-        for values, spec in zip(columns, METRICS_FORMATS.values())
-    ]
-    return pa.StructArray.from_arrays(texts, names=list(METRICS_FORMATS))
-
-
 def format_metrics(metrics: DataFrame) -> DataFrame:
-    """Log columns as they are written; missing values are empty. One call writes a row's numbers."""
+    """Log columns as they are written, numbers rounded from their exact binary values; missing values
+    are empty."""
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    numbers = _written(*[F.col(name).cast("double") for name in METRICS_FORMATS])
-    rows = metrics.select("run", F.col("step").cast("string").alias("step"), stamp.alias("timestamp"), numbers.alias("_n"))
-    return rows.select("run", "step", "timestamp", "_n.*")
+    rows = metrics.select(
+        "run", F.col("step").cast("string").alias("step"), stamp.alias("timestamp"), *[F.col(name).cast("double").alias(name) for name in METRICS_FORMATS]
+    )
+    for name, spec in METRICS_FORMATS.items():
+        digits = int(spec[1:-1])
+        rows = with_scientific(rows, name, digits, name) if spec.endswith("e") else rows.withColumn(name, fixed(F.col(name), digits))
+    return rows.select("run", "step", "timestamp", *[F.coalesce(name, F.lit("")).alias(name) for name in METRICS_FORMATS])
 
 
 def place_metrics(metrics: DataFrame) -> DataFrame:

@@ -278,7 +278,7 @@ def read_tokens(spark: SparkSession, path: str, header: bool = True) -> DataFram
 
 def read_positions(spark: SparkSession, path: str, start: int, end: int, header: bool = True) -> DataFrame:
     """The ids at positions from ``start`` up to ``end`` (exclusive) as blocks ``start_pos``, ``ids``. Only
-    the blocks that hold them are read; a part beyond the file's end is empty."""
+    the blocks that hold them are read, and the last ones of a shard just ahead; a part beyond the end is empty."""
     if not 0 <= start <= end:
         raise ValueError("positions must ascend from 0")
     blocks = read_tokens(spark, path, header).where((F.col("start_pos") > start - _BLOCK_TOKENS) & (F.col("start_pos") < end))
