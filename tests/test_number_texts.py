@@ -4,9 +4,8 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from tokenloom.functions.numbers import fixed, with_scientific
+from tokenloom.functions.numbers import with_fixed, with_scientific
 from tokenloom.sources.run_logs import METRICS_FORMATS, format_metrics
 
 SPECIAL = [None, 0.0, -0.0, float("nan"), float("inf"), -float("inf")]
@@ -28,7 +27,7 @@ def _values():
 def test_fixed(spark, digits):
     values = _values() + SPECIAL
     rows = spark.createDataFrame(list(enumerate(values)), "i long, x double")
-    found = {r.i: r.t for r in rows.select("i", fixed(F.col("x"), digits).alias("t")).collect()}
+    found = {r.i: r.t for r in with_fixed(rows, {"x": digits}).withColumnRenamed("x", "t").collect()}
     for i, v in enumerate(values):
         assert found[i] == (None if v is None else format(v, f".{digits}f")), v
 

@@ -37,22 +37,33 @@ def _special(x: Column, text: Column) -> Column:
     return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(endless, F.concat(_sign(x), F.lit("inf"))).otherwise(text)
 
 
-def fixed(x: Column, digits: int) -> Column:
-    """A double with 1 to 7 ``digits`` after the point. From 2^112 on, the digits after the 17th are zeros."""
-    size = F.abs(x)
-    whole = F.floor(size)
-    part = F.when(size < float(1 << 52), size - whole.cast("double")).otherwise(0.0)
-    high, low = _halves(part)
-    base = F.floor(high * float(10**digits))
-    side = (high * float(10**digits) - base.cast("double") - 0.5) + low * float(10**digits)
-    places = _rounded(base, side)
-    carry = places == 10**digits
-    upper = F.floor(size / float(1 << 50))  # longs end at 2^63
-    wide = upper.cast("decimal(19,0)") * F.lit(1 << 50).cast("decimal(17,0)")
-    wide = wide + F.floor(size - upper.cast("double") * float(1 << 50)).cast("decimal(19,0)")
-    integer = F.when(size < float(1 << 62), (whole + carry.cast("long")).cast("string")).otherwise(wide.cast("string"))
-    text = F.concat(_sign(x), integer, F.lit("."), F.lpad(F.when(carry, 0).otherwise(places).cast("string"), digits, "0"))
-    return _special(x, F.when(size < float(1 << 112), text).otherwise(F.format_string(f"%.{digits}f", x)))
+def with_fixed(rows: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Double columns as texts with 1 to 7 ``digits`` after the point. From 2^112 on, the digits after the
+    17th are zeros. Steps are columns of their own, so that no expression is repeated."""
+
+    def step(rows: DataFrame, made: str, of) -> DataFrame:
+        return rows.withColumns({f"_{made}_{name}": of(lambda part, name=name: F.col(f"_{part}_{name}"), 10**n) for name, n in digits.items()})
+
+    rows = rows.withColumns({f"_size_{name}": F.abs(F.col(name)) for name in digits})
+    rows = step(rows, "whole", lambda at, _: F.floor(at("size")))
+    rows = step(rows, "part", lambda at, _: F.when(at("size") < float(1 << 52), at("size") - at("whole").cast("double")).otherwise(0.0))
+    rows = step(rows, "high", lambda at, scale: _halves(at("part"))[0])
+    rows = step(rows, "base", lambda at, scale: F.floor(at("high") * float(scale)))
+    rows = step(rows, "side", lambda at, scale: (at("high") * float(scale) - at("base").cast("double") - 0.5) + (at("part") - at("high")) * float(scale))
+    rows = step(rows, "places", lambda at, _: _rounded(at("base"), at("side")))
+    rows = step(rows, "upper", lambda at, _: F.floor(at("size") / float(1 << 50)))  # longs end at 2^63
+    made = {}
+    for name, n in digits.items():
+        x, size, places, upper = (F.col(c) for c in (name, f"_size_{name}", f"_places_{name}", f"_upper_{name}"))
+        carry = places == 10**n
+        wide = upper.cast("decimal(19,0)") * F.lit(1 << 50).cast("decimal(17,0)")
+        wide = wide + F.floor(size - upper.cast("double") * float(1 << 50)).cast("decimal(19,0)")
+        whole = (F.col(f"_whole_{name}") + carry.cast("long")).cast("string")
+        integer = F.when(size < float(1 << 62), whole).otherwise(wide.cast("string"))
+        text = F.concat(_sign(x), integer, F.lit("."), F.lpad(F.when(carry, 0).otherwise(places).cast("string"), n, "0"))
+        made[name] = _special(x, F.when(size < float(1 << 112), text).otherwise(F.format_string(f"%.{n}f", x)))
+    steps = ("size", "whole", "part", "high", "base", "side", "places", "upper")
+    return rows.withColumns(made).drop(*[f"_{part}_{name}" for part in steps for name in digits])
 
 
 def with_scientific(rows: DataFrame, name: str, digits: int, to: str) -> DataFrame:

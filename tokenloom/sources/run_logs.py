@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.functions.numbers import fixed, with_scientific
+from tokenloom.functions.numbers import with_fixed, with_scientific
 
 # The columns of a metrics log and how each is written.
 METRICS_SCHEMA = (
@@ -49,8 +49,9 @@ def format_metrics(metrics: DataFrame) -> DataFrame:
         "run", F.col("step").cast("string").alias("step"), stamp.alias("timestamp"), *[F.col(name).cast("double").alias(name) for name in METRICS_FORMATS]
     )
     for name, spec in METRICS_FORMATS.items():
-        digits = int(spec[1:-1])
-        rows = with_scientific(rows, name, digits, name) if spec.endswith("e") else rows.withColumn(name, fixed(F.col(name), digits))
+        if spec.endswith("e"):
+            rows = with_scientific(rows, name, int(spec[1:-1]), name)
+    rows = with_fixed(rows, {name: int(spec[1:-1]) for name, spec in METRICS_FORMATS.items() if spec.endswith("f")})
     return rows.select("run", "step", "timestamp", *[F.coalesce(name, F.lit("")).alias(name) for name in METRICS_FORMATS])
 
 
