@@ -244,3 +244,50 @@ def test_token_stats_total_and_empty(spark):
 def test_compatibility_form(spark):
     df = spark.createDataFrame([("ﬁne\tＡＢ\n x",)], "text string")
     assert "".join(df.select(units(F.col("text"), "nfkc").alias("u")).first().u) == "▁fine▁AB▁x"
+
+
+def test_long_batches_are_encoded_in_runs(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tokenloom.functions import pieces
+
+    known = {f"w{i}": (300 + i, 0.0) for i in range(50)}
+    rng = random.Random(1)
+    rows = [None if rng.random() < 0.1 else [f"w{rng.randrange(60)}" for _ in range(rng.randrange(9))] for _ in range(400)]
+    rows += [[], ["w1"] * 100, None, []]
+    flat = lambda row: row and [i for u in row for i in ([known[u][0]] if u in known else [7 + b for b in u.encode()])]
+    for at_once in (1, 7, 1000):
+        monkeypatch.setattr(pieces, "_UNITS_AT_ONCE", at_once)
+        monkeypatch.setattr(pieces, "_MEMO_LIMIT", 5)
+        coder = pieces.UnitEncoder(known, "word", frozenset())
+        assert coder.batch(pa.array(rows, pa.list_(pa.string()))).to_pylist() == [flat(r) for r in rows]
+        assert coder.batch(pa.array(rows, pa.list_(pa.string())).slice(3, 90)).to_pylist() == [flat(r) for r in rows[3:93]]
+        assert coder.batch(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+        assert len(coder.memo) <= 5 and len(coder.older) <= 5
+    monkeypatch.undo()
+    long = pa.array([["w1", "w2", "w3", "w4"] * 50] * 40_000, pa.list_(pa.string()))
+    coder = pieces.UnitEncoder(known, "word", frozenset())
+    tracemalloc.start()
+    coder.batch(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * 8_000_000  # ids and their copy; before, numbers of eight bytes several times over
+
+
+def test_encoders_bound_the_bytes_of_a_batch(spark):
+    from tokenloom.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        made = vocab.assemble_vocab(spark.createDataFrame([("▁a", 0)], "piece string, rank long"), None, 300)
+        encode.encoder(made, "word")
+        assert spark.conf.get(key) == str(BATCH_BYTES)
+        spark.conf.set(key, "1m")
+        encode.encoder(made, "word")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
