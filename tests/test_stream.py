@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tokenloom.functions.positions import range_block, running_before, running_min_before
@@ -256,3 +257,30 @@ def test_token_store_refuses_wide_ids(spark):
     rows = spark.createDataFrame([(0, [70000], 1, 0)], SCHEMA)
     with pytest.raises(Exception, match="16 bits"):
         token_bin.write_tokens(rows, work_path(spark, "bin"))
+
+
+def test_stream_shuffles_texts_alone(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tokenloom.session import work_path
+
+    seen = []
+    writer = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(self._df), writer(self, *a, **k))[1])
+    texts = [None if i % 9 == 0 else "x" * (i % 5) for i in range(300)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    path = work_path(spark, "stream")
+    stream.write_stream(docs, lambda t: F.array_repeat(F.lit(5), F.length(t)), path, rows_per_block=40)
+    monkeypatch.undo()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    rows = spark.read.parquet(f"{path}/rows").collect()
+    assert sum(r.n_tokens or 0 for r in rows) == sum(len(t) + 1 for t in texts if t is not None)
+    for block in {r.block for r in rows}:
+        held = sorted((r.local_start, r.doc_id, r.n_tokens or 0) for r in rows if r.block == block)
+        assert [d for _, d, _ in held] == sorted(d for _, d, _ in held)
+        assert [s for s, _, _ in held] == [sum(n for _, _, n in held[:i]) for i in range(len(held))]
+    batch = lambda b, n: pa.record_batch([pa.array(b, pa.int32()), pa.array(n, pa.int64())], ["block", "n_tokens"])
+    given = [batch([1, 1], [3, None]), batch([1, 2, 2], [4, 5, 6]), batch([], []), batch([2, 7], [1, 2])]
+    got = [x for b in stream._with_starts(iter(given)) for x in b.column("local_start").to_pylist()]
+    assert got == [0, 3, 3, 0, 5, 11, 0]

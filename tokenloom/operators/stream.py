@@ -12,15 +12,17 @@ it they add up ``n_tokens``, which reads that column.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.numbers import div
 from tokenloom.functions.positions import range_block, sorted_position
 from tokenloom.operators.encode import encode
-from tokenloom.session import work_path
+from tokenloom.session import bound_batches, ship_package, work_path
 
 SPAN = 1 << 16  # positions per join key when requests meet documents
 BYTES_PER_BLOCK = 256 << 20  # text of one block, about
@@ -44,15 +46,15 @@ def write_stream(
     each file of the table holds one block. ``path`` gets the folders ``rows`` and ``blocks``.
     """
     spark = docs.sparkSession
+    ship_package(spark)
+    bound_batches(spark)
     block, n_blocks = range_block(docs, key, rows_per_block, size=F.octet_length(text), size_per_block=bytes_per_block)
-    ahead = Window.partitionBy("block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.select(F.col(key).cast("long").alias(key), text).withColumn("block", block)
-    placed = placed.repartitionById(n_blocks, F.col("block"))
+    placed = placed.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", key)
     (
         encode(placed, ids_of, text, add_eos=add_eos)
-        .select("block", key, "ids", F.size("ids").cast("long").alias("n_tokens"))
-        .withColumn("local_start", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
-        .withColumnRenamed(key, "doc_id")
+        .select("block", F.col(key).alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_tokens"))
+        .mapInArrow(_with_starts, "block int, doc_id long, ids array<int>, n_tokens long, local_start long")
         .write.parquet(f"{path}/rows")
     )
     blocks_ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,6 +67,23 @@ def write_stream(
     )
 
 
+def _with_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``local_start``, the tokens ahead of a row in its block. The rows of a task come by block, and
+    a block is in one task, so nothing is held but a sum."""
+    ahead, base, block = 0, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = batch.column("n_tokens").fill_null(0).to_numpy(zero_copy_only=False)
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        starts = ahead + np.cumsum(sizes) - sizes
+        bases = np.full(len(starts), base, np.int64)
+        for at in np.flatnonzero(np.concatenate([[blocks[0] != block], blocks[1:] != blocks[:-1]])):
+            bases[at:] = starts[at]
+        ahead, base, block = ahead + int(sizes.sum()), int(bases[-1]), blocks[-1]
+        yield batch.append_column("local_start", pa.array(starts - bases, pa.int64()))
+
+
 def read_stream(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """``doc_id``, ``ids``, ``n_tokens``, ``start_pos`` of a written stream.
 
