@@ -1,9 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.functions import pairs
 from tokenloom.functions.pieces import best_path, expected_pieces, merge_pieces
 from tokenloom.functions.text import units
 from tokenloom.operators import bpe, encode, unigram, vocab, words
@@ -291,3 +294,27 @@ def test_encoders_bound_the_bytes_of_a_batch(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, before)
+
+
+def test_packed_units_merge_as_lists_do(monkeypatch):
+    """Units cross no block and no neighbour; those left with one symbol are not carried on."""
+    monkeypatch.setattr(pairs, "_BLOCK_SYMBOLS", 5)
+    words_of = {"abab": 3, "a": 7, "aaaaa": 2, "ab": 5, "": 4, "ba\x00b": 1}
+    rows = [pa.array([[ord(c) for c in w] for w in words_of], pa.list_(pa.int32())), pa.array(words_of.values(), pa.int64())]
+    blocks = list(pairs.packer([pa.record_batch(rows, ["symbols", "n"])] * 2))
+    assert len(blocks) > 2
+    ab, aa = pairs.pair_of(97, 98), pairs.pair_of(97, 97)
+    batch = (np.array([aa, ab]), np.array([pairs.MERGED, pairs.MERGED + 1]))
+    found = Counter()
+    for made in pairs.change_counter([batch], np.array([aa, ab]))(blocks):
+        found.update(dict(zip(*(c.to_pylist() for c in made.columns))))
+    fused = pairs.MERGED
+    want = {ab: -22, aa: -16, pairs.pair_of(fused + 1, fused + 1): 6, pairs.pair_of(fused, fused): 4, pairs.pair_of(fused, 97): 4}
+    assert found == want
+    left = Counter()
+    for made in pairs.rewriter([batch])(blocks):
+        for symbols, n in zip(*(c.to_pylist() for c in made.columns)):
+            units_of = np.split(np.frombuffer(symbols, np.int32), np.flatnonzero(np.frombuffer(symbols, np.int32) == pairs._END) + 1)
+            for unit, count in zip(units_of, np.frombuffer(n, np.int64)):
+                left[tuple(unit[:-1].tolist())] += int(count)
+    assert left == {(fused + 1, fused + 1): 6, (fused, fused, 97): 4, (98, 97, 0, 98): 2}
