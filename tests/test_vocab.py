@@ -6,8 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.functions import pairs
-from tokenloom.functions.pieces import best_path, expected_pieces, merge_pieces
+from tokenloom.functions import lattice, pairs
+from tokenloom.functions.pieces import UnitEncoder, best_path, expected_pieces, merge_pieces, unknown_score
 from tokenloom.functions.text import units
 from tokenloom.operators import bpe, encode, unigram, vocab, words
 from tokenloom.plans.prepare import train_vocab
@@ -318,3 +318,37 @@ def test_packed_units_merge_as_lists_do(monkeypatch):
             for unit, count in zip(units_of, np.frombuffer(n, np.int64)):
                 left[tuple(unit[:-1].tolist())] += int(count)
     assert left == {(fused + 1, fused + 1): 6, (fused, fused, 97): 4, (98, 97, 0, 98): 2}
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 17])
+def test_units_are_cut_together_as_alone(monkeypatch, at_once):
+    """Ties, characters without a piece, empty units and runs of few units give what one unit at a time gives."""
+    monkeypatch.setattr(lattice, "_AT_ONCE", at_once)
+    rng = random.Random(1)
+    for _ in range(10):
+        score = {"".join(rng.choice("abc😀") for _ in range(rng.randint(1, 4))): -float(rng.randint(1, 6)) for _ in range(12)}
+        some = ["".join(rng.choice("abc😀x") for _ in range(rng.randint(0, 9))) for _ in range(40)]
+        n = np.array([rng.randint(1, 9) for _ in some])
+        found, values = lattice.Lattice(list(score)), np.array(list(score.values()))
+        counts, met = found.expected(some, n, values)
+        want = Counter()
+        for unit, times in zip(some, n.tolist()):
+            for piece, weight in expected_pieces(unit, score, 4).items():
+                want[piece] += weight * times
+        assert {p for p, held in zip(score, met) if held} == want.keys()
+        assert all(abs(c - want[p]) < 1e-9 for p, c in zip(score, counts))
+        cuts = [[u[a:b] for _, a, b in cut] for u, cut in zip(some, found.best(some, values, unknown_score(score)))]
+        assert cuts == [best_path(u, score, 4)[0] for u in some]
+
+
+def test_unigram_ids_are_those_of_each_unit_alone():
+    pieces = {"ab": (500, -1.0), "a": (501, -2.0), "b": (502, -2.0), "<x>": (503, 0.0), "abb": (504, -3.0)}
+    encoder = UnitEncoder(pieces, "unigram", frozenset(["<x>"]))
+    some = ["abb", "<x>", "", "aéb", "abab", "b😀", "abb"]
+    want = []
+    for unit in some:
+        cut = [unit] if unit == "<x>" else best_path(unit, encoder.score, 3)[0]
+        want.append([i for text in cut for i in encoder.text_ids(text)])
+    for _ in range(2):  # the second time from the memo
+        assert encoder.all_ids(some) == want
+    assert encoder.batch(pa.array([some, []])).to_pylist() == [[i for ids in want for i in ids], []]
