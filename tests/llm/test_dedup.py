@@ -268,3 +268,15 @@ def test_passages_inside_longer_lines_are_found(spark):
     assert left[5] == [texts[5].replace(" " + exact, "")] and left[7] == [texts[7].replace(" " + passage, "")]
     three = texts[3].split()
     assert left[3] == [" ".join(three[:70]) + "\n" + " ".join(three[151:])]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from tokenloom.llm.common import materialize
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files, setting = disk.getAllFiles().size(), spark.conf.get(key)
+    made = materialize(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counted")
+    assert disk.getAllFiles().size() <= files
+    assert made.count() == 7
+    assert spark.conf.get(key) == setting

@@ -370,16 +370,16 @@ def inner_passages(docs: DataFrame, spots: DataFrame, whole: DataFrame, min_word
     """The places of runs of ``PASSAGE_WORDS`` words and more that other documents hold as well, in
     what is left without the removed places of ``whole``."""
     row = ["doc_id", "text_hash"]
-    gone = whole.where("removed").select(*row, "para_no").distinct()
-    lost = gone.select(F.xxhash64(*row).alias("row_hash"), F.col("para_no").alias("line"))
-    left = materialize(spots.join(lost, ["row_hash", "line"], "left_anti").select("anchor", "row_hash"), "anchors-left")
+    gone = whole.where("removed").select(F.xxhash64(*row).alias("row_hash"), F.col("para_no").alias("line")).distinct()
+    left = materialize(spots.join(gone, ["row_hash", "line"], "left_anti").select("anchor", "row_hash"), "anchors-left")
     drop_tables(spots)
     shared = left.groupBy("anchor").agg(F.min("row_hash").alias("a"), F.max("row_hash").alias("b")).where("a <> b").select("anchor")
-    sought = materialize(left.join(shared, "anchor").groupBy("row_hash").agg(F.collect_set("anchor").alias("sought")), "anchors-sought")
-    gone = gone.groupBy(*row).agg(F.collect_set("para_no").alias("gone"))
+    sought = left.join(shared, "anchor").groupBy("row_hash").agg(F.collect_set("anchor").alias("sought"))
+    gone = gone.groupBy("row_hash").agg(F.collect_set("line").alias("gone"))
+    sought = materialize(sought.join(gone, "row_hash", "left"), "anchors-sought")
     rows = _rows(docs, doc_id, text).withColumn("row_hash", F.xxhash64(*row))
-    rows = among(rows, "row_hash", sought.select("row_hash")).join(sought, "row_hash")
-    near = materialize(rows.join(gone, row, "left").select(*row, "text", "sought", "gone"), "passages-near")
+    rows = among(rows, "row_hash", sought.select("row_hash")).join(sought, "row_hash")  # texts move once
+    near = materialize(rows.select(*row, "text", "sought", "gone"), "passages-near")
     drop_tables(left, sought)
     id_type = near.schema["doc_id"]
     kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType())
