@@ -280,3 +280,40 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert disk.getAllFiles().size() <= files
     assert made.count() == 7
     assert spark.conf.get(key) == setting
+
+
+def test_paragraph_words_are_hashed_in_arrays(monkeypatch):
+    """Words are what ``str.split`` gives in lower case, of any length and white space, alone or with other
+    texts, whole or in windows; equal words and no others have equal hashes."""
+    rng = random.Random(4)
+    words = ["a", "ab", "ABCDEFGH", "abcdefgh", "abcdefghi", "İx", "ΟΔΟΣ", "x" * 300, "x" * 301, "y" * 256, "😀", "ab\x00", "\x00", "é"]
+    gaps = [" ", "  ", "\t", "\x1c", "\x85", "\xa0", " ", "　", "\r", "\n", "\n\n", "\n \n"]
+    texts = [None, "", "\n", " "] + ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(60))) for _ in range(40)]
+
+    def blocks(text):
+        at, held, n = 0, None, 0
+        for number, line in enumerate((text or "").split("\n")):
+            size = len(line.lower().split())
+            if held and not 0 < size < 5:
+                yield tuple(held)
+                held = None
+            if size and held:
+                held[2], held[4] = at + len(line), n + size
+            elif size:
+                held = [number, at, at + len(line), n, n + size]
+            if size >= 5:
+                yield tuple(held)
+                held = None
+            at, n = at + len(line) + 1, n + size
+        if held:
+            yield tuple(held)
+
+    found = {}
+    for at_once in (1, 40, 1 << 19):
+        monkeypatch.setattr(pm, "_CHARS_AT_ONCE", at_once)
+        for text, (got, hashes) in zip(texts, pm.Paragraphs(5).cut(texts), strict=True):
+            assert got == list(blocks(text))
+            of_text = [w for line in (text or "").split("\n") for w in line.lower().split()]
+            for word, h in zip(of_text, hashes.tolist(), strict=True):
+                assert found.setdefault(word, h) == h
+    assert len(set(found.values())) == len(found) > 10

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import among, drop_tables, materialize, ship_package
+from tokenloom.llm.common import among, bound_batches, drop_tables, materialize, ship_package
 from tokenloom.llm.components import components
 
 SHINGLE = 5
@@ -47,8 +47,9 @@ PART_BYTES = 1 << 24  # text whose bands and anchors one task compares, about
 SEED = 11
 
 _WINDOW = 1 << 16  # shingles hashed at a time
-_WORDS_HELD = 1 << 17
+_KEYS_HELD = 1 << 17
 _ROWS_HELD = 512
+_CHARS_AT_ONCE = 1 << 19
 _WORD = re.compile(r"\S+")
 _MIX = 0x9E3779B97F4A7C15
 
@@ -63,69 +64,124 @@ def tune(threshold: float = THRESHOLD, hashes: int = HASHES, recall: float = REC
     raise ValueError("too few hashes for this recall")
 
 
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of a text, cut at ASCII white space, and where the words start. Eight bytes of
+    all words are mixed at a time."""
+    flat = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~_IS_WHITE[flat], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    made = sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    left, at = np.flatnonzero(sizes <= _LONG_WORD), 0
+    while len(left):
+        rest = sizes[left] - at
+        mixed = (made[left] ^ (eights[starts[left] + at] & _MASKS[np.minimum(rest, 8)])) * np.uint64(_MIX)
+        made[left] = mixed ^ (mixed >> np.uint64(32))
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(sizes > _LONG_WORD):
+        made[i] = _xxh64(text[starts[i] : starts[i] + sizes[i]])
+    return made, starts
+
+
+def _xxh64(data: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(data)
+
+
+_LONG_WORD = 256
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_WHITE = re.compile(rb"[\t-\r\x1c- ]")
+_WIDE_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # with these, what str.split cuts at
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+Block = tuple[int, int, int, int, int]
+
+
 class Paragraphs:
     """Paragraphs of texts as runs of word hashes."""
 
     def __init__(self, min_words: int):
         self.min_words = min_words
-        self.known: dict[str, int] = {}
-
-    def blocks(self, text: str | None) -> Iterator[tuple[int, int, int, list[str]]]:
-        """``(number of the first line, start, end, words)`` of each long line and of each run of short
-        lines, short ones among them; places count characters of the text."""
-        at, held = 0, None
-        for number, line in enumerate((text or "").split("\n")):
-            words = line.lower().split()
-            if held and not 0 < len(words) < self.min_words:
-                yield held
-                held = None
-            if len(words) >= self.min_words:
-                yield number, at, at + len(line), words
-            elif words and held:
-                held[3].extend(words)
-                held = (*held[:2], at + len(line), held[3])
-            elif words:
-                held = (number, at, at + len(line), words)
-            at += len(line) + 1
-        if held:
-            yield held
-
-    def of(self, text: str | None) -> Iterator[tuple[int, int, int, list[int], bytes]]:
-        """``(number, start, end, word hashes, key)`` of each that is long enough."""
-        for number, start, end, words in self.blocks(text):
-            if len(words) >= self.min_words:
-                yield number, start, end, self.hashes(words), self.key(words)
-
-    @staticmethod
-    def key(words: list[str]) -> bytes:
-        import xxhash
-
-        return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
-    def hashes(self, words: list[str]) -> list[int]:
+    def cut(self, texts: Iterable[str | None]) -> Iterator[tuple[list[Block], np.ndarray]]:
+        """The blocks of each text and the hashes of its words, in lower case. A block is ``(number of the
+        first line, start, end, first word, word after the last)`` of a long line or of a run of short
+        lines, short ones among them; places count characters of the text. Words are hashed over about
+        ``_CHARS_AT_ONCE`` together."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= _CHARS_AT_ONCE:
+                yield from self._cut(some)
+                some, size = [], 0
+        yield from self._cut(some)
+
+    def _cut(self, texts: list[str]) -> Iterator[tuple[list[Block], np.ndarray]]:
+        lower = "\n".join(texts).lower()
+        if not lower.isascii():
+            lower = _WIDE_WHITE.sub(" ", lower)
+        data = lower.encode("utf-8", "surrogatepass")
+        hashes, ends, lo, n = [np.zeros(0, np.uint64)], [], 0, 0
+        while lo < len(data):
+            space = _WHITE.search(data, lo + _CHARS_AT_ONCE)
+            window = data[lo : space.end() if space else len(data)]
+            made, starts = word_hashes(window)
+            ends += (n + np.searchsorted(starts, np.flatnonzero(np.frombuffer(window, np.uint8) == 10))).tolist()
+            hashes.append(made)
+            n += len(made)
+            lo += len(window)
+        words = np.concatenate(hashes)
+        ends, lo = iter([*ends, n]), 0
+        for text in texts:
+            lines = text.split("\n")
+            blocks, first, hi = self._blocks(lines, ends, lo)
+            yield blocks, words[first:hi]
+            lo = hi
+
+    def _blocks(self, lines: list[str], ends: Iterator[int], first: int) -> tuple[list[Block], int, int]:
+        blocks, held, at, lo = [], None, 0, first
+        for number, line in enumerate(lines):
+            hi, end = next(ends), at + len(line)
+            if held and not 0 < hi - lo < self.min_words:
+                blocks.append(held)
+                held = None
+            if hi - lo >= self.min_words:
+                blocks.append((number, at, end, lo - first, hi - first))
+            elif hi > lo and held:
+                held = (*held[:2], end, held[3], hi - first)
+            elif hi > lo:
+                held = (number, at, end, lo - first, hi - first)
+            at, lo = end + 1, hi
+        return ([*blocks, held] if held else blocks), first, lo
+
+    def of(self, blocks: list[Block], words: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
+        """``(number, start, end, word hashes, key)`` of each block that is long enough."""
         import xxhash
 
-        known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            if len(known) > _WORDS_HELD:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return [known[w] for w in words]
+        for number, start, end, lo, hi in blocks:
+            if hi - lo >= self.min_words:
+                yield number, start, end, words[lo:hi], xxhash.xxh3_128_digest(words[lo:hi].tobytes())
 
 
-def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-word shingles of runs of words, and how many each run has; a run shorter
-    than a shingle has none."""
+def _mixed(words: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of one run of words."""
     mixed = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         mixed = mixed * np.uint64(0x100000001B3) + words[k : k + len(mixed)]
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(_MIX)
     mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of runs of words, and how many each run has; a run shorter
+    than a shingle has none."""
+    mixed = _mixed(words)
     counts = np.maximum(sizes - SHINGLE + 1, 0)
     starts = np.cumsum(sizes) - sizes
     own = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -159,7 +215,7 @@ def run_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that are the least of a run of ``PASSAGE_WORDS`` words, and where they start."""
-    hashed = shingles(words, np.array([len(words)]))[0]
+    hashed = _mixed(words)
     size = PASSAGE_WORDS - SHINGLE + 1
     least = least_of(hashed, size)
     if not len(least):
@@ -202,6 +258,7 @@ def paragraphs(docs: DataFrame, parts: int, min_words: int = MIN_WORDS, doc_id:
     without a key that hold a task's ``bands`` (band and key) or ``anchors`` (shingle, document and first
     line) of one ``part`` of the hash space, packed."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = _rows(docs, doc_id, text).withColumn("row_hash", F.xxhash64("doc_id", "text_hash"))
     kinds = (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), T.BinaryType(), T.BinaryType())
     schema = T.StructType([rows.schema["doc_id"], *map(T.StructField, _PLACE[1:], kinds)])
@@ -216,7 +273,7 @@ def _paragraphs(min_words: int, shape: tuple[int, int], parts: int, batches: Ite
     bands, rows = shape
     packed: dict[str, list[np.ndarray]] = {"bands": [], "anchors": []}
     id_type, seen, waiting = None, set(), 0
-    held, words, sizes = [], [], []
+    held, words = [], []
 
     def places() -> pa.RecordBatch:
         types = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -226,9 +283,9 @@ def _paragraphs(min_words: int, shape: tuple[int, int], parts: int, batches: Ite
 
     def sign() -> None:
         # bands of the paragraphs that are new to this task, with the first half of the key
-        keys = np.frombuffer(b"".join(h[6][:8] for h in words), ">u8").astype(np.uint64)
-        flat = np.concatenate([h[7] for h in words])
-        found = signatures(flat, np.array(sizes), bands, rows)
+        keys = np.frombuffer(b"".join(key[:8] for key, _ in words), ">u8").astype(np.uint64)
+        flat = np.concatenate([hashes for _, hashes in words])
+        found = signatures(flat, np.array([len(hashes) for _, hashes in words]), bands, rows)
         packed["bands"].append(np.stack([found.ravel(), np.repeat(keys, bands)]))
 
     def blocks() -> Iterator[pa.RecordBatch]:
@@ -248,33 +305,27 @@ def _paragraphs(min_words: int, shape: tuple[int, int], parts: int, batches: Ite
 
     for batch in (b.slice(at, _ROWS_HELD) for b in batches for at in range(0, b.num_rows, _ROWS_HELD)):
         id_type = batch.schema.field(0).type
-        for doc, version, text, row_hash in zip(*(c.to_pylist() for c in batch.columns)):
-            all_words, numbers, lengths = [], [], []
-            for number, start, end, of_block in cut.blocks(text):
-                hashes = cut.hashes(of_block)
-                all_words += hashes
-                numbers.append(number)
-                lengths.append(len(hashes))
-                if len(hashes) < min_words:
-                    continue
-                key = cut.key(of_block)
+        ids, versions, texts, row_hashes = (c.to_pylist() for c in batch.columns)
+        for doc, version, row_hash, (of_text, all_words) in zip(ids, versions, row_hashes, cut.cut(texts)):
+            for number, start, end, hashes, key in cut.of(of_text, all_words):
                 held.append((doc, version, number, start, end, len(hashes), key))
                 if key in seen:
                     continue
-                if len(seen) >= _WORDS_HELD:
+                if len(seen) >= _KEYS_HELD:
                     seen.clear()
                 seen.add(key)
-                words.append((None, None, None, None, None, None, key, np.array(hashes, np.uint64)))
-                sizes.append(len(hashes))
+                words.append((key, hashes.copy()))
                 waiting += len(hashes)
                 if waiting >= 8 * _WINDOW:
                     sign()
-                    words, sizes, waiting = [], [], 0
+                    words, waiting = [], 0
             if len(all_words) >= PASSAGE_WORDS:
-                hashed, at = anchors(np.array(all_words, np.uint64))
+                hashed, at = anchors(all_words)
+                numbers, lengths = zip(*((b[0], b[4] - b[3]) for b in of_text))
                 line_of = np.repeat(np.array(numbers, np.uint64), lengths)[at]
-                once = np.unique(np.stack([hashed, np.full(len(at), row_hash, np.int64).view(np.uint64), line_of]), axis=1)
-                packed["anchors"].append(once)
+                found = np.stack([hashed, np.full(len(at), row_hash, np.int64).view(np.uint64), line_of])
+                once = np.unique(hashed, return_index=True)[1]
+                packed["anchors"].append(found if len(once) == len(hashed) else np.unique(found, axis=1))
         if held:
             yield places()
             held = []
@@ -400,10 +451,10 @@ def inner_passages(docs: DataFrame, spots: DataFrame, whole: DataFrame, min_word
     return found.mapInArrow(functools.partial(_spans, size), schema).distinct()
 
 
-def _left(cut: Paragraphs, text: str, gone: list[int] | None) -> Iterator[list[tuple[int, int, int, list[str]]]]:
+def _left(blocks: list[Block], gone: list[int] | None) -> Iterator[list[Block]]:
     """The blocks of a text in stretches without a removed one."""
     held, away = [], set(gone or ())
-    for block in cut.blocks(text):
+    for block in blocks:
         if block[0] not in away:
             held.append(block)
         elif held:
@@ -413,29 +464,35 @@ def _left(cut: Paragraphs, text: str, gone: list[int] | None) -> Iterator[list[t
         yield held
 
 
-def _stretch(cut: Paragraphs, blocks: list[tuple[int, int, int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+def _stretch(blocks: list[Block], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a stretch and the block of each word."""
-    words = np.fromiter((h for b in blocks for h in cut.hashes(b[3])), np.uint64)
-    return words, np.repeat(np.arange(len(blocks)), [len(b[3]) for b in blocks])
+    return words[blocks[0][3] : blocks[-1][4]], np.repeat(np.arange(len(blocks)), [b[4] - b[3] for b in blocks])
+
+
+def _spread(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of an Arrow column of lists and where those of each row start; the last number is their end."""
+    return lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
 
 
 def _runs(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cut = Paragraphs(min_words)
     for batch in batches:
         ids, versions = batch.column(0), batch.column(1)
-        rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))
+        sought, bounds = _spread(batch.column(3))
+        sought = np.asarray(sought, np.int64).view(np.uint64)
+        rows = zip(cut.cut(batch.column(2).to_pylist()), batch.column(4).to_pylist())
         made, waiting = [], 0
 
         def out():
             here, *columns = (pa.array(np.concatenate(c)) for c in zip(*made))
             return pa.RecordBatch.from_arrays([ids.take(here), versions.take(here), *columns], names=["doc_id", "text_hash", "para_no", "h", "g"])
 
-        for i, (text, sought, gone) in enumerate(rows):
-            anchored = np.array(sought, np.int64).view(np.uint64)
+        for i, ((all_blocks, all_words), gone) in enumerate(rows):
+            anchored = sought[bounds[i] : bounds[i + 1]]
             of_text = []
-            for blocks in _left(cut, text, gone):
-                words, block = _stretch(cut, blocks)
-                least = least_of(shingles(words, np.array([len(words)]))[0], PASSAGE_WORDS - SHINGLE + 1)
+            for blocks in _left(all_blocks, gone):
+                words, block = _stretch(blocks, all_words)
+                least = least_of(_mixed(words), PASSAGE_WORDS - SHINGLE + 1)
                 at = np.flatnonzero(np.isin(least, anchored))
                 if len(at):
                     h, g = (x[at].view(np.int64) for x in run_hashes(words, PASSAGE_WORDS))
@@ -459,13 +516,21 @@ def _spans(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     cut = Paragraphs(min_words)
     for batch in batches:
         made = []
-        for doc, version, text, gone, marks in zip(*(c.to_pylist() for c in batch.columns)):
-            known = {(m["h"], m["g"]): (m["doc_id"], m["para_no"]) for m in marks}
-            for blocks in _left(cut, text, gone):
-                words, block = _stretch(cut, blocks)
-                hashes = zip(*(x.view(np.int64).tolist() for x in run_hashes(words, PASSAGE_WORDS)))
+        ids, versions, texts, gone = (batch.column(c).to_pylist() for c in range(4))
+        marks, bounds = _spread(batch.column(4))
+        marked = [np.asarray(marks.field(c), np.int64) for c in ("h", "g")]
+        kept_places = [marks.field(c) for c in ("doc_id", "para_no")]
+        for i, (all_blocks, all_words) in enumerate(cut.cut(texts)):
+            lo, hi = bounds[i], bounds[i + 1]
+            of_row = marked[0][lo:hi]
+            runs = zip(of_row.tolist(), marked[1][lo:hi].tolist())
+            known = dict(zip(runs, zip(*(c.slice(lo, hi - lo).to_pylist() for c in kept_places))))
+            for blocks in _left(all_blocks, gone[i]):
+                words, block = _stretch(blocks, all_words)
+                h, g = (x.view(np.int64) for x in run_hashes(words, PASSAGE_WORDS))
+                among_marks = np.flatnonzero(np.isin(h, of_row))
                 spans: list[list] = []  # first word, last word, kept place
-                for at, pair in enumerate(hashes):
+                for at, pair in zip(among_marks.tolist(), zip(h[among_marks].tolist(), g[among_marks].tolist())):
                     kept = known.get(pair)
                     if kept is None:
                         continue
@@ -473,12 +538,19 @@ def _spans(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                         spans[-1][1] += 1
                     else:
                         spans.append([at, at + PASSAGE_WORDS - 1, kept])
-                if not spans:
-                    continue
-                places = [(b[1] + m.start(), b[1] + m.end()) for b in blocks for m in _WORD.finditer(text[b[1] : b[2]])]
+                starts = blocks[0][3]
+                found: dict[int, list[tuple[int, int]]] = {}
+
+                def place(word: int) -> tuple[int, int]:
+                    number = block[word]
+                    _, start, end, first, _ = blocks[number]
+                    if number not in found:
+                        found[number] = [(start + m.start(), start + m.end()) for m in _WORD.finditer(texts[i][start:end])]
+                    return found[number][starts + word - first]
+
                 for first, last, kept in spans:
                     number, size = blocks[block[first]][0], last - first + 1
-                    made.append((doc, number, places[first][0], places[last][1], size, *kept, kept[0] != doc, version))
+                    made.append((ids[i], number, place(first)[0], place(last)[1], size, *kept, kept[0] != ids[i], versions[i]))
         kind = batch.schema.field(0).type
         kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.int32(), kind, pa.int32(), pa.bool_(), pa.int64())
         names = ["doc_id", "para_no", "start", "stop", "n_words", "kept_doc_id", "kept_para_no", "removed", "text_hash"]
@@ -514,14 +586,13 @@ def _sets(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     cut = Paragraphs(min_words)
     for batch in batches:
         keys, blobs = [], []
-        for text, sought in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for (blocks, words), sought in zip(cut.cut(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
             wanted = set(sought)
-            for _, _, _, hashes, key in cut.of(text):
+            for _, _, _, hashes, key in cut.of(blocks, words):
                 if key in wanted:
                     wanted.discard(key)
-                    found, _ = shingles(np.array(hashes, np.uint64), np.array([len(hashes)]))
                     keys.append(key)
-                    blobs.append(np.unique(found).tobytes())
+                    blobs.append(np.unique(_mixed(hashes)).tobytes())
         halves = pa.array(np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), halves, pa.array(blobs, pa.binary())], names=["key", "half", "shingles"])
 
@@ -543,14 +614,18 @@ def spanning_links(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tupl
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    opens = np.flatnonzero(np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]]))
+    own, ends = np.empty((2, len(flat)), np.int64)  # for every shingle of a set, where its owners are
+    shared = np.diff(opens, append=len(flat))
+    own[order], ends[order] = np.repeat(opens, shared), np.repeat(opens + shared, shared)
+    owner, places = owner[order], np.cumsum(sizes) - sizes
     root = np.arange(n)
     for i in range(n):
         apart = root != root[i]
         if not apart.any():
             break
-        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-        spans = hi - lo
+        lo = own[places[i] : places[i] + sizes[i]]
+        spans = ends[places[i] : places[i] + sizes[i]] - lo
         at = np.repeat(lo - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
         common = np.bincount(owner[at], minlength=n)
         near = np.flatnonzero(apart & (common * (1 + threshold) >= threshold * (sizes[i] + sizes) - 1e-9))
@@ -566,6 +641,7 @@ def remove(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
     """``docs`` with the removed places cut out of ``text``, whole lines with their ends; a text that is
     emptied by it goes. Rows without a removed place, null ids among them, are unchanged, and columns stay."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     cuts = found.where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_cuts")
     )
