@@ -317,3 +317,21 @@ def test_paragraph_words_are_hashed_in_arrays(monkeypatch):
             for word, h in zip(of_text, hashes.tolist(), strict=True):
                 assert found.setdefault(word, h) == h
     assert len(set(found.values())) == len(found) > 10
+
+
+def test_pipeline_operators_bound_the_bytes_of_a_batch(spark):
+    """Rows are whole texts, and a batch of 10,000 of them has no bound by their number."""
+    from tokenloom.llm import compression_langid as cl
+    from tokenloom.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    try:
+        for made in (lambda: cl.classify(docs, []), lambda: sh.fingerprints(docs), lambda: pm.paragraphs(docs, 4)):
+            spark.conf.set(key, "64m")
+            made()
+            assert spark.conf.get(key) == str(BATCH_BYTES)
+            assert BATCH_BYTES <= 4 << 20
+    finally:
+        spark.conf.set(key, before)

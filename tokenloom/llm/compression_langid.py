@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import ship_package
+from tokenloom.llm.common import bound_batches, ship_package
 
 DICT_BYTES = 256 << 10  # text a language is learned from, at most
 PIECE_CHARS = 1500  # a labelled text is cut to pieces of about so many, so that a dictionary holds many texts
@@ -74,6 +74,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[t
     null text or language are passed over, and so is a language none of whose texts has a letter.
     """
     ship_package(labelled.sparkSession)
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
@@ -148,6 +149,7 @@ def classify(docs: DataFrame, model: list[tuple[str, int, bytes]], doc_id: str =
     columns are read.
     """
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
     fields = [rows.schema["doc_id"], *map(T.StructField, ("lang_pred", "score", "rejected"), kinds)]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import bounded_sample, local_roots, materialize, ship_package, word_windows
+from tokenloom.llm.common import bound_batches, bounded_sample, local_roots, materialize, ship_package, word_windows
 from tokenloom.llm.components import components
 
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows stand for themselves; other columns are not read.
     """
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints, T.StructType([rows.schema["doc_id"], T.StructField("bits", T.LongType())]))
 
