@@ -352,3 +352,13 @@ def test_unigram_ids_are_those_of_each_unit_alone():
     for _ in range(2):  # the second time from the memo
         assert encoder.all_ids(some) == want
     assert encoder.batch(pa.array([some, []])).to_pylist() == [[i for ids in want for i in ids], []]
+
+
+def test_whole_words_leave_nothing_behind():
+    """What a worker holds between batches of a word model does not grow with the words it has met."""
+    known = {"▁a": (300, 0.0), "é": (301, 0.0), "▁": (302, 0.0), "<x>": (303, 0.0)}
+    encoder = UnitEncoder(known, "word", frozenset(["<x>"]))
+    rows = [["▁a", "é", "▁b", "<x>", "", "😀"], None, [f"w{i}" for i in range(3000)], ["▁", "▁a", "▁a"], []]
+    flat = lambda row: row and [i for u in row for i in ([known[u][0]] if u in known else [7 + b for b in u.encode()])]
+    assert encoder.batch(pa.array(rows, pa.list_(pa.string()))).to_pylist() == [flat(r) for r in rows]
+    assert not encoder.memo and not encoder.older
