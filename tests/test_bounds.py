@@ -1,15 +1,20 @@
 """Bounds that raise, reads that prune, and plans that do not move exploded rows."""
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom import session
 from tokenloom.functions import positions
 from tokenloom.functions.positions import first_rows, range_block
 from tokenloom.functions.tables import SPECIAL_IDS
 from tokenloom.operators import chat, scoring, stream
 from tokenloom.operators.encode import decode, encoder
 from tokenloom.operators.vocab import assemble_vocab, lookup_id, lookup_piece
+from tokenloom.plans.prepare import prepare_all
 from tokenloom.session import scratch, work_path
 from tokenloom.sources.corpus import export_corpus, scan_corpus
 from tokenloom.sources.vocab_files import read_vocab, write_vocab
@@ -54,6 +59,31 @@ def test_blocks_are_bounded_in_bytes(spark):
     assert [r.doc_id for r in got] == list(range(820))
 
 
+def test_long_texts_and_their_ids_are_read_few_at_a_time(spark, monkeypatch, tmp_path):
+    """A reader unpacks a row group at once, up to 4,096 rows: groups are bounded by what rows hold, copies too."""
+    monkeypatch.setattr(session, "ROW_GROUP_BYTES", 1 << 16, raising=False)
+    lines = ["one two three four"] * 20_000 + [f"{i} w{i % 90} {i % 90}x{i}" for i in range(20_000)]
+    (tmp_path / "0.txt").write_text("\n".join(lines) + "\n")
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "tokenloom"
+    before = set(shared.iterdir()) if shared.exists() else set()
+    made = prepare_all(spark, str(tmp_path), 340, mode="chunks", model="word", chunk_size=50, coverage=1.0)
+    tables = {p.name.split("-")[0]: p for p in set(shared.iterdir()) - before}
+    for name, column, folder in (("chunks", "text", "."), ("texts", "text", "."), ("stream", "ids", "rows")):
+        held = []
+        for file in (tables[name] / folder).glob("part-*.parquet"):
+            groups = pq.ParquetFile(file)
+            for g in range(groups.num_row_groups):
+                values = groups.read_row_group(g, columns=[column]).column(column).to_pylist()
+                held.append(sum(len(v) * (4 if column == "ids" else 1) for v in values))
+        assert sum(held) > 4 * (1 << 16), name
+        assert max(held) < 3 * (1 << 16), name
+    rows = made.stream.orderBy("start_pos").collect()
+    assert [r.doc_id for r in rows] == list(range(800))
+    text = spark.createDataFrame([(" ".join(lines),)], "text string")
+    whole = text.select(encoder(made.vocab, "word", "nfkc")(F.col("text")).alias("ids")).first().ids
+    assert [i for r in rows for i in r.ids] == whole
+
+
 @pytest.fixture
 def written(spark):
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))

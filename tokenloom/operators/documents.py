@@ -125,7 +125,7 @@ def line_chunks(lines: DataFrame, chunk_size: int = 10_000) -> DataFrame:
             F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"),
         )
     )
-    parts = materialize(fragments, "chunks")
+    parts = materialize(fragments, "chunks", wide=True)
     whole = parts.where(F.col("n_lines") == chunk_size).select("file", "chunk_no", "text", "n_lines")
     rest = (
         parts.where(F.col("n_lines") < chunk_size)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.numbers import div
 from tokenloom.functions.positions import range_block, sorted_position
 from tokenloom.operators.encode import encode
-from tokenloom.session import bound_batches, ship_package, work_path
+from tokenloom.session import bound_batches, ship_package, work_path, write_wide
 
 SPAN = 1 << 16  # positions per join key when requests meet documents
 BYTES_PER_BLOCK = 256 << 20  # text of one block, about
@@ -51,12 +51,12 @@ def write_stream(
     block, n_blocks = range_block(docs, key, rows_per_block, size=F.octet_length(text), size_per_block=bytes_per_block)
     placed = docs.select(F.col(key).cast("long").alias(key), text).withColumn("block", block)
     placed = placed.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", key)
-    (
+    rows = (
         encode(placed, ids_of, text, add_eos=add_eos)
         .select("block", F.col(key).alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_tokens"))
         .mapInArrow(_with_starts, "block int, doc_id long, ids array<int>, n_tokens long, local_start long")
-        .write.parquet(f"{path}/rows")
     )
+    write_wide(rows, f"{path}/rows")
     blocks_ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     (
         spark.read.parquet(f"{path}/rows")

@@ -100,7 +100,7 @@ def prepare_all(
         texts = with_doc_ids(chunks.withColumnRenamed("chunk_no", "doc_no"))
         training = training_lines(lines)
     vocab = train_vocab(training, vocab_size, model, text="line", coverage=coverage, form=form)
-    written = materialize(texts.select("doc_id", "text"), "texts")
+    written = materialize(texts.select("doc_id", "text"), "texts", wide=True)
     path = work_path(spark, "stream")
     write_stream(written, encoder(vocab, model, form), path, add_eos=by_document)
     stream, total = read_stream(spark, path), stream_total(spark, path)
